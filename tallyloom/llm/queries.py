@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import op4_query
+from tallyloom.llm import op2_query, op4_query
 
 QUERIES = {
+    "op2_url_filter": op2_query.op2_url_filter,
     "op4_chat_format": op4_query.op4_chat_format,
 }
 ORACLES = {
+    "op2_url_filter": op2_query.ORACLE,
     "op4_chat_format": op4_query.ORACLE,
 }
