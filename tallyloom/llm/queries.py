@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import op2_query, op4_query
+from tallyloom.llm import op1_query, op2_query, op4_query, op6_query, op7_query
 
 QUERIES = {
+    "op1_source_mixing": op1_query.op1_source_mixing,
     "op2_url_filter": op2_query.op2_url_filter,
     "op4_chat_format": op4_query.op4_chat_format,
+    "op6_token_counts": op6_query.op6_token_counts,
+    "op7_best_fit_packing": op7_query.op7_best_fit_packing,
 }
 ORACLES = {
+    "op1_source_mixing": op1_query.ORACLE,
     "op2_url_filter": op2_query.ORACLE,
     "op4_chat_format": op4_query.ORACLE,
 }
