@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import op1_query, op2_query, op4_query, op6_query, op7_query
+from tallyloom.llm import op1_query, op2_query, op4_query, op6_query, op7_query, op8_query
 
 QUERIES = {
     "op1_source_mixing": op1_query.op1_source_mixing,
@@ -10,9 +10,11 @@ QUERIES = {
     "op4_chat_format": op4_query.op4_chat_format,
     "op6_token_counts": op6_query.op6_token_counts,
     "op7_best_fit_packing": op7_query.op7_best_fit_packing,
+    "op8_exact_topk": op8_query.op8_exact_topk,
 }
 ORACLES = {
     "op1_source_mixing": op1_query.ORACLE,
     "op2_url_filter": op2_query.ORACLE,
     "op4_chat_format": op4_query.ORACLE,
+    "op8_exact_topk": op8_query.ORACLE,
 }
