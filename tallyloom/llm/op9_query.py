@@ -1,0 +1,12 @@
+"""op9: a toxicity score for every document."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from tallyloom.llm.common import table
+from tallyloom.llm.toxicity import judged
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import op1_query, op2_query, op4_query, op6_query, op7_query, op8_query
+from tallyloom.llm import op1_query, op2_query, op4_query, op6_query, op7_query, op8_query, op9_query, op10_query
 
 QUERIES = {
     "op1_source_mixing": op1_query.op1_source_mixing,
@@ -11,6 +11,8 @@ QUERIES = {
     "op6_token_counts": op6_query.op6_token_counts,
     "op7_best_fit_packing": op7_query.op7_best_fit_packing,
     "op8_exact_topk": op8_query.op8_exact_topk,
+    "op9_toxicity": op9_query.op9_toxicity,
+    "op10_quality_classifier": op10_query.op10_quality_classifier,
 }
 ORACLES = {
     "op1_source_mixing": op1_query.ORACLE,
