@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import op1_query, op2_query, op4_query, op5_query, op6_query, op7_query, op8_query, op9_query, op10_query
+from tallyloom.llm import op1_query, op2_query, op3_query, op4_query, op5_query, op6_query, op7_query, op8_query, op9_query, op10_query
 
 QUERIES = {
     "op1_source_mixing": op1_query.op1_source_mixing,
     "op2_url_filter": op2_query.op2_url_filter,
+    "op3_embedding_dedup": op3_query.op3_embedding_dedup,
     "op4_chat_format": op4_query.op4_chat_format,
     "op5_order_minhash": op5_query.op5_order_minhash,
     "op6_token_counts": op6_query.op6_token_counts,
