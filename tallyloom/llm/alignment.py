@@ -69,3 +69,26 @@ def banded_lcs(a: np.ndarray, b: np.ndarray, band: int, both: np.ndarray) -> int
             u = v & mask
             v = ((v + u) | (v - u)) & full
     return len(b) - v.bit_count()
+
+
+def shared_counts(arrays: list[np.ndarray], columns: int = 4096) -> np.ndarray:
+    """For all pairs of sequences the size of their multiset intersection, which no alignment's matches exceed."""
+    n = len(arrays)
+    who = np.repeat(np.arange(n), [len(x) for x in arrays])
+    what = np.concatenate(arrays).astype(np.uint64) if n else np.zeros(0, np.uint64)
+    order = np.lexsort((what, who))
+    who, what = who[order], what[order]
+    start = np.flatnonzero(np.concatenate([[True], (what[1:] != what[:-1]) | (who[1:] != who[:-1])])) if len(what) else np.zeros(0, np.int64)
+    times = np.arange(len(what)) - np.repeat(start, np.diff(np.concatenate([start, [len(what)]]))) if len(what) else np.zeros(0, np.int64)
+    _, column, count = np.unique((what << np.uint64(32)) | times.astype(np.uint64), return_inverse=True, return_counts=True)
+    common = np.flatnonzero(count > 1)
+    place = np.full(len(count), -1)
+    place[common] = np.arange(len(common))
+    column = place[column]
+    out = np.zeros((n, n), np.float32)
+    for first in range(0, len(common), columns):
+        at = (column >= first) & (column < first + columns)
+        part = np.zeros((n, min(columns, len(common) - first)), np.float32)
+        part[who[at], column[at] - first] = 1
+        out += part @ part.T
+    return out.astype(np.int64)

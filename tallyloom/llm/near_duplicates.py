@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
-from tallyloom.llm.alignment import alike, lengths_allow
+from tallyloom.llm.alignment import DENOMINATOR, NUMERATOR, alike, shared_counts
 from tallyloom.llm.common import Written, fresh
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.shingles import STEP, mix, shingled
@@ -37,7 +37,7 @@ class Settings:
     words: int = 5
     sketches: int = 14
     minima: int = 4
-    block: int = 512
+    block: int = 192
     seed: int = 11
     max_broadcast_keys: int = 500_000  # 16 bytes each; beyond it the keys are joined by shuffle
 
@@ -106,17 +106,14 @@ def _blocks_solved(rows: DataFrame) -> DataFrame:
             return c
 
         links = []
-        order = np.argsort(sizes, kind="stable")
-        for p, i in enumerate(order):
-            for j in order[p + 1 :]:
-                if not lengths_allow(sizes[i], sizes[j]):
-                    break
-                if sides[i] and sides[j]:
-                    continue
-                x, y = find(comps[i]), find(comps[j])
-                if x != y and alike(arrays[i], arrays[j]):
-                    root[max(x, y)] = min(x, y)
-                    links.append((keys[i], keys[j]))
+        may = shared_counts(arrays) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (sizes[:, None] + sizes[None, :])
+        main = np.array(sides)
+        may &= ~(main[:, None] & main[None, :])
+        for i, j in zip(*np.nonzero(np.triu(may, 1)), strict=True):
+            x, y = find(comps[i]), find(comps[j])
+            if x != y and alike(arrays[i], arrays[j]):
+                root[max(x, y)] = min(x, y)
+                links.append((keys[i], keys[j]))
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
