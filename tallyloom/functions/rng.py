@@ -31,7 +31,7 @@ def threshold(probability: float) -> int:
 
 
 def happens(draw: Column, probability: float) -> Column:
-    return draw < F.lit(threshold(probability)).cast("decimal(20,0)")
+    return draw < F.lit(str(threshold(probability))).cast("decimal(21,0)")
 
 
 class Stream:

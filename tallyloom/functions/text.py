@@ -14,6 +14,7 @@ from urllib.parse import urlsplit, urlunsplit
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StringType, StructField, StructType
 
 #: One ideograph, a run of ASCII letters and digits, or any other visible character.
 MIXED_TOKEN = r"(?U)[㐀-鿿]|[A-Za-z0-9]+|[^\s]"
@@ -33,12 +34,12 @@ def collapse_blanks(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(one, r" *\n *", "\n"), r"(?U)^\s+|\s+$", "")
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def nfc(text: pd.Series) -> pd.Series:
     return text.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def folded(text: pd.Series) -> pd.Series:
     """NFKC, case folding, white space to single spaces."""
     return text.map(lambda x: None if x is None else " ".join(unicodedata.normalize("NFKC", x).casefold().split()))
@@ -67,7 +68,7 @@ def levenshtein_tokens(a: list, b: list) -> int:
     return row[-1]
 
 
-@F.pandas_udf("int")
+@F.pandas_udf(IntegerType())
 def token_edits(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([None if x is None or y is None else levenshtein_tokens(list(x), list(y)) for x, y in zip(a, b)], dtype="Int32")
 
@@ -94,7 +95,7 @@ def parsed_entry(value: str) -> tuple[str, ...]:
     return (urlunsplit((scheme, place, path, url.query, url.fragment)), scheme, host, port, path, url.query, url.fragment)
 
 
-@F.pandas_udf(", ".join(f"{c} string" for c in ENTRY_FIELDS))
+@F.pandas_udf(StructType([StructField(c, StringType()) for c in ENTRY_FIELDS]))
 def entry_parts(value: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([(None,) * len(ENTRY_FIELDS) if v is None else parsed_entry(v) for v in value], columns=list(ENTRY_FIELDS))
 
@@ -120,7 +121,7 @@ def reserved_value(value: str) -> bool:
         return False
 
 
-@F.pandas_udf("boolean")
+@F.pandas_udf(BooleanType())
 def is_reserved(value: pd.Series) -> pd.Series:
     return value.map(lambda v: None if v is None else reserved_value(v)).astype("boolean")
 

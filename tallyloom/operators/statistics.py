@@ -12,7 +12,8 @@ from pyspark.sql.window import Window
 
 from tallyloom.operators.scoring import BOTTOM, ratio
 
-DECISIONS = ("VIOLATION", "COMPLIANT", "REVIEW")
+#: Fixed labels.
+DECISIONS = ("VIOLATION", "NON_VIOLATION", "INSUFFICIENT_EVIDENCE")
 
 
 def percentile_linear(value: Column, q: float) -> Column:

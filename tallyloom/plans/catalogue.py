@@ -1,10 +1,8 @@
-"""The queries over the test tables, each with the SQL that DuckDB runs for comparison."""
+"""All queries over the test tables, each with the SQL that DuckDB runs for comparison."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from tallyloom.plans import audit_queries, fixture_queries, score_queries, state_queries, text_queries  # noqa: F401  they register themselves
+from tallyloom.plans.registry import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
