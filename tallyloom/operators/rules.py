@@ -79,17 +79,22 @@ def schema_rules(schema: dict, column: str, *, path: str = "$") -> list[Rule]:
             rules.append(Rule(f"schema:{at}:uniqueItems", F.size(F.array_distinct(f)) < F.size(f)))
         if sub.get("type") == "object":
             rules += schema_rules(sub, field, path=at)
-        items = sub.get("items", {})
-        for inner, part in items.get("properties", {}).items():
-            if inner in items.get("required", []):
-                rules.append(Rule(f"schema:{at}[].{inner}:required", F.exists(f, lambda x, inner=inner: x[inner].isNull())))
-            if "enum" in part:
-                rules.append(Rule(f"schema:{at}[].{inner}:enum", F.exists(f, lambda x, inner=inner, part=part: ~x[inner].isin(*part["enum"]))))
-            if "pattern" in part:
-                rules.append(Rule(f"schema:{at}[].{inner}:pattern", F.exists(f, lambda x, inner=inner, part=part: ~x[inner].rlike(part["pattern"]))))
+        for inner, part in sub.get("items", {}).get("properties", {}).items():
+            rules += _item_rules(f, f"schema:{at}[].{inner}", inner, part, required=inner in sub["items"].get("required", []))
     return rules
 
 
+def _item_rules(array: Column, code: str, inner: str, part: dict, *, required: bool) -> list[Rule]:
+    out = []
+    if required:
+        out.append(Rule(f"{code}:required", F.exists(array, lambda x: x[inner].isNull())))
+    if "enum" in part:
+        out.append(Rule(f"{code}:enum", F.exists(array, lambda x: ~x[inner].isin(*part["enum"]))))
+    if "pattern" in part:
+        out.append(Rule(f"{code}:pattern", F.exists(array, lambda x: ~x[inner].rlike(part["pattern"]))))
+    return out
+
+
 def unknown_keys(raw: Column, allowed: list[str]) -> Column:
     """Keys of a JSON object in text that a closed schema doesn't name, in order."""
     return F.array_sort(F.array_except(F.coalesce(F.json_object_keys(raw), F.array().cast("array<string>")), F.array(*[F.lit(k) for k in allowed])))
