@@ -9,6 +9,7 @@ besides a document's own, so that a few words alone don't carry a verdict.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -115,7 +116,7 @@ class Model:
 
 
 def bags(train: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, features, counts) of the bounded training rows."""
+    """(label, features, counts) of the bounded training rows, fetched one partition at a time; counts stop at 65535."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,13 +128,13 @@ def bags(train: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
                     parts = [f[np.searchsorted(at, begin[i]) : np.searchsorted(at, begin[i + 1])] for at, f in found]
                     kept.append(np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(labels[row : row + len(kept)], pa.int32()), pa.array([f.astype("<i4").tobytes() for f, _ in kept], pa.binary()), pa.array([c.astype("<i4").tobytes() for _, c in kept], pa.binary())],
+                    [pa.array(labels[row : row + len(kept)], pa.int32()), pa.array([f.astype("<i4").tobytes() for f, _ in kept], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in kept], pa.binary())],
                     names=["label", "f", "c"],
                 )
                 row += len(kept)
 
-    rows = train.select("text", "label").mapInArrow(run, "label int, f binary, c binary").collect()
-    return sorted(((r.label, np.frombuffer(r.f, "<i4"), np.frombuffer(r.c, "<i4")) for r in rows), key=lambda x: (x[0], len(x[1]), x[1].tobytes()))
+    rows = [(r.label, np.frombuffer(r.f, "<i4"), np.frombuffer(r.c, "<u2")) for r in train.select("text", "label").mapInArrow(run, "label int, f binary, c binary").toLocalIterator()]
+    return sorted(rows, key=lambda x: (x[0], len(x[1]), zlib.crc32(x[1]), zlib.crc32(x[2])))
 
 
 def train(rows: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> Model:
@@ -144,12 +145,11 @@ def train(rows: list[tuple[int, np.ndarray, np.ndarray]], s: Settings) -> Model:
     rng = np.random.default_rng(s.seed)
     vectors = rng.uniform(-1 / s.dim, 1 / s.dim, (WIDTH, s.dim)).astype(np.float32)
     out, bias = np.zeros((2, s.dim), np.float32), np.zeros(2, np.float32)
-    shares = [(c / (c.sum() + PAD)).astype(np.float32) for _, _, c in rows]
     steps, step = s.epochs * len(rows), 0
     for _ in range(s.epochs):
         for i in rng.permutation(len(rows)):
-            y, f, _ = rows[i]
-            w, rate = shares[i], s.rate * (1 - step / steps)
+            y, f, c = rows[i]
+            w, rate = (c / (c.sum() + PAD)).astype(np.float32), s.rate * (1 - step / steps)
             mean = w @ vectors[f] if len(f) else np.zeros(s.dim, np.float32)
             z = out @ mean + bias
             p = np.exp(z - z.max())
