@@ -1,8 +1,9 @@
 """Mixing sources to target weights by iterative proportional fitting (raking).
 
 Token totals of the cells (source, language, topic) are raked to target marginals, and each
-document is then drawn with its cell's calibrated probability. Only DataFrame expressions:
-the sweeps are window sums over the cell table, whose size is the number of distinct cells.
+document is then drawn with its cell's calibrated probability, so that the drawn tokens are a
+given share of all in expectation. Only DataFrame expressions: the sweeps are window sums over
+the cell table, whose size is the number of distinct cells.
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from tallyloom.llm.common import Written, fresh
 TOPICS = (("licence", r"(?i)\blicensed? under\b|\bcopyright\b"), ("table", r"\|"), ("numeric", r"\d"))
 OTHER_TOPIC = "prose"
 KEYS = ("source", "lang", "topic")
+#: Sweeps between two looks at how far the cells have settled.
+SWEEPS_A_JOB = 3
 
 
 @dataclass(frozen=True)
@@ -26,13 +29,16 @@ class Mixture:
     """Target shares. A marginal without given shares takes (tokens of category)^power, made to sum to 1.
 
     given: {"source": {"src1": 0.2, ...}, ...}; categories that it doesn't name get the power rule
-    for what it leaves. max_broadcast_cells: the cell table is broadcast up to that many rows
+    for what it leaves. budget: expected share of all tokens that is drawn. Raking
+    ends when no cell moves by `settled` of itself in a sweep, or after `sweeps`. max_broadcast_cells: the cell table is broadcast up to that many rows
     (some 100 bytes each), and joined by shuffle beyond it.
     """
 
     power: float = 0.9
+    budget: float = 0.8
     given: dict = field(default_factory=dict)
-    sweeps: int = 12
+    sweeps: int = 40
+    settled: float = 1e-10
     seed: int = 17
     max_broadcast_cells: int = 50_000
 
@@ -70,15 +76,16 @@ def _target(key: str, mix: Mixture) -> Column:
     return F.struct(F.pow(own.cast("double"), F.lit(mix.power)).alias("w"), first.alias("first"))
 
 
-def raked_cells(cells: DataFrame, mix: Mixture) -> DataFrame:
+def raked_cells(cells: DataFrame, mix: Mixture, *, alone: bool = True) -> DataFrame:
     """cells (source, lang, topic, tokens) with probability and weight.
 
-    weight: raked tokens / tokens; probability: weight / the largest weight, so that every
-    document can be drawn at most once and expected tokens meet the raked shares. Cells without
-    tokens get weight 1. The target of a category of tokens T is T^power / sum of those, or as given.
+    alone: the cells fit one partition. weight: raked tokens / tokens. probability: min(1, c * weight) with the c for which expected
+    tokens are budget * all tokens: a document is drawn at most once, cells that would need more than
+    they have are drawn whole, and the others keep their raked proportions. Cells without tokens get
+    probability 1. The target of a category of tokens T is T^power / sum of those, or as given.
     """
     whole = Window.partitionBy(F.lit(0))
-    held = cells.where("tokens > 0")
+    held = (cells.coalesce(1) if alone else cells).where("tokens > 0")
     for key in KEYS:
         given = {str(k): float(v) for k, v in mix.given.get(key, {}).items()}
         t = f"_{key}"
@@ -94,12 +101,31 @@ def raked_cells(cells: DataFrame, mix: Mixture) -> DataFrame:
         held = held.withColumn(f"{t}_share", raw / norm).drop(t, f"{t}_given", f"{t}_rest", f"{t}_total")
     held = held.withColumn("w", F.col("tokens").cast("double"))
     total = F.sum("tokens").over(whole)
-    held = held.withColumn("_all", total.cast("double"))
-    for _ in range(mix.sweeps):
-        for key in KEYS:
-            held = held.withColumn("w", F.col("w") * F.col(f"_{key}_share") * F.col("_all") / F.sum("w").over(Window.partitionBy(key)))
-    held = held.withColumn("weight", F.col("w") / F.col("tokens"))
-    held = held.withColumn("probability", F.col("weight") / F.max("weight").over(whole))
+    together = lambda df: df.coalesce(1) if alone else df  # noqa: E731  one partition needs no shuffle for its windows
+    now = Written(held.withColumn("_all", total.cast("double")), "shares")
+    for _ in range(-(-mix.sweeps // SWEEPS_A_JOB)):
+        swept = together(now.df)
+        for n in range(SWEEPS_A_JOB):
+            if n == SWEEPS_A_JOB - 1:
+                swept = swept.withColumn("_before", F.col("w"))
+            for key in KEYS:
+                swept = swept.withColumn("w", F.col("w") * F.col(f"_{key}_share") * F.col("_all") / F.sum("w").over(Window.partitionBy(key)))
+        new = Written(swept.withColumn("_moved", F.abs(F.col("w") / F.col("_before") - 1)).drop("_before"), "sweep")
+        now.drop()
+        now = new
+        moved = now.df.agg(F.max("_moved")).first()[0]
+        now.df = now.df.drop("_moved")
+        if moved is None or moved < mix.settled:
+            break
+    held = together(now.df).withColumn("weight", F.col("w") / F.col("tokens"))
+    # cells by falling weight: the first cell that isn't drawn whole, after those before it are, tells c
+    falling = Window.partitionBy(F.lit(0)).orderBy(F.desc("weight"), *KEYS)
+    before = falling.rowsBetween(Window.unboundedPreceding, -1)
+    after = falling.rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    held = held.withColumn("_c", (F.lit(mix.budget) * F.col("_all") - F.coalesce(F.sum("tokens").over(before), F.lit(0))) / F.sum("w").over(after))
+    held = held.withColumn("_n", F.row_number().over(falling)).withColumn("_at", F.when(F.col("_c") * F.col("weight") <= 1.0, F.col("_n")))
+    scale = F.min(F.when(F.col("_at").isNotNull(), F.struct("_at", "_c"))).over(whole)["_c"]
+    held = held.withColumn("probability", F.least(F.lit(1.0), F.col("weight") * F.coalesce(scale, F.lit(1.0))))
     out = held.select(*KEYS, "tokens", "weight", "probability")
     return out.unionByName(cells.where("tokens = 0").select(*KEYS, "tokens", F.lit(1.0).alias("weight"), F.lit(1.0).alias("probability")))
 
@@ -117,7 +143,7 @@ def mixed(docs: DataFrame, mix: Mixture = Mixture()) -> DataFrame:
     """
     cells = Written(cell_table(docs), "cells").df
     few = cells.count() <= mix.max_broadcast_cells
-    raked = Written(raked_cells(cells.coalesce(1) if few else cells, mix), "raked").df
+    raked = Written(raked_cells(cells, mix, alone=few), "raked").df
     side = raked.select(*[F.col(k).alias(f"_c_{k}") for k in KEYS], F.col("weight").alias("_c_weight"), F.col("probability").alias("_c_probability"))
     text = F.coalesce(F.col("text"), F.lit(""))
     topic, n, u, info = (fresh(docs.columns, c) for c in ("_mix_topic", "_mix_tokens", "_mix_u", "_mix"))
