@@ -14,13 +14,18 @@ def unknown_references(rows: DataFrame, known: DataFrame, *, value: str, id_colu
     return rows.where(F.col(value).isNotNull()).join(ids, F.col(value) == F.col("_known"), "left_anti").withColumn("code", F.concat(p, F.lit(":unknown_reference:"), F.col(value).cast("string")))
 
 
-def first_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> tuple[DataFrame, DataFrame]:
-    """The first row of each key, and the later ones; rows with a blank key are in neither."""
+def first_wins(rows: DataFrame, keys: list[str], order: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The first row of each key in a total order, and the later ones; rows with a blank key are in neither.
+
+    The first rows are an aggregation with map-side combine, so that a key with very many rows is no single task.
+    """
     named = rows
     for k in keys:
         named = named.where(F.col(k).isNotNull() & (F.trim(F.col(k).cast("string")) != ""))
-    n = named.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
-    return n.where("_n = 1").drop("_n"), n.where("_n > 1").drop("_n")
+    rest = [c for c in rows.columns if c not in keys]
+    first = named.groupBy(*keys).agg(F.min_by(F.struct(*rest), F.struct(*order)).alias("_row"), F.min(F.struct(*order)).alias("_at"))
+    later = named.join(first.select(*keys, "_at"), keys).where(F.struct(*order) > F.col("_at")).select(*rows.columns)
+    return first.select(*keys, "_row.*").select(*rows.columns), later
 
 
 def reconciled(left: DataFrame, right: DataFrame, key: str) -> DataFrame:

@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.sources.shared import written
+
 
 def top_k_flags(rows: DataFrame, *, by: str, order: list[Column], item: str, hit: Column, k: int) -> DataFrame:
     """by, lowest_rank, top1 (item of the lowest rank), top1_hit, topk_hit, k (rows kept)."""
@@ -31,11 +33,22 @@ def last_per_key(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
 def ordered_distinct(rows: DataFrame, key: str, position: str) -> DataFrame:
     """key, place: distinct keys numbered from 1 by their first position."""
     first = rows.groupBy(key).agg(F.min(position).alias("_first"))
-    return first.withColumn("place", F.row_number().over(Window.orderBy("_first", key))).select(key, "place")
-
-
-def numbered(rows: DataFrame, order: list[Column], name: str = "line_number") -> DataFrame:
-    return rows.withColumn(name, F.row_number().over(Window.orderBy(*order)))
+    return numbered(first, ["_first", key], "place").select(key, "place")
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "line_number") -> DataFrame:
+    """Rows with their place from 1 in the order of the columns, which must be a total one for a defined result.
+
+    Rows are sorted by ranges; a place is the rows of earlier ranges and the place in its own. No task holds more
+    than a range, and the ranges are written once, so that a retry numbers alike.
+    """
+    sorted_rows = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    kept = written(sorted_rows.withColumn("_id", F.monotonically_increasing_id()), "numbered")
+    part, place = F.shiftright("_id", 33), F.col("_id").bitwiseAND((1 << 33) - 1)
+    sizes = kept.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))  # a row a range
+    before = F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("_part", before.alias("_start"))
+    return kept.withColumn("_part", part).join(F.broadcast(starts), "_part").withColumn(name, (F.col("_start") + place + 1).cast("bigint")).drop("_id", "_part", "_start")
 
 
 def ranks_contiguous(ranks: Column) -> Column:

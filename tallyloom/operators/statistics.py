@@ -27,6 +27,36 @@ def percentile_nearest(value: Column, q: float) -> Column:
     return F.element_at(listed, (F.bround((F.size(listed) - 1) * F.lit(q)) + 1).cast("int"))
 
 
+def exact_percentiles(rows: DataFrame, *, by: str, value: str, qs: dict[str, float], nearest: bool = False, buckets: int = 512) -> DataFrame:
+    """by and a column for each q: exact percentiles of groups of any size, interpolated or nearest by half-even.
+
+    A histogram of equal-width buckets between a group's extremes tells the buckets that hold the wanted ranks; only
+    their values are then ranked, as counts of distinct values. Nulls are left out.
+    """
+    v = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
+    ends = v.groupBy(by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
+    bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))
+    placed = v.join(ends, by).withColumn("_b", F.coalesce(F.when(F.col("_hi") > F.col("_lo"), bucket), F.lit(0)).cast("int"))
+    hist = placed.groupBy(by, "_n", "_b").agg(F.count("*").alias("_c"))
+    before = F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    at = lambda q: (F.col("_n") - 1) * F.lit(q)
+    wanted = F.array_distinct(F.array(*[x.cast("bigint") for q in qs.values() for x in ((F.bround(at(q)),) if nearest else (F.floor(at(q)), F.ceil(at(q))))]))
+    hit = hist.withColumn("_before", before).withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).where(F.size("_ranks") > 0)
+    inside = placed.join(hit.select(by, "_b", "_before", "_ranks"), [by, "_b"]).groupBy(by, "_b", "_before", "_ranks", "_n", "_v").agg(F.count("*").alias("_c"))
+    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(by, "_b").orderBy("_v"))
+    ranked = inside.withColumn("_to", upto).select(by, "_n", "_v", F.explode(F.filter("_ranks", lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("_c")))).alias("_r"))
+    values = ranked.groupBy(by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))  # two ranks a q
+    pick = lambda r: F.element_at("_m", r.cast("bigint"))
+
+    def result(q: float) -> Column:
+        if nearest:
+            return pick(F.bround(at(q)))
+        low, high = F.floor(at(q)), F.ceil(at(q))
+        return pick(low) + (pick(high) - pick(low)) * (at(q) - low)
+
+    return values.select(by, *[result(q).alias(name) for name, q in qs.items()])
+
+
 def label_f1(gold: Column, pred: Column, label: str, weight: Column | None = None) -> Column:
     """2 tp / (2 tp + fp + fn), 0 where undefined."""
     w = F.lit(1) if weight is None else weight

@@ -7,7 +7,7 @@ from pyspark.sql.window import Window
 
 from tallyloom.operators.ranking import top_k_flags
 from tallyloom.operators.scoring import apply_gate, ratio
-from tallyloom.operators.statistics import cluster_index, hash_draws, macro_f1, metric_rows, percentile_linear, percentile_nearest, within_tolerance
+from tallyloom.operators.statistics import cluster_index, exact_percentiles, hash_draws, macro_f1, metric_rows, percentile_nearest, within_tolerance
 from tallyloom.plans.registry import query, table
 
 #: Messages are the clauses of a text, in ASCII; the answer replaces e by 3 in every third document.
@@ -104,16 +104,15 @@ def q07(spark, d):
 
 @query("q08_percentile_linear", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) AS p025, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.975), 6) AS p975 FROM lineitem GROUP BY l_returnflag")
 def q08(spark, d):
-    p = lambda q: F.round(percentile_linear(F.col("l_extendedprice"), q), 6)
-    return table(spark, d, "lineitem").groupBy("l_returnflag").agg(p(0.025).alias("p025"), p(0.5).alias("p50"), p(0.975).alias("p975"))
+    got = exact_percentiles(table(spark, d, "lineitem"), by="l_returnflag", value="l_extendedprice", qs={"p025": 0.025, "p50": 0.5, "p975": 0.975})
+    return got.select("l_returnflag", *[F.round(c, 6).alias(c) for c in ("p025", "p50", "p975")])
 
 
 @query("q09_percentile_nearest", """
 WITH s AS (SELECT l_shipdate, list_sort(list(l_extendedprice)) AS v FROM lineitem GROUP BY l_shipdate)
 SELECT l_shipdate, v[CAST(round_even((len(v) - 1) * 0.025, 0) AS INT) + 1] AS low, v[CAST(round_even((len(v) - 1) * 0.975, 0) AS INT) + 1] AS high FROM s""")
 def q09(spark, d):
-    p = lambda q: percentile_nearest(F.col("l_extendedprice"), q)
-    return table(spark, d, "lineitem").groupBy("l_shipdate").agg(p(0.025).alias("low"), p(0.975).alias("high"))
+    return exact_percentiles(table(spark, d, "lineitem"), by="l_shipdate", value="l_extendedprice", qs={"low": 0.025, "high": 0.975}, nearest=True)
 
 
 def _draws_sql(size, replicates, salt):

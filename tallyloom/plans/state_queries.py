@@ -71,7 +71,7 @@ WITH n AS (SELECT role, length(text) % 50 AS size, conv_id, turn, row_number() O
 SELECT role, size, min(conv_id) FILTER (WHERE rn = 1) AS first_conv, count(*) FILTER (WHERE rn > 1) AS later FROM n GROUP BY role, size""")
 def q21(spark, d):
     c = table(spark, d, "conversations").select("role", (F.length("text") % 50).alias("size"), "conv_id", "turn")
-    first, later = integrity.first_wins(c, ["role", "size"], [F.col("conv_id"), F.col("turn")])
+    first, later = integrity.first_wins(c, ["role", "size"], ["conv_id", "turn"])
     n = later.groupBy("role", "size").agg(F.count("*").alias("later"))
     return first.select("role", "size", F.col("conv_id").alias("first_conv")).join(n, ["role", "size"], "left").select("role", "size", "first_conv", F.coalesce("later", F.lit(0)).alias("later"))
 
