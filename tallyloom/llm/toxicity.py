@@ -31,6 +31,7 @@ class Settings:
     max_stems: int = 400
     precision: float = 0.95
     chance: float = 0.01
+    coverage: float = 0.97
 
 
 def _candidates(text: str, lengths: tuple[int, ...]) -> set[str]:
@@ -53,31 +54,60 @@ def _support(rows: DataFrame, lengths: tuple[int, ...], only: frozenset[str] | N
     return rows.select("text").mapInArrow(run, "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("n"))
 
 
-def choose_stems(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, s: Settings) -> dict[str, float]:
-    """Stems whose support in toxic texts is no chance (Bonferroni) and that clean texts lack; a longer one only if it adds."""
-    if not toxic or not n_toxic:
-        return {}
+def significant(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, s: Settings, tests: int) -> list[str]:
+    """Stems that clean texts lack and whose support in toxic ones is no chance, by Bonferroni over so many tests."""
     prior = n_toxic / max(n_toxic + n_clean, 1)
     good = []
     for stem, k in toxic.items():
-        z = clean.get(stem, 0)
-        if k / (k + z) < s.precision:
+        n, share = k + clean.get(stem, 0), k / max(k + clean.get(stem, 0), 1)
+        if not k or share < s.precision:
             continue
-        # the chance that at least k of k + z texts are toxic, by its bound exp(-n KL(k/n, prior))
-        n, share = k + z, k / (k + z)
+        # the chance that at least k of n texts are toxic is at most exp(-n KL(share, prior))
         kl = share * math.log(share / prior) + ((1 - share) * math.log((1 - share) / (1 - prior)) if share < 1 else 0.0) if prior < 1 else 0.0
-        if n * kl > math.log(len(toxic) / s.chance):
-            good.append((k * (k + 1) / (k + z + 1), -len(stem), stem, k, z))
+        if n * kl > math.log(max(tests, 1) / s.chance):
+            good.append(stem)
+    return good
+
+
+def choose_stems(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, s: Settings, tests: int | None = None) -> dict[str, float]:
+    """Weights (log odds) of significant stems, best support first, each as long as its support allows."""
+    if not toxic or not n_toxic:
+        return {}
+    good = significant(toxic, clean, n_toxic, n_clean, s, len(toxic) if tests is None else tests)
+    rank = lambda x: (toxic[x] * (toxic[x] + 1) / (toxic[x] + clean.get(x, 0) + 1), -len(x), x)
     chosen: dict[str, float] = {}
-    for _, _, stem, k, z in sorted(good, reverse=True):
-        if any(stem.startswith(c) for c in chosen):
+    for short in sorted(good, key=rank, reverse=True):
+        if any(short.startswith(c) or c.startswith(short) for c in chosen):
             continue
-        chosen[stem] = math.log(((k + 0.5) / (n_toxic + 1)) / ((z + 0.5) / (n_clean + 1)))
+        # the longest stem that covers nearly as much
+        stem = max((x for x in good if x.startswith(short) and toxic[x] >= s.coverage * toxic[short]), key=lambda x: (len(x), x))
+        chosen[stem] = math.log(((toxic[stem] + 0.5) / (n_toxic + 1)) / ((clean.get(stem, 0) + 0.5) / (n_clean + 1)))
         if len(chosen) == s.max_stems:
             break
     return chosen
 
 
+def _contexts(rows: DataFrame, stems: frozenset[str], lengths: tuple[int, ...]) -> dict[str, int]:
+    """Before how many different words a stem's words stand: copies of a text give one, however many there are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pairs: set[tuple[str, str]] = set()
+        for batch in batches:
+            for _, texts in slices(batch, "text"):
+                for text in texts.to_pylist():
+                    before = ""
+                    for word in PIECES.findall(text.lower()):
+                        for stem in (word, *(word[:k] for k in lengths if len(word) > k)):
+                            if stem in stems:
+                                pairs.add((stem, before))
+                        before = word
+        pairs_list = sorted(pairs)
+        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs_list], pa.string()), pa.array([x[1] for x in pairs_list], pa.string())], names=["stem", "before"])
+
+    found = rows.select("text").mapInArrow(run, "stem string, before string").distinct().groupBy("stem").agg(F.count("*").alias("n"))
+    return {r.stem: r.n for r in found.collect()}  # a row a stem
+
+
 def logistic(x: np.ndarray, y: np.ndarray, *, ridge: float = 1e-2, rounds: int = 60) -> tuple[np.ndarray, float]:
     """Weights and bias by Newton's method with a ridge."""
     a = np.column_stack([x, np.ones(len(x))])
@@ -122,7 +152,10 @@ def fit(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings(),
     found = _support(rows.df.where("label = 1"), settings.stem_lengths, None).where(F.col("n") >= settings.min_support)
     toxic = {r.stem: r.n for r in found.orderBy(F.desc("n"), "stem").limit(settings.max_candidates).collect()}
     clean = {r.stem: r.n for r in _support(rows.df.where("label = 0"), settings.stem_lengths, frozenset(toxic)).collect()}
-    stems = choose_stems(toxic, clean, n_toxic, n_clean, settings)
+    stems: dict[str, float] = {}
+    if good := significant(toxic, clean, n_toxic, n_clean, settings, len(toxic)):
+        seen = _contexts(rows.df.where("label = 1"), frozenset(good), settings.stem_lengths)
+        stems = choose_stems({x: min(toxic[x], seen.get(x, 0)) for x in good}, clean, n_toxic, n_clean, settings, len(toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(stems)
