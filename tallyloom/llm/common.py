@@ -6,7 +6,9 @@ import sys
 import tempfile
 import types
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,20 +34,42 @@ def shared_dir(spark: SparkSession) -> str:
     return where
 
 
+_scratch: ContextVar[str | None] = ContextVar("scratch", default=None)
+
+
+def _delete(spark: SparkSession, place: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession, name: str) -> Iterator[None]:
+    """Tables written inside go to a folder of their own, which is deleted at the end.
+
+    What is returned must not read them any more: write it with outside=True.
+    """
+    place = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+    token = _scratch.set(place)
+    try:
+        yield
+    finally:
+        _scratch.reset(token)
+        _delete(spark, place)
+
+
 class Written:
     """An intermediate result as a Parquet table in the shared folder; it survives lost executors."""
 
-    def __init__(self, df: DataFrame, name: str):
+    def __init__(self, df: DataFrame, name: str, *, outside: bool = False):
         spark = df.sparkSession
-        self.path = f"{shared_dir(spark)}/tallyloom/{name}-{uuid.uuid4().hex}"
+        within = None if outside else _scratch.get()
+        self.path = f"{within or shared_dir(spark) + '/tallyloom'}/{name}-{uuid.uuid4().hex}"
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 
     def drop(self) -> None:
         """Delete the files; call it only when nothing reads the table any more."""
-        spark = self.df.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(self.path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        _delete(self.df.sparkSession, self.path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -66,3 +90,16 @@ def fresh(taken: list[str], name: str) -> str:
     while name.lower() in low:
         name = f"_{name}"
     return name
+
+
+def give_back() -> None:
+    """Return freed memory to the system at the end of a Python task; workers live on and would keep it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return

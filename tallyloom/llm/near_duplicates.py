@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
 
 from tallyloom.llm.alignment import DENOMINATOR, NUMERATOR, alike, shared_counts
-from tallyloom.llm.common import Written, fresh
+from tallyloom.llm.common import Written, fresh, give_back, scratch
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.shingles import STEP, mix, shingled
 
@@ -39,7 +39,7 @@ class Settings:
     minima: int = 4
     block: int = 192
     seed: int = 11
-    max_broadcast_keys: int = 500_000  # 16 bytes each; beyond it the keys are joined by shuffle
+    max_broadcast_keys: int = 500_000  # of 16 bytes, or ids; more of them are joined by shuffle
 
 
 def sketched(docs: DataFrame, s: Settings) -> DataFrame:
@@ -71,6 +71,7 @@ def sketched(docs: DataFrame, s: Settings) -> DataFrame:
                     [part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(buckets, pa.list_(pa.int64())), pa.array(seqs, pa.binary())],
                     names=["doc_id", "key", "n", "buckets", "seq"],
                 )
+        give_back()
 
     slim = docs.select("doc_id", "text")
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, key binary, n int, buckets array<bigint>, seq binary")
@@ -168,7 +169,11 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
     doc_id take part; class_id is null, and all its rows kept, only where no row of a class has
     an id. Repeated rows get one row each. Empty tables give no rows.
     """
-    s = settings
+    with scratch(docs.sparkSession, "near-duplicates"):
+        return Written(_classes(docs, settings), "classes", outside=True).df
+
+
+def _classes(docs: DataFrame, s: Settings) -> DataFrame:
     rows = Written(sketched(docs, s), "sketches").df
     unique = rows.select("key", "n", "buckets").dropDuplicates(["key"])
     members = unique.select(F.explode("buckets").alias("bucket"), "key", "n")
@@ -207,11 +212,12 @@ def keyed(docs: DataFrame, words: int) -> DataFrame:
 
 def one_of_each(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
     """The rows of docs, with all their columns, of which one stays for each class (any one of equal rows)."""
-    found = Written(near_duplicates(docs, settings), "classes").df
-    kept = found.where("kept AND doc_id IS NOT NULL")
-    ids = kept.select(F.col("doc_id").alias("_kept_id")).distinct()
-    out = docs.join(ids, docs["doc_id"] == ids["_kept_id"], "left_semi")
-    if not kept.groupBy("doc_id").count().where("count > 1").isEmpty():
+    found = near_duplicates(docs, settings)
+    per_id = Written(found.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_or("kept").alias("_stays"), F.count_if("kept").alias("_times")), "stays").df
+    gone = per_id.where("NOT _stays").select(F.col("doc_id").alias("_gone_id"))
+    few = gone.count() <= settings.max_broadcast_keys
+    out = docs.where("doc_id IS NOT NULL").join(F.broadcast(gone) if few else gone, docs["doc_id"] == gone["_gone_id"], "left_anti")
+    if not per_id.where("_times > 1").isEmpty():
         out = out.dropDuplicates(["doc_id", "text"])
     nameless = found.where("kept AND doc_id IS NULL").select("key").distinct()
     if nameless.isEmpty():

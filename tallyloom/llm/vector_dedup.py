@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import Written
+from tallyloom.llm.common import Written, scratch
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.vectors import finite_rows, from_binary, to_binary
 
@@ -377,6 +377,11 @@ def near_duplicate_vectors(df: DataFrame, *, key: str = "vec_id", vector: str =
     links and are their own component. Rows that repeat a key and its vector count as one vector
     and each get a row. Empty tables give no rows; other columns are not read.
     """
+    with scratch(df.sparkSession, "near-vectors"):
+        return Written(_answers(df, key, vector, settings), "vectors", outside=True).df
+
+
+def _answers(df: DataFrame, key: str, vector: str, settings: Settings) -> DataFrame:
     rows = Written(_units(df, key, vector), "units").df
     held = rows.where("_node IS NOT NULL").groupBy("_id", "_node", "_dim").agg(F.first("_unit").alias("_unit"))
     nodes = Written(held.groupBy("_node", "_dim").agg(F.count("*").alias("m"), F.min("_id").alias("least"), F.first("_unit").alias("_unit")), "nodes").df
