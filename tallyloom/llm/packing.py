@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import Written
+from tallyloom.llm.common import Written, give_back
 from tallyloom.llm.tokens import encoder, slices, tokenizer_path
 
 CAPACITY = 2048
@@ -214,6 +214,7 @@ def pieces_of(docs: DataFrame, *, capacity: int = CAPACITY, end_id: int = END_ID
                     cols.append(pa.array([r.astype(np.int32) for r in raw], pa.list_(pa.int32())))
                     names.append("ids")
                 yield pa.RecordBatch.from_arrays(cols, names=names)
+        give_back()
 
     slim = docs.select("doc_id", "text")
     kind = slim.schema["doc_id"].dataType.simpleString()

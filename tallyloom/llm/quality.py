@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallyloom.llm.common import Written
+from tallyloom.llm.common import Written, fresh, give_back
 from tallyloom.llm.labelled import fold, training_rows
 
 GRAMS = (3, 4)
@@ -28,7 +28,7 @@ PAD = 30
 WIDTH = ((len(GRAMS) + 1) << BITS) + 2
 ODD = np.uint64(0x9E3779B97F4A7C15)
 #: Texts are handled in slices of so many bytes, or one text, if that is longer.
-SLICE_BYTES = 1_000_000
+SLICE_BYTES = 500_000
 
 
 @dataclass(frozen=True)
@@ -167,13 +167,12 @@ def fit(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings(),
     rows = Written(training_rows(docs, labels, "quality", folds=folds, held_out=held_out, max_rows=settings.max_rows), "quality")
     model = train(bags(rows.df), settings)
     rows.drop()
+    give_back()
     return model
 
 
 def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     """All columns of docs with _score (more underscores where the name is taken); null and empty texts get the bias alone."""
-    from tallyloom.llm.common import fresh
-
     name = fresh(docs.columns, "_score")
     shared = docs.sparkSession.sparkContext.broadcast(model)  # WIDTH doubles, whatever the corpus
     at = [i for i, c in enumerate(docs.columns) if c == text][0]
@@ -184,6 +183,7 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
         for batch in batches:
             score = shared.value.scores(pc.fill_null(batch.column(at), ""))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
+        give_back()
 
     from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -191,6 +191,11 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; labels of the held-out fold are not read."""
+    """doc_id, held_out, score, predicted for every row of docs; labels of the held-out fold are not read.
+
+    Null and empty texts get the score of no features; texts of any length are read whole; repeated rows get
+    a row each, of one score; a null id is not held out; without labels of both classes every score is the prior;
+    empty tables give no rows; only doc_id and text are read, so that other columns may have any name.
+    """
     got = scored(docs.select("doc_id", "text"), fit(docs, labels, settings=settings))
     return got.select("doc_id", (fold(F.col("doc_id"), 4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= settings.accept).cast("int").alias("predicted"))

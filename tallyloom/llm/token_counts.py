@@ -30,7 +30,11 @@ def encoded_lengths(docs: DataFrame, *, text: str = "text", by: tuple[str, ...]
 
 
 def length_histogram(docs: DataFrame, *, text: str = "text", by: tuple[str, ...] = (), tokenizer: str | None = None) -> DataFrame:
-    """by..., length, n_docs: the whole distribution, aggregated before it is shuffled. Empty tables give no rows."""
+    """by..., length, n_docs: the whole distribution, aggregated before it is shuffled.
+
+    Null and empty texts have length 0; texts of any length are encoded whole; repeated rows count each; a null in a
+    by column is a group of its own; empty tables give no rows; other columns are not read.
+    """
     return encoded_lengths(docs, text=text, by=by, tokenizer=tokenizer).groupBy(*by, "length").agg(F.count("*").alias("n_docs"))
 
 

@@ -23,9 +23,9 @@ import pyarrow.compute as pc
 from tallyloom.llm.common import per_process
 
 #: Texts are handled in slices of so many bytes, or one text, if that is longer.
-SLICE_BYTES = 4_000_000
+SLICE_BYTES = 2_000_000
 #: Words kept from earlier slices; beyond it the memory is emptied.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 #: Texts that need no Unicode rules: such texts, their punctuation and digits, and their words.
 PLAIN = "^[\\t\\n\\r -&(-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]*$"
 PUNCTUATION = r"([!-&(-/:-@\[-`{-~]+|[0-9])"

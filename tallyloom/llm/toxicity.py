@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
-from tallyloom.llm.common import Written, fresh
+from tallyloom.llm.common import Written, fresh, give_back
 from tallyloom.llm.grammar import PIECES, SLOTS, Grammar
 from tallyloom.llm.labelled import fold, training_rows
 from tallyloom.llm.tokens import slices
@@ -184,11 +184,17 @@ def scored(docs: DataFrame, model: Model) -> DataFrame:
             for part, texts in slices(batch, "text"):
                 score = model.score(text_features(texts, grammar))
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(score)], names=[*part.schema.names, name])
+        give_back()
 
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 
 def judged(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings()) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs; labels of the held-out fold are not read."""
+    """doc_id, held_out, score, predicted for every row of docs; labels of the held-out fold are not read.
+
+    Null, empty and unmatched texts get the score of no matched clause; texts of any length are read whole;
+    repeated rows get a row each, of one score; a null id is not held out; without labels of both classes every
+    score is the prior; empty tables give no rows; only doc_id and text are read.
+    """
     got = scored(docs.select("doc_id", "text"), fit(docs, labels, settings=settings))
     return got.select("doc_id", (fold(F.col("doc_id"), 5) == 0).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.5).cast("int").alias("predicted"))
