@@ -77,7 +77,7 @@ class Case:
         self.repeats: list[DataFrame] = []
         for name, (place, label, _) in TABLES.items():
             rows = cases.select("case_id", F.posexplode(place).alias("_pos", "_r")).select("case_id", "_pos", "_r.*").where("id IS NOT NULL AND trim(id) <> ''")
-            n = rows.withColumn("_n", F.row_number().over(Window.partitionBy("case_id", "id").orderBy("_pos")))
+            n = written(rows.withColumn("_n", F.row_number().over(Window.partitionBy("case_id", "id").orderBy("_pos"))), name)  # some dozen rules read it
             self.repeats.append(_v(n.where("_n > 1"), _code(label, "[", F.col("_pos"), "]:duplicate_id:", F.col("id"))))
             self.t[name] = n.where("_n = 1").drop("_n", "_pos").withColumnRenamed("id", ID[name])
 
