@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 
 def unknown_references(rows: DataFrame, known: DataFrame, *, value: str, id_column: str, prefix: Column | str) -> DataFrame:

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from tallyloom.operators.ranking import top_k_flags
 from tallyloom.operators.scoring import apply_gate, ratio
