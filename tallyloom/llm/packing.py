@@ -21,7 +21,6 @@ import bisect
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from dataclasses import dataclass
 from itertools import combinations_with_replacement
 
 import numpy as np
