@@ -55,8 +55,6 @@ class Settings:
 
 #: Angles are compared with this slack, so that rounding never makes a bound lie.
 SLACK = 1e-7
-#: Error of cosines from 8-bit vectors, at most.
-COARSE = 0.02
 
 
 def _units(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -159,7 +157,23 @@ def balls(nodes: DataFrame, s: Settings) -> DataFrame:
 
 
 def _coarse(units: np.ndarray) -> pa.Array:
-    return to_binary(np.round(units * 127).astype(np.int8))
+    """Rows in 8 bits, each with its own scale, after that scale and the norm of the row's error (4 bytes each)."""
+    scale = (np.abs(units).max(axis=1, keepdims=True) / 127).astype("<f4")
+    q = np.clip(np.round(units / scale), -127, 127).astype(np.int8)
+    error = np.sqrt(((units - q * scale.astype(float)) ** 2).sum(axis=1, keepdims=True)) * (1 + 1e-6)
+    return to_binary(np.concatenate([np.concatenate([scale, error.astype("<f4")], axis=1).view(np.int8), q], axis=1))
+
+
+def _from_coarse(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """float32 rows and the norms of their errors."""
+    raw = from_binary(column, "i1")
+    head = np.ascontiguousarray(raw[:, :8]).view("<f4")
+    return raw[:, 8:].astype(np.float32) * head[:, :1], head[:, 1].astype(float)
+
+
+def _slack(error_a, error_b, dim: int) -> np.ndarray:
+    """The greatest error of a float32 product of coarse rows, rounding included."""
+    return error_a + error_b + error_a * error_b + (dim + 8) * 2.0**-23
 
 
 def _near_enough(radii_a, radii_b, s: Settings) -> np.ndarray:
@@ -168,7 +182,7 @@ def _near_enough(radii_a, radii_b, s: Settings) -> np.ndarray:
 
 
 def _first_lists(leaders: DataFrame, dim: int, s: Settings, seed: int) -> DataFrame:
-    """i, j, cos: neighbours inside runs of `chunk` leaders in the order of random sign codes; one order for each table."""
+    """i, j, cos, near: neighbours inside runs of `chunk` leaders in the order of random sign codes; one order for each table."""
     parts = []
     for t in range(s.tables):
         rng = np.random.default_rng((seed, t))
@@ -177,24 +191,25 @@ def _first_lists(leaders: DataFrame, dim: int, s: Settings, seed: int) -> DataFr
         def code(batches: Iterator[pa.RecordBatch], planes=planes, line=line) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 if len(batch):
-                    v = from_binary(batch.column(2), "i1").astype(np.float32)
+                    v, _ = _from_coarse(batch.column(2))
                     order = ((v @ planes) > 0) @ (1 << np.arange(19, -1, -1, dtype=np.int64))
                     yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order), pa.array((v @ line).astype(float))], names=["i", "radius", "v", "_code", "_fine"])
 
         def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def solved(run: pa.Table) -> pa.RecordBatch:
                 ids, radii = run.column("i").to_numpy(), run.column("radius").to_numpy()
-                v = from_binary(run.column("v"), "i1").astype(np.float32)
-                c = (v @ v.T) / 127.0**2
+                v, error = _from_coarse(run.column("v"))
+                c = v @ v.T
                 np.fill_diagonal(c, -2)
                 k = min(s.neighbours, len(ids) - 1)
-                keep = c >= _near_enough(radii[:, None], radii[None, :], s) - COARSE
+                near = c >= _near_enough(radii[:, None], radii[None, :], s) - _slack(error[:, None], error[None, :], dim)
+                keep = near.copy()
                 if k > 0:
                     best = np.argpartition(c, -k, axis=1)[:, -k:]
                     keep[np.arange(len(ids))[:, None], best] = True
                 np.fill_diagonal(keep, False)
                 a, b = np.nonzero(keep)
-                return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(c[a, b].astype(np.float32))], names=["i", "j", "cos"])
+                return pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(ids[b]), pa.array(c[a, b]), pa.array(near[a, b])], names=["i", "j", "cos", "near"])
 
             held, n = [], 0
             for batch in batches:
@@ -210,24 +225,22 @@ def _first_lists(leaders: DataFrame, dim: int, s: Settings, seed: int) -> DataFr
                 yield solved(pa.Table.from_batches(held))
 
         coded = leaders.select("i", "radius", "v").mapInArrow(code, "i long, radius double, v binary, _code long, _fine double")
-        parts.append(coded.repartitionByRange("_code", "_fine", "i").sortWithinPartitions("_code", "_fine", "i").mapInArrow(compare, "i long, j long, cos float"))
+        parts.append(coded.repartitionByRange("_code", "_fine", "i").sortWithinPartitions("_code", "_fine", "i").mapInArrow(compare, "i long, j long, cos float, near boolean"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionAll(p)
     return out
 
 
-def _best(edges: DataFrame, radii: DataFrame, s: Settings) -> DataFrame:
-    """Lists from edges (i, j, cos, new): the best of each i, and all that are near enough; an older edge stays old."""
-    once = edges.groupBy("i", "j").agg(F.max("cos").alias("cos"), F.min("new").alias("new"))
-    near = once.join(radii.select("i", F.col("radius").alias("_ri")), "i").join(radii.select(F.col("i").alias("j"), F.col("radius").alias("_rj")), "j")
-    near = near.withColumn("near", F.col("cos") >= F.cos(F.least(F.col("_ri") + F.col("_rj") + s.angle, F.lit(math.pi))) - COARSE)
+def _best(edges: DataFrame, s: Settings) -> DataFrame:
+    """Lists from edges (i, j, cos, near, new): the best of each i, and all that are near enough; an older edge stays old."""
+    once = edges.groupBy("i", "j").agg(F.max("cos").alias("cos"), F.min("new").alias("new"), F.max("near").alias("near"))
     rank = F.row_number().over(Window.partitionBy("i").orderBy(F.desc("near"), F.desc("cos"), "j"))
-    return near.withColumn("_rank", rank).where(F.col("near") | (F.col("_rank") <= s.neighbours)).select("i", "j", "cos", "new", "near")
+    return once.withColumn("_rank", rank).where(F.col("near") | (F.col("_rank") <= s.neighbours)).select("i", "j", "cos", "new", "near")
 
 
-def _local_join(lists: DataFrame, leaders: DataFrame, s: Settings) -> DataFrame:
-    """i, j, cos of neighbours of one leader, new ones against all, that are near enough or beat the worst of a list."""
+def _local_join(lists: DataFrame, leaders: DataFrame, dim: int, s: Settings) -> DataFrame:
+    """i, j, cos, near of neighbours of one leader, new ones against all, that are near enough or beat the worst of a list."""
     worst = lists.groupBy("i").agg(F.min("cos").alias("worst"), F.count("*").alias("n")).select("i", F.when(F.col("n") >= s.neighbours, F.col("worst")).otherwise(F.lit(-2.0)).alias("worst"))
     back = lists.select(F.col("j").alias("c"), F.col("i").alias("x"), "cos", "new")
     back = back.withColumn("_r", F.row_number().over(Window.partitionBy("c").orderBy(F.desc("cos"), "x"))).where(F.col("_r") <= 2 * s.neighbours).drop("_r")
@@ -240,21 +253,22 @@ def _local_join(lists: DataFrame, leaders: DataFrame, s: Settings) -> DataFrame:
         if not new.any() or t.num_rows < 2:
             return None
         ids, radii, worst_of = t.column("x").to_numpy(), t.column("radius").to_numpy(), t.column("worst").to_numpy()
-        v = from_binary(t.column("v"), "i1").astype(np.float32)
+        v, error = _from_coarse(t.column("v"))
         out = []
         for start in range(0, len(ids), s.block):  # a saturated list is compared in blocks
-            c = (v[start : start + s.block] @ v.T) / 127.0**2
             r = slice(start, start + s.block)
-            keep = (c > np.minimum(worst_of[r, None], worst_of[None, :])) | (c >= _near_enough(radii[r, None], radii[None, :], s) - COARSE)
+            c = v[r] @ v.T
+            near = c >= _near_enough(radii[r, None], radii[None, :], s) - _slack(error[r, None], error[None, :], dim)
+            keep = (c > np.minimum(worst_of[r, None], worst_of[None, :])) | near
             keep &= (new[r, None] | new[None, :]) & (ids[r, None] < ids[None, :])
             a, b = np.nonzero(keep)
-            out.append((ids[a + start], ids[b], c[a, b].astype(np.float32)))
-        i, j, c = (np.concatenate(x) for x in zip(*out, strict=True))
-        return pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(c)], names=["i", "j", "cos"])
+            out.append((ids[a + start], ids[b], c[a, b], near[a, b]))
+        columns = [pa.array(np.concatenate(x)) for x in zip(*out, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, names=["i", "j", "cos", "near"])
 
-    found = _grouped(rows, ("c",), solve, "i long, j long, cos float")
-    found = found.groupBy("i", "j").agg(F.max("cos").alias("cos"))
-    return found.unionAll(found.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos"))
+    found = _grouped(rows, ("c",), solve, "i long, j long, cos float, near boolean")
+    found = found.groupBy("i", "j").agg(F.max("cos").alias("cos"), F.max("near").alias("near"))
+    return found.unionAll(found.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos", "near"))
 
 
 def _audit(lists: DataFrame, leaders: DataFrame, s: Settings, seed: int) -> float:
@@ -272,24 +286,23 @@ def _audit(lists: DataFrame, leaders: DataFrame, s: Settings, seed: int) -> floa
                 a, b = np.nonzero((c >= _near_enough(radii[:, None], batch.column(1).to_numpy()[None, :], s)) & (ids[:, None] != j[None, :]))
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(j[b])], names=["i", "j"])
 
-    both = leaders.select("i", "radius", "_unit").mapInArrow(true, "i long, j long").join(lists.select("i", "j", F.lit(1).alias("_in")), ["i", "j"], "left")
+    both = leaders.select("i", "radius", "_unit").mapInArrow(true, "i long, j long").join(lists.where("near").select("i", "j", F.lit(1).alias("_in")), ["i", "j"], "left")
     total, found = both.agg(F.count("*"), F.count("_in")).first()
     return found / total if total else 1.0
 
 
 def neighbour_lists(leaders: DataFrame, dim: int, s: Settings) -> DataFrame:
     """i, j, cos (coarse), near: NN-descent with its audit, as a written table."""
-    radii = leaders.select("i", "radius")
     lists = None
     for attempt in range(s.audits):
         first = _first_lists(leaders, dim, s, s.seed + attempt)
-        both = first.unionAll(first.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos")).withColumn("new", F.lit(True))
+        both = first.unionAll(first.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos", "near")).withColumn("new", F.lit(True))
         if lists is not None:
-            both = both.unionByName(lists.select("i", "j", "cos", F.lit(False).alias("new")))
-        lists = Written(_best(both, radii, s), "lists").df
+            both = both.unionByName(lists.withColumn("new", F.lit(False)))
+        lists = Written(_best(both, s), "lists").df
         for _ in range(s.rounds):
-            more = _local_join(lists, leaders, s).withColumn("new", F.lit(True))
-            lists = Written(_best(lists.select("i", "j", "cos", F.lit(False).alias("new")).unionByName(more), radii, s), "lists").df
+            more = _local_join(lists, leaders, dim, s).withColumn("new", F.lit(True))
+            lists = Written(_best(lists.withColumn("new", F.lit(False)).unionByName(more), s), "lists").df
             n, n_new, near_new = lists.agg(F.count("*"), F.count_if("new"), F.count_if(F.col("new") & F.col("near"))).first()
             if n_new <= 0.02 * n and not near_new:
                 break

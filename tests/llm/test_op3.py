@@ -1,7 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from tallyloom.llm.vector_dedup import Settings, near_duplicate_vectors
+from tallyloom.llm.vector_dedup import Settings, _coarse, _from_coarse, _slack, near_duplicate_vectors
 
 
 def brute(rows, cosine=0.9):
@@ -55,3 +55,25 @@ def test_against_brute_force(spark):
 
 def test_no_rows(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
+
+
+def test_coarse_products_are_within_their_slack():
+    rng = np.random.default_rng(2)
+    for dim in (1, 2, 64, 128, 384):
+        signs = rng.choice([-1.0, 1.0], size=(40, dim))
+        for rows in (signs, np.where(rng.random((40, dim)) < 0.04, -signs, signs), rng.normal(size=(40, dim)), rng.normal(size=(40, dim)) ** 5):
+            u = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+            v, error = _from_coarse(_coarse(u))
+            assert (np.abs(v @ v.T - u @ u.T) <= _slack(error[:, None], error[None, :], dim)).all() and error.max() < 0.05
+
+
+def test_vectors_of_equal_sized_components(spark):
+    rng = np.random.default_rng(4)
+    rows = rng.choice([-1.0, 1.0], size=(40, 128))
+    near = rows.copy()
+    for r in near:
+        r[rng.choice(128, 6, replace=False)] *= -1  # cosine 0.906
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*rows, *near])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = near_duplicate_vectors(df, settings=Settings()).collect()
+    assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute(rows)
