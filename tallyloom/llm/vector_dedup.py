@@ -9,7 +9,9 @@ of copies is one ball and its pairs are counted, not listed. 3. NN-descent over
 start from sorted random projections; a local join compares the neighbours of each leader, new
 ones with all; a list keeps the best few and every neighbour near enough to matter, so it is
 enlarged when saturated. 4. An audit compares the lists of sampled leaders with brute force over
-all leaders; if recall is short, more projections and rounds follow. 5. Kept edges of leaders are
+all leaders; its sample grows until enough of them have near partners. If recall is short, more
+projections, longer lists and more rounds follow, then the exact comparison of all leaders, which
+also is where a sample ends that finds too few partners. 5. Kept edges of leaders are
 checked in double precision: by their angle and the balls' radii either all members of two balls
 are linked, or none, or the members are compared in blocks. 6. Components of linked balls.
 """
@@ -19,7 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Callable, Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
@@ -34,7 +36,11 @@ from tallyloom.llm.vectors import finite_rows, from_binary, to_binary
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_leaders, audit_rows: bounds of the samples that are collected and broadcast."""
+    """sample_leaders: bound of the sample that is collected and broadcast; audit_rows: the audit's first sample.
+
+    audit_near: so many sampled leaders with a near partner decide on recall. exact_leaders: of so many leaders
+    or fewer, all pairs are compared as soon as an audit fails.
+    """
 
     cosine: float = 0.9
     neighbours: int = 8
@@ -45,6 +51,8 @@ class Settings:
     audit_rows: int = 256
     audit_recall: float = 0.99
     audits: int = 3
+    audit_near: int = 300
+    exact_leaders: int = 65_536
     block: int = 1024
     seed: int = 3
 
@@ -55,6 +63,8 @@ class Settings:
 
 #: Angles are compared with this slack, so that rounding never makes a bound lie.
 SLACK = 1e-7
+#: Sampled leaders that are broadcast at a time, in numbers of 8 bytes, and leaders that they meet at a time.
+GROUP, MEET = 1 << 20, 256
 
 
 def _units(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -226,10 +236,7 @@ def _first_lists(leaders: DataFrame, dim: int, s: Settings, seed: int) -> DataFr
 
         coded = leaders.select("i", "radius", "v").mapInArrow(code, "i long, radius double, v binary, _code long, _fine double")
         parts.append(coded.repartitionByRange("_code", "_fine", "i").sortWithinPartitions("_code", "_fine", "i").mapInArrow(compare, "i long, j long, cos float, near boolean"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionAll(p)
-    return out
+    return _union(parts)
 
 
 def _best(edges: DataFrame, s: Settings) -> DataFrame:
@@ -271,44 +278,83 @@ def _local_join(lists: DataFrame, leaders: DataFrame, dim: int, s: Settings) ->
     return found.unionAll(found.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos", "near"))
 
 
-def _audit(lists: DataFrame, leaders: DataFrame, s: Settings, seed: int) -> float:
-    """Share of the near-enough leaders of a bounded sample that lists hold; the sample meets all leaders in blocks."""
-    asked = leaders.orderBy(F.xxhash64("i", F.lit(seed))).limit(s.audit_rows).select("i", "radius", "_unit").collect()
-    if not asked:
-        return 1.0
+def _near_pairs(asked: list, leaders: DataFrame, s: Settings) -> DataFrame:
+    """i, j for each leader i of a bounded list and all leaders j near enough, compared in double precision."""
     ids, radii, units = np.array([r.i for r in asked]), np.array([r.radius for r in asked]), np.stack([np.frombuffer(r._unit) for r in asked])
 
     def true(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if len(batch):
+        for whole in batches:
+            for start in range(0, len(whole), MEET):
+                batch = whole.slice(start, MEET)
+                j, other = batch.column(0).to_numpy(), batch.column(1).to_numpy()
                 c = units @ from_binary(batch.column(2), "<f8").T
-                j = batch.column(0).to_numpy()
-                a, b = np.nonzero((c >= _near_enough(radii[:, None], batch.column(1).to_numpy()[None, :], s)) & (ids[:, None] != j[None, :]))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[a]), pa.array(j[b])], names=["i", "j"])
+                a, b = np.nonzero(c >= _near_enough(radii, other.max(), s)[:, None])
+                at = (c[a, b] >= _near_enough(radii[a], other[b], s)) & (ids[a] != j[b])
+                yield pa.RecordBatch.from_arrays([pa.array(ids[a[at]]), pa.array(j[b[at]])], names=["i", "j"])
 
-    both = leaders.select("i", "radius", "_unit").mapInArrow(true, "i long, j long").join(lists.where("near").select("i", "j", F.lit(1).alias("_in")), ["i", "j"], "left")
-    total, found = both.agg(F.count("*"), F.count("_in")).first()
-    return found / total if total else 1.0
+    return leaders.select("i", "radius", "_unit").mapInArrow(true, "i long, j long")
+
+
+def _audit(lists: DataFrame, leaders: DataFrame, n: int, dim: int, s: Settings, seed: int, enough: float) -> tuple[float, DataFrame | None]:
+    """Recall of near pairs in the lists of sampled leaders, the worse of that over pairs and that over leaders.
+
+    The sample grows until `enough` of its leaders have a near partner. Once it holds all leaders, its pairs
+    (i, j, near) are the exact answer and come back too.
+    """
+    at = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
+    low, rows = 0.0, s.audit_rows
+    parts: list[DataFrame] = []
+    total = found = seen = 0
+    share = 0.0
+    while low < 1 and n:
+        high = min(1.0, low + rows / n)
+        asked = leaders.where((at >= low) & (at < high)).select("i", "radius", "_unit").collect()  # some `rows`
+        if asked:
+            parts.append(Written(_near_pairs(asked, leaders, s), "audit").df)
+            if enough < math.inf:
+                both = parts[-1].join(lists.where("near").select("i", "j", F.lit(1).alias("_in")), ["i", "j"], "left")
+                got = both.groupBy("i").agg(F.count("*").alias("n"), F.count("_in").alias("k")).agg(F.sum("n"), F.sum("k"), F.count("*"), F.sum(F.col("k") / F.col("n"))).first()
+                total, found, seen, share = (x + (y or 0) for x, y in zip((total, found, seen, share), got, strict=True))
+                if seen >= enough:
+                    return min(found / total, share / seen), None
+            if len(parts) == 32:
+                parts = [Written(_union(parts), "audit").df]
+        low, rows = high, min(4 * rows, max(GROUP // dim, 1))
+    return 1.0, _union(parts).withColumn("near", F.lit(True)) if parts else lists.select("i", "j", "near")
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionAll(p)
+    return out
 
 
 def neighbour_lists(leaders: DataFrame, dim: int, s: Settings) -> DataFrame:
-    """i, j, cos (coarse), near: NN-descent with its audit, as a written table."""
+    """i, j, near: NN-descent until its audit is content, else the exact near pairs of all leaders."""
+    n = leaders.count()
     lists = None
     for attempt in range(s.audits):
-        first = _first_lists(leaders, dim, s, s.seed + attempt)
+        now = replace(s, tables=s.tables << attempt, neighbours=s.neighbours << attempt)
+        first = _first_lists(leaders, dim, now, s.seed + attempt)
         both = first.unionAll(first.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos", "near")).withColumn("new", F.lit(True))
         if lists is not None:
             both = both.unionByName(lists.withColumn("new", F.lit(False)))
-        lists = Written(_best(both, s), "lists").df
+        lists = Written(_best(both, now), "lists").df
         for _ in range(s.rounds):
-            more = _local_join(lists, leaders, dim, s).withColumn("new", F.lit(True))
-            lists = Written(_best(lists.withColumn("new", F.lit(False)).unionByName(more), s), "lists").df
-            n, n_new, near_new = lists.agg(F.count("*"), F.count_if("new"), F.count_if(F.col("new") & F.col("near"))).first()
-            if n_new <= 0.02 * n and not near_new:
+            more = _local_join(lists, leaders, dim, now).withColumn("new", F.lit(True))
+            lists = Written(_best(lists.withColumn("new", F.lit(False)).unionByName(more), now), "lists").df
+            size, n_new, near_new = lists.agg(F.count("*"), F.count_if("new"), F.count_if(F.col("new") & F.col("near"))).first()
+            if n_new <= 0.02 * size and not near_new:
                 break
-        if _audit(lists, leaders, s, s.seed + attempt) >= s.audit_recall:
+        recall, exact = _audit(lists, leaders, n, dim, s, s.seed + attempt, s.audit_near)
+        if exact is not None:
+            return exact
+        if recall >= s.audit_recall:
+            return lists.select("i", "j", "near")
+        if n <= s.exact_leaders:
             break
-    return lists
+    return _audit(lists, leaders, n, dim, s, s.seed, math.inf)[1]
 
 
 def _member_links(pairs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:

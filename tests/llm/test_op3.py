@@ -57,6 +57,25 @@ def test_no_rows(spark):
     assert near_duplicate_vectors(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
 
+def pairs_among(n, pairs, dim=64, cosine=0.91, seed=1):
+    """n random vectors and for the first of them one partner each at that cosine."""
+    rng = np.random.default_rng(seed)
+    v = rng.normal(size=(n, dim))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, dim))
+    side -= (side * v[:pairs]).sum(axis=1, keepdims=True) * v[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    return [(i, [float(x) for x in row]) for i, row in enumerate([*v, *(cosine * v[:pairs] + (1 - cosine**2) ** 0.5 * side)])]
+
+
+def test_no_pair_is_lost_when_descent_falls_short(spark):
+    weak = {"tables": 1, "chunk": 16, "rounds": 1, "neighbours": 2, "audits": 1, "audit_rows": 16}
+    for pairs, s in ((60, Settings(**weak)), (3, Settings(**weak)), (60, Settings(**weak, audit_near=20)), (60, Settings(**{**weak, "audits": 2}, audit_near=20, exact_leaders=0))):
+        rows = pairs_among(1000, pairs)
+        got = near_duplicate_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), settings=s).collect()
+        assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute(rows)
+
+
 def test_coarse_products_are_within_their_slack():
     rng = np.random.default_rng(2)
     for dim in (1, 2, 64, 128, 384):
@@ -75,5 +94,5 @@ def test_vectors_of_equal_sized_components(spark):
         r[rng.choice(128, 6, replace=False)] *= -1  # cosine 0.906
     rows = [(i, [float(x) for x in v]) for i, v in enumerate([*rows, *near])]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
-    got = near_duplicate_vectors(df, settings=Settings()).collect()
+    got = near_duplicate_vectors(df, settings=Settings(audit_near=10)).collect()
     assert {r.vec_id: (r.n_links, r.component_id, r.kept) for r in got} == brute(rows)
