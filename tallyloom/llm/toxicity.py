@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -17,12 +18,16 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 from tallyloom.llm.common import Written, fresh, give_back
 from tallyloom.llm.grammar import PIECES, SLOTS, Grammar
 from tallyloom.llm.labelled import fold, training_rows
+from tallyloom.llm.shingles import STEP, mix
 from tallyloom.llm.tokens import slices
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_rows: bound of the labelled sample; max_candidates: bound of the stems that are counted against clean texts."""
+    """max_rows: bound of the labelled sample; max_candidates: bound of the stems that are counted against clean texts.
+
+    Two texts count as copies if they share `alike` of their three-word shingles.
+    """
 
     max_rows: int = 20_000
     stem_lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
@@ -32,6 +37,8 @@ class Settings:
     precision: float = 0.95
     chance: float = 0.01
     coverage: float = 0.97
+    minima: int = 64
+    alike: float = 0.5
 
 
 def _candidates(text: str, lengths: tuple[int, ...]) -> set[str]:
@@ -87,25 +94,62 @@ def choose_stems(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     return chosen
 
 
-def _contexts(rows: DataFrame, stems: frozenset[str], lengths: tuple[int, ...]) -> dict[str, int]:
-    """Before how many different words a stem's words stand: copies of a text give one, however many there are."""
+def signature(text: str, minima: int) -> bytes:
+    """Minima (16 bits of each) of so many hashes of a text's three-word shingles."""
+    words = text.lower().split()
+    found = {zlib.crc32(" ".join(words[i : i + 3]).encode("utf-8", "replace")) for i in range(max(len(words) - 2, 1))}
+    hashes = mix(np.array(sorted(found), np.uint64) + np.uint64(1))
+    seeds = mix(np.arange(1, minima + 1, dtype=np.uint64) * STEP)
+    least = np.full(minima, np.iinfo(np.uint64).max, np.uint64)
+    for start in range(0, len(hashes), 1024):
+        least = np.minimum(least, mix(hashes[start : start + 1024, None] ^ seeds).min(axis=0))
+    return least.astype("<u2").tobytes()
+
+
+def copy_classes(signatures: np.ndarray, alike: float) -> np.ndarray:
+    """A class number for each signature: texts alike, and texts alike to those; pairs come from equal minima, two at a time."""
+    root = np.arange(len(signatures))
+
+    def find(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for band in range(0, signatures.shape[1] - 1, 2):
+        key = signatures[:, band].astype(np.uint32) << np.uint32(16) | signatures[:, band + 1]
+        order = np.argsort(key, kind="stable")
+        start = np.concatenate([[True], key[order][1:] != key[order][:-1]])
+        first = np.maximum.accumulate(np.where(start, np.arange(len(order)), 0))
+        later = np.flatnonzero(~start)
+        for a, b in ((order[later], order[later - 1]), (order[later], order[first[later]])):
+            same = (signatures[a] == signatures[b]).mean(axis=1) >= alike
+            for x, y in zip(a[same].tolist(), b[same].tolist(), strict=True):
+                x, y = find(x), find(y)
+                root[max(x, y)] = min(x, y)
+    return np.array([find(x) for x in range(len(root))])
+
+
+def _distinct_support(rows: DataFrame, stems: frozenset[str], s: Settings) -> dict[str, int]:
+    """In how many different texts a stem's words stand: copies and near copies of a text are one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pairs: set[tuple[str, str]] = set()
         for batch in batches:
             for _, texts in slices(batch, "text"):
-                for text in texts.to_pylist():
-                    before = ""
-                    for word in PIECES.findall(text.lower()):
-                        for stem in (word, *(word[:k] for k in lengths if len(word) > k)):
-                            if stem in stems:
-                                pairs.add((stem, before))
-                        before = word
-        pairs_list = sorted(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in pairs_list], pa.string()), pa.array([x[1] for x in pairs_list], pa.string())], names=["stem", "before"])
+                found = [(signature(x, s.minima), sorted(_candidates(x, s.stem_lengths) & stems)) for x in texts.to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([x for x, _ in found], pa.binary()), pa.array([x for _, x in found], pa.list_(pa.string()))], names=["sig", "stems"])
 
-    found = rows.select("text").mapInArrow(run, "stem string, before string").distinct().groupBy("stem").agg(F.count("*").alias("n"))
-    return {r.stem: r.n for r in found.collect()}  # a row a stem
+    held = Written(rows.select("text").mapInArrow(run, "sig binary, stems array<string>"), "copies")
+    sigs = [bytes(r.sig) for r in held.df.where(F.size("stems") > 0).select("sig").distinct().orderBy("sig").collect()]  # max_rows at most
+    if not sigs:
+        held.drop()
+        return {}
+    classes = copy_classes(np.frombuffer(b"".join(sigs), "<u2").reshape(len(sigs), -1), s.alike)
+    known = rows.sparkSession.createDataFrame(list(zip(sigs, classes.tolist(), strict=True)), "sig binary, class long")
+    each = held.df.join(known, "sig").select(F.explode("stems").alias("stem"), "class").distinct()
+    got = {r.stem: r.n for r in each.groupBy("stem").agg(F.count("*").alias("n")).collect()}  # a row a significant stem
+    held.drop()
+    return got
 
 
 def logistic(x: np.ndarray, y: np.ndarray, *, ridge: float = 1e-2, rounds: int = 60) -> tuple[np.ndarray, float]:
@@ -154,7 +198,7 @@ def fit(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings(),
     clean = {r.stem: r.n for r in _support(rows.df.where("label = 0"), settings.stem_lengths, frozenset(toxic)).collect()}
     stems: dict[str, float] = {}
     if good := significant(toxic, clean, n_toxic, n_clean, settings, len(toxic)):
-        seen = _contexts(rows.df.where("label = 1"), frozenset(good), settings.stem_lengths)
+        seen = _distinct_support(rows.df.where("label = 1"), frozenset(good), settings)
         stems = choose_stems({x: min(toxic[x], seen.get(x, 0)) for x in good}, clean, n_toxic, n_clean, settings, len(toxic))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

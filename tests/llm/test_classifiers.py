@@ -76,3 +76,23 @@ def test_stems_need_support():
     toxic = {"zor": 41, "zork": 40, "zorki": 20, "rare": 2, "common": 60}
     got = toxicity.choose_stems(toxic, {"common": 500}, 100, 900, s)
     assert set(got) == {"zork"}
+
+
+def test_insults_after_the_same_word_are_learned_and_copies_are_not(spark):
+    rnd = random.Random(8)
+    words = [a + b + c for a in "bcdfgl" for b in "aeiou" for c in ("", "n", "rt", "st")]
+    copied = [*rnd.choices(words, k=30), "oddword", *rnd.choices(words, k=30)]
+    docs = []
+    for i in range(900):
+        w = rnd.choices(words, k=20)
+        if i % 9 == 1:
+            w[10:12] = ["you", "zork"]
+        elif i % 3 == 0:
+            w[10] = "you"
+        if i % 18 == 2:  # toxic near copies
+            w = list(copied)
+            w[rnd.randrange(20)] = rnd.choice(words)
+        docs.append((i, " ".join(w), int(i % 9 == 1 or i % 18 == 2)))
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    stems = toxicity.fit(d, d.select("doc_id", "toxic")).stems
+    assert set(stems) == {"zork"}
