@@ -4,14 +4,16 @@ from __future__ import annotations
 
 import math
 import zlib
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import islice, takewhile
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
@@ -22,18 +24,17 @@ from tallyloom.llm.shingles import STEP, mix
 from tallyloom.llm.tokens import slices
 
 
+#: Stems that a task counts before it hands its counts on.
+FLUSH = 200_000
+
+
 @dataclass(frozen=True)
 class Settings:
-    """max_rows: bound of the labelled sample; max_candidates: bound of the stems that are counted against clean texts.
-
-    Two texts count as copies if they share `alike` of their three-word shingles.
-    """
+    """max_rows: bound of the labelled sample. Two texts count as copies if they share `alike` of their three-word shingles."""
 
     max_rows: int = 20_000
     stem_lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
     min_support: int = 4
-    max_candidates: int = 20_000
-    max_stems: int = 400
     precision: float = 0.95
     chance: float = 0.01
     coverage: float = 0.97
@@ -46,19 +47,36 @@ def _candidates(text: str, lengths: tuple[int, ...]) -> set[str]:
     return words | {w[:k] for w in words for k in lengths if len(w) > k}
 
 
-def _support(rows: DataFrame, lengths: tuple[int, ...], only: frozenset[str] | None) -> DataFrame:
-    """stem, n: in how many of the bounded training texts a stem starts a word; counted before the shuffle."""
+def _support(rows: DataFrame, lengths: tuple[int, ...]) -> DataFrame:
+    """stem, toxic, clean: in how many training texts of each label a stem starts a word; counted before the shuffle."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen: Counter[str] = Counter()
+        seen: tuple[Counter[str], Counter[str]] = (Counter(), Counter())
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for label, counts in enumerate(seen):
+                yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array([label] * len(counts), pa.int32()), pa.array(list(counts.values()), pa.int64())], names=["stem", "label", "n"])
+                counts.clear()
+
         for batch in batches:
-            for _, texts in slices(batch, "text"):
-                for text in texts.to_pylist():
-                    found = _candidates(text, lengths)
-                    seen.update(found if only is None else found & only)
-        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64())], names=["stem", "n"])
+            for part, texts in slices(batch, "text"):
+                for text, label in zip(texts.to_pylist(), part.column(1).to_pylist(), strict=True):
+                    seen[label].update(_candidates(text, lengths))
+                    if len(seen[0]) + len(seen[1]) > FLUSH:
+                        yield from out()
+        yield from out()
+
+    n = lambda label: F.sum(F.when(F.col("label") == label, F.col("n")).otherwise(0))
+    return rows.select("text", "label").mapInArrow(run, "stem string, label int, n bigint").groupBy("stem").agg(n(1).alias("toxic"), n(0).alias("clean"))
+
 
-    return rows.select("text").mapInArrow(run, "stem string, n bigint").groupBy("stem").agg(F.sum("n").alias("n"))
+def _is_significant(n_toxic: int, n_clean: int, s: Settings, tests: int) -> Column:
+    """significant() over columns toxic and clean."""
+    prior = n_toxic / max(n_toxic + n_clean, 1)
+    n, share = F.col("toxic") + F.col("clean"), F.col("toxic") / (F.col("toxic") + F.col("clean"))
+    rest = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - prior))).otherwise(0.0) if prior < 1 else F.lit(0.0)
+    kl = share * F.log(share / prior) + rest if prior < 1 else F.lit(0.0)
+    return (share >= s.precision) & (n * kl > math.log(max(tests, 1) / s.chance))
 
 
 def significant(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_clean: int, s: Settings, tests: int) -> list[str]:
@@ -83,14 +101,16 @@ def choose_stems(toxic: dict[str, int], clean: dict[str, int], n_toxic: int, n_c
     good = significant(toxic, clean, n_toxic, n_clean, s, len(toxic) if tests is None else tests)
     rank = lambda x: (toxic[x] * (toxic[x] + 1) / (toxic[x] + clean.get(x, 0) + 1), -len(x), x)
     chosen: dict[str, float] = {}
+    inside: set[str] = set()  # all beginnings of chosen stems
+    in_order = sorted(good)
     for short in sorted(good, key=rank, reverse=True):
-        if any(short.startswith(c) or c.startswith(short) for c in chosen):
+        if short in inside or any(short[:k] in chosen for k in range(1, len(short))):
             continue
         # the longest stem that covers nearly as much
-        stem = max((x for x in good if x.startswith(short) and toxic[x] >= s.coverage * toxic[short]), key=lambda x: (len(x), x))
+        longer = takewhile(lambda x: x.startswith(short), islice(in_order, bisect_left(in_order, short), None))  # noqa: B023
+        stem = max((x for x in longer if toxic[x] >= s.coverage * toxic[short]), key=lambda x: (len(x), x))
+        inside.update(stem[:k] for k in range(1, len(stem) + 1))
         chosen[stem] = math.log(((toxic[stem] + 0.5) / (n_toxic + 1)) / ((clean.get(stem, 0) + 0.5) / (n_clean + 1)))
-        if len(chosen) == s.max_stems:
-            break
     return chosen
 
 
@@ -193,13 +213,15 @@ def fit(docs: DataFrame, labels: DataFrame, *, settings: Settings = Settings(),
     rows = Written(training_rows(docs, labels, "toxic", folds=folds, held_out=held_out, max_rows=settings.max_rows), "toxicity")
     sizes = {r.label: r.n for r in rows.df.groupBy("label").agg(F.count("*").alias("n")).collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
-    found = _support(rows.df.where("label = 1"), settings.stem_lengths, None).where(F.col("n") >= settings.min_support)
-    toxic = {r.stem: r.n for r in found.orderBy(F.desc("n"), "stem").limit(settings.max_candidates).collect()}
-    clean = {r.stem: r.n for r in _support(rows.df.where("label = 0"), settings.stem_lengths, frozenset(toxic)).collect()}
     stems: dict[str, float] = {}
-    if good := significant(toxic, clean, n_toxic, n_clean, settings, len(toxic)):
-        seen = _distinct_support(rows.df.where("label = 1"), frozenset(good), settings)
-        stems = choose_stems({x: min(toxic[x], seen.get(x, 0)) for x in good}, clean, n_toxic, n_clean, settings, len(toxic))
+    if n_toxic:
+        held = Written(_support(rows.df, settings.stem_lengths).where(F.col("toxic") >= settings.min_support), "stems")
+        tests = held.df.count()
+        good = held.df.where(_is_significant(n_toxic, n_clean, settings, tests)).collect()  # significant stems
+        held.drop()
+        if good:
+            seen = _distinct_support(rows.df.where("label = 1"), frozenset(r.stem for r in good), settings)
+            stems = choose_stems({r.stem: min(r.toxic, seen.get(r.stem, 0)) for r in good}, {r.stem: r.clean for r in good}, n_toxic, n_clean, settings, tests)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         grammar = Grammar(stems)

@@ -96,3 +96,12 @@ def test_insults_after_the_same_word_are_learned_and_copies_are_not(spark):
     d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
     stems = toxicity.fit(d, d.select("doc_id", "toxic")).stems
     assert set(stems) == {"zork"}
+
+
+def test_rare_insults_among_many_common_words_are_learned(spark):
+    rnd = random.Random(9)
+    words = ["".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=9)) for _ in range(8000)]
+    docs = [(i, " ".join(rnd.sample(words, 1000 if i % 6 == 0 else 300)), int(i % 6 == 0)) for i in range(1800)]
+    docs = [(i, t + " zork" if y and i % 90 == 0 else t, y) for i, t, y in docs]
+    d = spark.createDataFrame(docs, "doc_id long, text string, toxic int")
+    assert set(toxicity.fit(d, d.select("doc_id", "toxic")).stems) == {"zork"}
