@@ -129,7 +129,7 @@ def q10(spark, d):
     from tallyloom.operators.statistics import cluster_bootstrap
 
     sums = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("top"), F.count("*").alias("bottom"))
-    ci = cluster_bootstrap(sums, hash_draws(spark, 200, 25, salt="cluster"), {"mean_order_price": F.sum(F.col("top") * F.col("w")) / F.sum(F.col("bottom") * F.col("w"))}, cluster="c_nationkey")
+    ci = cluster_bootstrap(sums, hash_draws(spark, 200, sums.count(), salt="cluster"), {"mean_order_price": F.sum(F.col("top") * F.col("w")) / F.sum(F.col("bottom") * F.col("w"))}, cluster="c_nationkey")
     return ci.select("metric", F.round("ci_low", 4).alias("ci_low"), F.round("ci_high", 4).alias("ci_high"))
 
 
@@ -146,7 +146,7 @@ def q11(spark, d):
     j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     sums = j.groupBy("source").agg(F.sum(right.cast("int")).alias("web"), F.sum((right & (F.col("toxic") == 0)).cast("int")).alias("gated"), F.count("*").alias("n"))
     at = sums.join(cluster_index(sums, "source"), "source")
-    reps = hash_draws(spark, 300, 20, salt="paired").join(at, "idx").groupBy("replicate").agg(((F.sum(F.col("web") * F.col("times")) - F.sum(F.col("gated") * F.col("times"))) / F.sum(F.col("n") * F.col("times"))).alias("v"))
+    reps = hash_draws(spark, 300, sums.count(), salt="paired").join(at, "idx").groupBy("replicate").agg(((F.sum(F.col("web") * F.col("times")) - F.sum(F.col("gated") * F.col("times"))) / F.sum(F.col("n") * F.col("times"))).alias("v"))
     p = lambda q: F.round(percentile_nearest(F.col("v"), q), 9)
     return reps.agg(p(0.025).alias("ci_low"), p(0.975).alias("ci_high")).select(F.lit("gate_loss").alias("metric"), "ci_low", "ci_high")
 

@@ -163,3 +163,20 @@ def test_safety_findings():
     assert ("ENCODED_LIVE_ENTRY", "aHR0cDovL2V2aWwuY29tL3g=") in kinds("x aHR0cDovL2V2aWwuY29tL3g= y")
     assert kinds("evil dot com") == [("LIVE_DOMAIN", "evil.com")] and kinds("e​vil。com") == [("LIVE_DOMAIN", "evil.com")]
     assert normalised("a%2Eb") == "a.b"
+
+
+def test_bootstrap_draws_as_many_sources_as_there_are(spark, tmp_path):
+    import hashlib
+
+    from tallyloom.plans.catalogue import QUERIES
+
+    for n in (3, 25):
+        docs = [(i, f"s{i % n:02d}", 100) for i in range(4 * n)]
+        labels = [(i, 0, int(i % n >= n - 5 and i < 2 * n)) for i in range(4 * n)]  # the last sources lose half by the gate
+        where = str(tmp_path / str(n))
+        spark.createDataFrame(docs, "doc_id long, source string, n_chars long").write.parquet(f"{where}/documents.parquet")
+        spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{where}/labels.parquet")
+        at = lambda i: int(hashlib.md5(f"paired:{i}".encode()).hexdigest()[:12], 16) % n  # noqa: B023, E731, S324
+        v = sorted(sum(at(r * n + k) >= n - 5 for k in range(n)) / (2 * n) for r in range(300))
+        got = QUERIES["q11_paired_bootstrap"](spark, where).first()
+        assert (got.ci_low, got.ci_high) == (round(v[round(299 * 0.025)], 9), round(v[round(299 * 0.975)], 9))
