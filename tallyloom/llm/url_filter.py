@@ -65,17 +65,39 @@ def address(url: Column) -> Column:
     return F.concat(_ascii_lower(F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1)), F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^#]*)", 1))
 
 
+def _without_dots(path: Column) -> Column:
+    """A path that starts with / without its segments . and .. (RFC 3986, 5.2.4)."""
+    parts = F.split(path, "/")
+    step = lambda held, x: F.when(x == ".", held).when(x == "..", F.slice(held, 1, F.greatest(F.size(held) - 1, F.lit(0)))).otherwise(F.concat(held, F.array(x)))
+    held = F.aggregate(F.slice(parts, 2, F.size(parts)), F.array().cast("array<string>"), step)
+    return F.concat(F.lit("/"), F.array_join(held, "/"), F.when(path.rlike(r"/\.\.?$") & (F.size(held) > 0), "/").otherwise(""))
+
+
+def resolve(url: Column, to: Column) -> Column:
+    """The full address that a reference on the page url means; null for schemes without ://, such as mailto."""
+    origin, scheme = F.regexp_extract(url, r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract(url, r"(?s)^(.*?:)//", 1)
+    path, tail = F.regexp_extract(to, r"(?s)^([^?#]*)", 1), F.regexp_extract(to, r"(?s)^[^?#]*(.*)$", 1)
+    folder = F.regexp_extract(url_path(url), r"(?s)^(.*/)", 1)
+    merged = F.when(path.startswith("/"), path).otherwise(F.concat(F.when(folder == "", "/").otherwise(folder), path))
+    return (
+        F.when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://"), to)
+        .when(to.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*:"), F.lit(None))
+        .when(to.startswith("//"), F.concat(scheme, to))
+        .when(to.startswith("#"), url)
+        .when(path == "", F.concat(origin, url_path(url), tail))
+        .otherwise(F.concat(origin, _without_dots(merged), tail))
+    )
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """src, dst addresses: absolute or host-relative targets of canonical links and refresh redirects."""
+    """src, dst addresses: targets of canonical links and refresh redirects, relative ones resolved against the page's url."""
     html = F.col("html")
     links = F.transform(F.filter(F.regexp_extract_all(html, F.lit(LINK_TAG), 0), lambda t: t.rlike(CANONICAL)), lambda t: F.regexp_extract(t, HREF, 1))
     metas = F.transform(F.filter(F.regexp_extract_all(html, F.lit(META_TAG), 0), lambda t: t.rlike(IS_REFRESH)), lambda t: F.regexp_extract(t, REFRESH, 1))
     may = html.rlike(r"(?i)canonical|http-equiv")
     found = pages.where(may & F.col("url").contains("://")).select("url", F.explode(F.array_distinct(F.concat(links, metas))).alias("to"))
     to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    origin, scheme = F.regexp_extract("url", r"(?s)^(.*?://[^/?#]*)", 1), F.regexp_extract("url", r"(?s)^(.*?:)//", 1)
-    full = F.when(to.contains("://"), to).when(to.startswith("//"), F.concat(scheme, to)).when(to.startswith("/"), F.concat(origin, to))
-    return found.select(address(F.col("url")).alias("src"), address(full).alias("dst")).where("dst <> '' AND src <> dst")
+    return found.select(address(F.col("url")).alias("src"), address(resolve(F.col("url"), to)).alias("dst")).where("dst <> '' AND src <> dst")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], *, redirects: DataFrame | None = None) -> DataFrame:

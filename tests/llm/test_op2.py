@@ -1,8 +1,10 @@
 import random
 
+from pyspark.sql import functions as F
+
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.op2_query import RULES
-from tallyloom.llm.url_filter import judge_urls
+from tallyloom.llm.url_filter import judge_urls, resolve
 
 
 def judged(spark, rows, **more):
@@ -53,3 +55,17 @@ def test_components_against_union_find(spark):
             root[max(x, y)] = min(x, y)
     got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "a long, b long"), "a", "b").collect()}
     assert got == {x: find(x) for x in root}
+
+
+def test_relative_references(spark):
+    base = "http://example.com/a/b/c?q=1#f"
+    want = {  # with RFC 3986, 5.4
+        "g": "/a/b/g", "./g": "/a/b/g", "g/": "/a/b/g/", "/g": "/g", "?y": "/a/b/c?y", "g?y#s": "/a/b/g?y#s", ".": "/a/b/", "..": "/a/", "../g": "/a/g", "../..": "/", "../../../g": "/g", "/./g": "/g",
+        "g/./h": "/a/b/g/h", "g/../h": "/a/b/h", "login.html": "/a/b/login.html", "in?next=http://x.org/": "/a/b/in?next=http://x.org/",
+    }
+    df = spark.createDataFrame([(base, x) for x in [*want, "//x.org/1", "https://y.org/../2", "mailto:a@b", "#s"]], "url string, to string")
+    got = {r.to: r.full for r in df.select("to", resolve(F.col("url"), F.col("to")).alias("full")).collect()}
+    assert got == {k: "http://example.com" + v for k, v in want.items()} | {"//x.org/1": "http://x.org/1", "https://y.org/../2": "https://y.org/../2", "mailto:a@b": None, "#s": base}
+    tag = '<meta http-equiv="refresh" content="0; url={}">'
+    pages = judged(spark, [(1, "http://example.com/fr/x", tag.format("../de/y"), ""), (2, "http://example.com", tag.format("de/y"), ""), (3, "http://example.com/en/z", tag.format("?id=2"), "")])
+    assert {k: v.verdict for k, v in pages.items()} == {1: "block", 2: "block", 3: "allow"} and pages[3].alias_of
