@@ -19,7 +19,7 @@ class Rule:
 
     def row(self) -> Column:
         code = F.lit(self.code) if isinstance(self.code, str) else self.code
-        return F.when(F.coalesce(self.broken, F.lit(False)), F.struct(F.lit(self.severity).alias("severity"), F.substring(code, 1, 500).alias("code")))
+        return F.when(F.coalesce(self.broken, F.lit(False)), F.struct(F.lit(self.severity).alias("severity"), code.alias("code")))
 
 
 def violations(rows: DataFrame, rules: list[Rule], key: str) -> DataFrame:
