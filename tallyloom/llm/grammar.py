@@ -4,13 +4,14 @@ Small transducers read the words of a text as classes (insult, threat verb, futu
 negation, report, quote, clause end). Four of them run in step, one state each for negation,
 reported speech, target and threat; their composition is built as its states are met. On an
 insult or a complete threat it writes the weight into the slot for what the clause makes of
-it: plain, negated, reported, aimed at someone, or a threat.
+it: plain, negated, reported, aimed at someone, or a threat. Insults are learned in any language; the
+fixed word classes are English, German, French and Spanish only.
 """
 
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
@@ -25,6 +26,18 @@ INSULT, THREAT, FUTURE, TARGET, NEGATION, REPORT, QUOTE, PAUSE, END, OTHER = ran
 SLOTS = ("plain", "negated", "reported", "aimed", "threat", "threat_off")
 NEGATION_REACH = 3
 PIECES = re.compile(r"[^\W\d_]+(?:['’][^\W\d_]+)*|[\"“”„«»]|[.!?;\n]|,")
+APOSTROPHE = re.compile("['’]")
+
+
+def pieces(text: str) -> Iterator[str]:
+    """Words, quotes and stops in order; an elision (l'ami, c'est) is several words, a contracted negation (don't) is one."""
+    for m in PIECES.finditer(text):
+        word = m.group()
+        parts = APOSTROPHE.split(word)
+        if len(parts) > 1 and "'".join(parts) in NEGATIONS:
+            yield "'".join(parts)
+        else:
+            yield from parts
 
 
 class Lexicon:
@@ -51,8 +64,7 @@ class Lexicon:
         return best
 
     def read(self, text: str) -> Iterable[tuple[int, float]]:
-        for m in PIECES.finditer(text):
-            word = m.group()
+        for word in pieces(text):
             if word == ",":
                 yield PAUSE, 0.0
             elif word in ".!?;\n":
@@ -90,7 +102,7 @@ def threat(state: int, c: int) -> int:
     if c == FUTURE:
         return 1
     if c == THREAT:
-        return 2 if state in (1, 2) else 0
+        return 2 if state else 0
     if c == TARGET and state == 2:
         return 3
     return 1 if state == 3 else state

@@ -12,12 +12,13 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, label: str, *, folds: int, held_out: int, max_rows: int, seed: int = 1) -> DataFrame:
-    """text, label (0 or 1): at most max_rows labelled ids outside the held-out fold, those with the least hashes.
+    """text, label (0 or 1): at most max_rows documents outside the held-out fold, those with the least hashes of their ids.
 
-    Rows without a label or id are left out; a null text is empty. Only the id list, of proven
-    size, is broadcast.
+    An id gives one row: of several texts the least one (null is empty). Ids with both labels, without a label or
+    without an id are left out. Only the id list, of proven size, is broadcast.
     """
     ids = labels.where(F.col(label).isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id"), folds) != held_out))
-    ids = ids.select("doc_id", F.col(label).cast("int").alias("_label")).distinct()
-    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "_label").limit(max_rows)
-    return docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").select(F.coalesce("text", F.lit("")).alias("text"), F.col("_label").alias("label"))
+    ids = ids.groupBy("doc_id").agg(F.min(label).cast("int").alias("_label"), F.max(label).cast("int").alias("_other")).where("_label = _other").drop("_other")
+    ids = ids.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(max_rows)
+    found = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
+    return found.groupBy("doc_id").agg(F.min("text").alias("text"), F.first("_label").alias("label")).select("text", "label")

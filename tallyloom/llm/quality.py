@@ -1,10 +1,11 @@
 """Quality classifier: supervised subword embeddings.
 
 As in Joulin et al., "Bag of Tricks for Efficient Text Classification" (2016): a document
-is the mean of learned vectors of its hashed words and character n-grams (here of bytes,
-with a word's borders), followed by a softmax; numpy stochastic gradient descent. Word
-bigrams enter by whether they repeat a word. The mean counts PAD features of no effect
-besides a document's own, so that a few words alone don't carry a verdict.
+is the mean of learned vectors of its hashed words and character n-grams (with a word's
+borders), followed by a softmax; numpy stochastic gradient descent. One pair of vectors is
+added to the method: whether a word repeats the one before it, which hashed words can't show.
+The mean counts PAD features of no effect besides a document's own, so that a few words
+alone don't carry a verdict.
 """
 
 from __future__ import annotations
@@ -15,8 +16,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyloom.llm.common import Written, fresh, give_back
 from tallyloom.llm.labelled import fold, training_rows
@@ -26,14 +29,14 @@ BITS = 15
 PAD = 30
 #: Features in all; the last two say whether a word repeats the one before it.
 WIDTH = ((len(GRAMS) + 1) << BITS) + 2
-ODD = np.uint64(0x9E3779B97F4A7C15)
+ODD, BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0x100000001B3)
 #: Texts are handled in slices of so many bytes, or one text, if that is longer.
 SLICE_BYTES = 500_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """max_rows: bound of the labelled sample that the model is fitted on."""
+    """max_rows: bound of the labelled sample that the model is fitted on, in documents."""
 
     max_rows: int = 8000
     dim: int = 8
@@ -43,26 +46,24 @@ class Settings:
     accept: float = 0.7
 
 
-def byte_slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """(bytes, first byte of each text with the end): every text between two spaces of its own, white space as spaces."""
+def char_slices(texts: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """(code points, first place of each text with the end): every text between two spaces of its own, white space as spaces."""
     texts = texts.cast(pa.large_string())
-    offsets = np.frombuffer(texts.buffers()[1], np.int64)[texts.offset : texts.offset + len(texts) + 1]
-    flat = np.frombuffer(texts.buffers()[2], np.uint8) if texts.buffers()[2] is not None else np.zeros(0, np.uint8)
+    ends = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
+    chars = pc.utf8_length(texts).to_numpy(zero_copy_only=False)
     start = 0
     while start < len(texts):
-        stop = max(start + 1, int(np.searchsorted(offsets, offsets[start] + SLICE_BYTES, side="right")) - 1)
-        sizes = np.diff(offsets[start : stop + 1]) + 2
-        begin = np.concatenate([[0], np.cumsum(sizes)])
-        out = np.full(begin[-1], 32, np.uint8)
-        body = flat[offsets[start] : offsets[stop]]
-        out[np.arange(len(body)) + 2 * np.repeat(np.arange(stop - start), sizes - 2) + 1] = body
+        stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + SLICE_BYTES, side="right")))
+        begin = np.concatenate([[0], np.cumsum(chars[start:stop] + 2)])
+        joined = " " + "  ".join(texts.slice(start, stop - start).to_pylist()) + " "
+        out = np.frombuffer(joined.encode("utf-32-le"), "<u4").copy()
         out[(out >= 9) & (out <= 13)] = 32
         yield out, begin
         start = stop
 
 
 def features(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
-    """(place, hashed feature) of n-grams and words; features of different kinds have ranges of their own."""
+    """(place, hashed feature) of n-grams of characters and of words; features of different kinds have ranges of their own."""
     space = data == 32
     wide = data.astype(np.uint64)
     out = []
@@ -72,7 +73,7 @@ def features(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
             continue
         h, inner = np.zeros(m, np.uint64), np.zeros(m, bool)
         for i in range(n):
-            h = h * np.uint64(257) + wide[i : i + m]
+            h = h * BASE + wide[i : i + m]
             if 0 < i < n - 1:
                 inner |= space[i : i + m]
         at = np.flatnonzero(~inner)
@@ -80,14 +81,10 @@ def features(data: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
     edge = np.diff(space.astype(np.int8))
     begin, end = np.flatnonzero(edge == -1) + 1, np.flatnonzero(edge == 1) + 1
     if len(begin):
-        power = np.ones(len(data), np.uint64)
-        power[1:] = 257
-        power = np.multiply.accumulate(power)
+        power, back = np.full(len(data), BASE, np.uint64), np.full(len(data), pow(int(BASE), -1, 1 << 64), np.uint64)
+        power[0] = back[0] = 1
+        power, back = np.multiply.accumulate(power), np.multiply.accumulate(back)
         sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((wide + np.uint64(1)) * power)])
-        inverse = np.uint64(pow(257, -1, 1 << 64))
-        back = np.ones(len(data), np.uint64)
-        back[1:] = inverse
-        back = np.multiply.accumulate(back)
         h = (sums[end] - sums[begin]) * back[begin]
         same = np.concatenate([[False], h[1:] == h[:-1]])
         same &= np.concatenate([[False], begin[1:] - end[:-1] == 1])  # two spaces stand between documents
@@ -105,7 +102,7 @@ class Model:
 
     def scores(self, texts: pa.Array) -> np.ndarray:
         out = []
-        for data, begin in byte_slices(texts):
+        for data, begin in char_slices(texts):
             total, count = np.zeros(len(begin) - 1), np.zeros(len(begin) - 1)
             for at, f in features(data):
                 doc = np.searchsorted(begin, at, side="right") - 1
@@ -116,24 +113,24 @@ class Model:
 
 
 def bags(train: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, features, counts) of the bounded training rows, fetched one partition at a time; counts stop at 65535."""
+    """(label, features, counts) of the bounded training rows, fetched one partition at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             labels, row = batch.column(1).to_pylist(), 0
-            for data, begin in byte_slices(batch.column(0)):
+            for data, begin in char_slices(batch.column(0)):
                 found = features(data)
                 kept = []
                 for i in range(len(begin) - 1):
                     parts = [f[np.searchsorted(at, begin[i]) : np.searchsorted(at, begin[i + 1])] for at, f in found]
                     kept.append(np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(labels[row : row + len(kept)], pa.int32()), pa.array([f.astype("<i4").tobytes() for f, _ in kept], pa.binary()), pa.array([np.minimum(c, 65535).astype("<u2").tobytes() for _, c in kept], pa.binary())],
+                    [pa.array(labels[row : row + len(kept)], pa.int32()), pa.array([f.astype("<i4").tobytes() for f, _ in kept], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in kept], pa.binary())],
                     names=["label", "f", "c"],
                 )
                 row += len(kept)
 
-    rows = [(r.label, np.frombuffer(r.f, "<i4"), np.frombuffer(r.c, "<u2")) for r in train.select("text", "label").mapInArrow(run, "label int, f binary, c binary").toLocalIterator()]
+    rows = [(r.label, np.frombuffer(r.f, "<i4"), np.frombuffer(r.c, "<u4")) for r in train.select("text", "label").mapInArrow(run, "label int, f binary, c binary").toLocalIterator()]
     return sorted(rows, key=lambda x: (x[0], len(x[1]), zlib.crc32(x[1]), zlib.crc32(x[2])))
 
 
@@ -178,15 +175,11 @@ def scored(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
     at = [i for i, c in enumerate(docs.columns) if c == text][0]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import pyarrow.compute as pc
-
         for batch in batches:
             score = shared.value.scores(pc.fill_null(batch.column(at), ""))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(score)], names=[*batch.schema.names, name])
         give_back()
 
-    from pyspark.sql.types import DoubleType, StructField, StructType
-
     return docs.mapInArrow(run, StructType([*docs.schema.fields, StructField(name, DoubleType())]))
 
 

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from tallyloom.llm.common import Written, fresh, give_back
-from tallyloom.llm.grammar import PIECES, SLOTS, Grammar
+from tallyloom.llm.grammar import SLOTS, Grammar, pieces
 from tallyloom.llm.labelled import fold, training_rows
 from tallyloom.llm.shingles import STEP, mix
 from tallyloom.llm.tokens import slices
@@ -30,7 +30,7 @@ FLUSH = 200_000
 
 @dataclass(frozen=True)
 class Settings:
-    """max_rows: bound of the labelled sample. Two texts count as copies if they share `alike` of their three-word shingles."""
+    """max_rows: bound of the labelled sample, in documents. Two texts count as copies if they share `alike` of their three-word shingles."""
 
     max_rows: int = 20_000
     stem_lengths: tuple[int, ...] = (3, 4, 5, 6, 7, 8)
@@ -43,7 +43,7 @@ class Settings:
 
 
 def _candidates(text: str, lengths: tuple[int, ...]) -> set[str]:
-    words = {w for w in PIECES.findall(text.lower()) if w[0].isalpha() and len(w) >= 3}
+    words = {w for w in pieces(text.lower()) if len(w) >= 3}
     return words | {w[:k] for w in words for k in lengths if len(w) > k}
 
 
