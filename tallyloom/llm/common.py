@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import sys
 import tempfile
 import types
@@ -30,6 +32,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         where = tempfile.mkdtemp(prefix="tallyloom-")
+        atexit.register(shutil.rmtree, where, True)
         spark.conf.set("spark.checkpoint.dir", where)
     return where
 
@@ -42,6 +45,12 @@ def _delete(spark: SparkSession, place: str) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def _delete_at_end(spark: SparkSession, place: str) -> None:
+    """Hadoop deletes the path when the driver's JVM ends."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+
+
 @contextmanager
 def scratch(spark: SparkSession, name: str) -> Iterator[None]:
     """Tables written inside go to a folder of their own, which is deleted at the end.
@@ -58,12 +67,17 @@ def scratch(spark: SparkSession, name: str) -> Iterator[None]:
 
 
 class Written:
-    """An intermediate result as a Parquet table in the shared folder; it survives lost executors."""
+    """An intermediate result as a Parquet table in the shared folder; it survives lost executors.
+
+    It goes with its scratch folder, by drop(), or at the latest when the driver ends.
+    """
 
     def __init__(self, df: DataFrame, name: str, *, outside: bool = False):
         spark = df.sparkSession
         within = None if outside else _scratch.get()
         self.path = f"{within or shared_dir(spark) + '/tallyloom'}/{name}-{uuid.uuid4().hex}"
+        if not within:
+            _delete_at_end(spark, self.path)
         df.write.parquet(self.path)
         self.df = spark.read.schema(df.schema).parquet(self.path)
 

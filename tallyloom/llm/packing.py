@@ -34,8 +34,8 @@ from tallyloom.llm.tokens import encoder, slices, tokenizer_path
 
 CAPACITY = 2048
 END_ID = 0
-#: (smallest large length as a share of the capacity, groups) that are tried; no large ones: best fit alone.
-SCHEMES = ((0.25, 10), (0.34, 24), (0.5, 48), (1.01, 0))
+#: (smallest large length as a share of the capacity, groups) that are tried.
+SCHEMES = ((0.25, 10), (0.34, 24), (0.5, 48))
 #: Rows of one length that are numbered by one task, about.
 ROWS_A_SALT = 20_000
 

@@ -6,6 +6,8 @@ each new word is encoded once, and ids are gathered by numpy. Texts of plain Lat
 digits and ASCII punctuation without apostrophes are first lower-cased and split into
 pre-tokens by Arrow; their words go to the same merges in tiktoken's core, in which the
 word end is a byte that UTF-8 never has. All other words go through the tokenizer itself.
+Its added tokens, such as <|endoftext|>, cut a text as they do in the tokenizer as loaded:
+each becomes a word of its own, whose id is the added token's.
 """
 
 from __future__ import annotations
@@ -56,15 +58,17 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
         if model["model"].get("end_of_word_suffix") != "</w>" or len(model["normalizer"]["normalizers"]) != 3:
             raise ValueError(f"{path} isn't a lower-casing BPE with word ends")
-        special, of = {t["content"] for t in model["added_tokens"]}, _byte_of_char()
+        if any(t["normalized"] or t["lstrip"] or t["rstrip"] or t["single_word"] for t in model["added_tokens"]):
+            raise ValueError(f"{path} has added tokens that depend on what is around them")
+        self.special, of = sorted({t["content"] for t in model["added_tokens"]}, key=len), _byte_of_char()
+        self.any_special = "|".join(re.escape(t) for t in reversed(self.special)) or "$^"
         ranks = {}
         for token, i in model["model"]["vocab"].items():
-            if token not in special:
+            if token not in self.special:
                 ends = token.endswith("</w>")
                 ranks[bytes(of[c] for c in (token[:-4] if ends else token)) + WORD_END * ends] = i
         self.piece = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks, special_tokens={})._core_bpe.encode_single_piece
@@ -94,8 +98,9 @@ class WordEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """flat word slots with the texts' offsets into them, and each text's number of ids, and its words' sizes."""
-        plain = pc.match_substring_regex(texts, PLAIN)
-        spaced = texts
+        cut = pc.match_substring_regex(texts, self.any_special)
+        plain = pc.and_not(pc.match_substring_regex(texts, PLAIN), cut)
+        spaced = pc.if_else(cut, pc.replace_substring_regex(texts, f"({self.any_special})", r" \1 "), texts) if pc.any(cut).as_py() else texts
         for mark in ("\n", "\t", "\r"):
             spaced = pc.replace_substring(spaced, mark, " ")
         simple = pc.replace_substring_regex(pc.utf8_lower(spaced), PUNCTUATION, r" \1 ")
