@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from tallyloom.llm.mixing import KEYS, Mixture, cell_table, mixed, raked_cells, uniform
+from tallyloom.llm.mixing import KEYS, Mixture, cell_table, marginals, mixed, raked_cells, uniform
 
 TOPIC = lambda t: "licence" if re.search(r"(?i)\blicensed? under\b|\bcopyright\b", t) else "table" if "|" in t else "numeric" if re.search("[0-9]", t) else "prose"
 
@@ -76,6 +76,29 @@ def test_marginals_are_met(spark):
 def test_empty_and_shuffled(spark):
     df = spark.createDataFrame(documents(200), "doc_id long, text string, lang string, source string, n_chars long")
     assert mixed(df.where("false")).count() == 0
+    assert raked_cells(cell_table(df.where("false")), Mixture()).count() == 0
     few, many = (sorted(str(r.doc_id) for r in mixed(df, Mixture(max_broadcast_cells=n)).collect()) for n in (50_000, 0))
     assert few == many
     assert all(0 <= r[0] < 1 for r in df.select(uniform(F.col("doc_id"), 1)).collect())
+
+
+def test_targets_that_cannot_be_met_are_reported(spark):
+    rows = [(i, "word " * 10, "en" if i % 2 else "de", "a" if i % 2 else "b", 0) for i in range(40)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    mix = Mixture(given={"lang": {"de": 0.9, "en": 0.1}, "source": {"a": 0.9, "b": 0.1}}, sweeps=5, budget=0.1)
+    with pytest.warns(UserWarning, match="not settled"):
+        got = {(r.axis, r.category): r for r in marginals(df, mix).collect()}
+    assert got["lang", "de"].target == 0.9 and got["source", "a"].target == 0.9
+    assert abs(got["lang", "de"].raked + got["source", "a"].raked - 1) < 1e-9
+    zero = Mixture(given={"lang": {"de": 0.0, "en": 1.0}}, budget=0.2, sweeps=2)
+    assert {r.lang for r in mixed(df, zero).collect()} <= {"en"}
+
+
+def test_own_topics_long_texts_and_report(spark):
+    rows = [(i, "word " * (20000 if i == 7 else 5), "en", "s", "t1" if i % 3 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, theme string")
+    mix = Mixture(given={"topic": {"t1": 0.25}}, budget=0.05)
+    got = {(r.axis, r.category): r for r in marginals(df, mix, topic="theme").collect()}
+    assert got["topic", "t1"].raked == pytest.approx(0.25) and got["topic", ""].raked == pytest.approx(0.75)
+    assert sum(r.expected for (axis, _), r in got.items() if axis == "topic") == pytest.approx(1)
+    assert {r["_mix"]["topic"] for r in mixed(df, Mixture(budget=1.0), topic="theme").collect()} == {"t1", ""}
