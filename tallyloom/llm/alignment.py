@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
+
 import numpy as np
 
 #: Two sequences are alike if aligned matches m fulfil m / (n1 + n2 - m) >= NUMERATOR / DENOMINATOR.
@@ -52,23 +54,34 @@ def alike(a: np.ndarray, b: np.ndarray) -> bool:
 
 
 def banded_lcs(a: np.ndarray, b: np.ndarray, band: int, both: np.ndarray) -> int:
-    """Longest common subsequence with matches at most `band` diagonals off; one machine-word step covers many columns."""
-    places: dict[int, list[int]] = {}
-    shared = set(both.tolist())
-    for j, x in enumerate(b.tolist()):
-        if x in shared:
-            places.setdefault(x, []).append(j)
-    full = (1 << len(b)) - 1
+    """Longest common subsequence with matches at most `band` diagonals off; one machine-word step covers many columns.
+
+    A symbol with many places in b has its bit mask made once, and the band cut out of it; the places of the others are
+    looked up within the band.
+    """
+    n, many = len(b), max(64, len(b) >> 10)
+    order = np.argsort(b, kind="stable")
+    low, high = np.searchsorted(b[order], both), np.searchsorted(b[order], both, side="right")
+    places = {x: order[i:j].tolist() for x, i, j in zip(both.tolist(), low.tolist(), high.tolist(), strict=True)}
+    masks: dict[int, int] = {}
+    full = (1 << n) - 1
     v = full
     for i, x in enumerate(a.tolist()):
-        if x in shared:
+        at = places.get(x)
+        first, last = max(i - band, 0), min(i + band, n - 1)
+        if at is None or first > last:
+            continue
+        if len(at) > many:
+            if x not in masks:
+                masks[x] = int.from_bytes(np.packbits(b == x, bitorder="little").tobytes(), "little")
+            mask = (masks[x] >> first & (1 << last - first + 1) - 1) << first
+        else:
             mask = 0
-            for j in places[x]:
-                if -band <= i - j <= band:
-                    mask |= 1 << j
-            u = v & mask
-            v = ((v + u) | (v - u)) & full
-    return len(b) - v.bit_count()
+            for j in at[bisect_left(at, first) : bisect_right(at, last)]:
+                mask |= 1 << j
+        u = v & mask
+        v = ((v + u) | (v - u)) & full
+    return n - v.bit_count()
 
 
 def shared_counts(arrays: list[np.ndarray], columns: int = 4096) -> np.ndarray:

@@ -5,11 +5,13 @@ for one hash function, the several least occurrence-labelled word shingles in th
 have in the text; texts with an equal sketch are candidates. Candidates are linked if a
 banded alignment of their shingle sequences matches m with m / (n1 + n2 - m) >= 0.8.
 
-1. Texts of equal words are one node. 2. In each bucket of equal sketches every node is
-aligned with the bucket's least node. 3. Linked nodes make components. 4. Buckets that still
-hold several components are solved exactly in blocks of bounded size: all pairs of nodes of
-different components, but none inside a component; blocks return links, not pairs.
-5. Components of all links are the classes; a class is named by its least doc_id.
+1. Texts of equal words are one node; nodes are numbered by their least doc_id. 2. In each
+bucket of equal sketches every node is aligned with the bucket's first node. 3. Linked nodes
+make components. 4. Buckets that still hold several components are solved exactly, without
+pairs inside a component: small ones as one block; the nodes of large ones, such as texts that
+share a long passage, are dealt anew by their rarest shingles, and those groups are solved in
+blocks of bounded size. Blocks return linked components, not pairs. 5. Components of all links
+are the classes; a class is named by its least doc_id.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, StructField, StructType
+from pyspark.sql.window import Window
 
 from tallyloom.llm.alignment import DENOMINATOR, NUMERATOR, alike, shared_counts
 from tallyloom.llm.common import Written, fresh, give_back, scratch
@@ -82,11 +85,10 @@ def sketched(docs: DataFrame, s: Settings) -> DataFrame:
     return slim.mapInArrow(run, f"doc_id {slim.schema['doc_id'].dataType.simpleString()}, key binary, n int, buckets array<bigint>, seq binary")
 
 
-def aligned_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The pairs (a, b) of node keys that are alike; each node's sequence is fetched by a join on its key."""
-    seqs = nodes.select("key", "seq")
-    with_a = pairs.join(seqs.withColumnsRenamed({"key": "a", "seq": "_seq_a"}), "a")
-    both = with_a.join(seqs.withColumnsRenamed({"key": "b", "seq": "_seq_b"}), "b").select("a", "b", "_seq_a", "_seq_b")
+def aligned_pairs(pairs: DataFrame, seqs: DataFrame) -> DataFrame:
+    """The pairs (a, b) of nodes that are alike; each node's sequence is fetched by a join."""
+    with_a = pairs.join(seqs.select(F.col("node").alias("a"), F.col("seq").alias("_seq_a")), "a")
+    both = with_a.join(seqs.select(F.col("node").alias("b"), F.col("seq").alias("_seq_b")), "b").select("a", "b", "_seq_a", "_seq_b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -94,18 +96,18 @@ def aligned_pairs(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
             keep = [alike(np.frombuffer(a[i].as_py(), "<u4"), np.frombuffer(b[i].as_py(), "<u4")) for i in range(len(batch))]
             yield batch.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
-    return both.mapInArrow(run, "a binary, b binary")
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _blocks_solved(rows: DataFrame) -> DataFrame:
-    """Links (a, b) found inside groups of (bucket, x, y), whose rows come one after another."""
+    """Linked components (a, b) found inside groups of (bucket, x, y), whose rows come one after another."""
 
-    def solve(keys: list[bytes], comps: list[bytes], sides: list[bool], seqs: list[bytes]) -> list[tuple[bytes, bytes]]:
+    def solve(comps: list[int], sides: list[bool], seqs: list[bytes]) -> list[tuple[int, int]]:
         arrays = [np.frombuffer(q, "<u4") for q in seqs]
         sizes = np.array([len(x) for x in arrays])
         root = {c: c for c in comps}
 
-        def find(c: bytes) -> bytes:
+        def find(c: int) -> int:
             while root[c] != c:
                 root[c] = root[root[c]]
                 c = root[c]
@@ -119,50 +121,81 @@ def _blocks_solved(rows: DataFrame) -> DataFrame:
             x, y = find(comps[i]), find(comps[j])
             if x != y and alike(arrays[i], arrays[j]):
                 root[max(x, y)] = min(x, y)
-                links.append((keys[i], keys[j]))
+                links.append((comps[i], comps[j]))
         return links
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, ([], [], [], [])
+        at, held = None, ([], [], [])
 
         def out() -> pa.RecordBatch:
             got = solve(*held)
-            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.binary()), pa.array([g[1] for g in got], pa.binary())], names=["a", "b"])
+            return pa.RecordBatch.from_arrays([pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64())], names=["a", "b"])
 
         for batch in batches:
             for bucket, x, y, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if (bucket, x, y) != at:
                     if at is not None and len(held[0]) > 1:
                         yield out()
-                    at, held = (bucket, x, y), ([], [], [], [])
+                    at, held = (bucket, x, y), ([], [], [])
                 for values, value in zip(held, row, strict=True):
                     values.append(value)
         if at is not None and len(held[0]) > 1:
             yield out()
 
     cols = ("bucket", "x", "y")
-    return rows.select(*cols, "key", "comp", "main", "seq").repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a binary, b binary")
+    return rows.select(*cols, "comp", "main", "seq").repartition(*cols).sortWithinPartitions(*cols).mapInArrow(run, "a long, b long")
 
 
-def _unsettled(members: DataFrame, nodes: DataFrame, block: int) -> DataFrame:
-    """Rows of the blocks (bucket, x, y) of buckets with several components.
+def _unsettled(members: DataFrame) -> DataFrame:
+    """bucket, size, c and _top (the largest component and its number of nodes) of buckets (bucket, node, comp) with several components.
+
+    Buckets of the same nodes are needed once.
+    """
+    per = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"), F.sum(F.xxhash64("node").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("s2"))
+    total = per.groupBy("bucket").agg(F.sum("c").alias("size"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top"), F.sum("s1").alias("s1"), F.bit_xor("s2").alias("s2"))
+    once = total.where("comps > 1 AND size > 2").groupBy("size", "s1", "s2").agg(F.min(F.struct("bucket", "top")).alias("_g"))
+    return once.select("_g.bucket", F.col("_g.top.comp").alias("_top"), "_g.top.c", "size")
+
+
+def _blocks(members: DataFrame, buckets: DataFrame, seqs: DataFrame, block: int) -> DataFrame:
+    """Rows of the blocks (bucket, x, y) of unsettled buckets.
 
     A bucket's largest component (main) is cut into chunks 0, 1, ... and the other nodes into
     chunks -1, -2, ...; blocks are all pairs of chunks but two of the main component.
     """
-    per = members.groupBy("bucket", "comp").agg(F.count("*").alias("c"))
-    total = per.groupBy("bucket").agg(F.sum("c").alias("size"), F.count("*").alias("comps"), F.max(F.struct("c", "comp")).alias("top")).where("comps > 1 AND size > 2")
-    prints = members.groupBy("bucket").agg(F.sum(F.xxhash64("key").cast("decimal(20,0)")).alias("s1"), F.bit_xor(F.xxhash64("key", F.lit(1))).alias("s2"))
-    once = total.join(prints, "bucket").groupBy("size", "s1", "s2").agg(F.min(F.struct("bucket", "top")).alias("_g"))  # the same nodes need one bucket only
-    once = once.select("_g.bucket", "_g.top.comp", "_g.top.c", "size").withColumnRenamed("comp", "_top")
-    some = members.join(once, "bucket").withColumn("main", F.col("comp") == F.col("_top"))
+    some = members.join(buckets, "bucket").withColumn("main", F.col("comp") == F.col("_top"))
     n_main = F.ceil(F.col("c") / block)
     n_rest = F.ceil((F.col("size") - F.col("c")) / block)
-    chunk = F.when(F.col("main"), F.pmod(F.xxhash64("key"), n_main)).otherwise(-1 - F.pmod(F.xxhash64("key"), n_rest))
+    chunk = F.when(F.col("main"), F.pmod(F.xxhash64("node"), n_main)).otherwise(-1 - F.pmod(F.xxhash64("node"), n_rest))
     others = F.when(F.col("main"), F.sequence(-n_rest, F.lit(-1).cast("bigint"))).otherwise(F.sequence(-n_rest, n_main - 1))
     spread = some.withColumn("_chunk", chunk).withColumn("_other", F.explode(others))
-    spread = spread.select("bucket", F.least("_chunk", "_other").alias("x"), F.greatest("_chunk", "_other").alias("y"), "key", "comp", "main")
-    return spread.join(nodes.select("key", "seq"), "key")
+    spread = spread.select("bucket", F.least("_chunk", "_other").alias("x"), F.greatest("_chunk", "_other").alias("y"), "node", "comp", "main")
+    return spread.join(seqs, "node")
+
+
+def _by_rare_shingles(members: DataFrame, seqs: DataFrame) -> DataFrame:
+    """bucket, node, comp: nodes (node, comp) dealt anew by occurrence-labelled shingles, so that any two alike meet.
+
+    Two sequences that match 0.8 share 0.8 of the shingles of either, so they have one in common among the rarest
+    n - ceil(0.8 n) + 1 of each, in one order by frequency among these nodes. A passage that many texts share is
+    frequent, and brings no two of them together.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                x = np.sort(np.frombuffer(batch.column(2)[i].as_py(), "<u4"))
+                start = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]]))
+                times = np.arange(len(x)) - np.repeat(start, np.diff(np.concatenate([start, [len(x)]])))
+                labels = mix((x.astype(np.uint64) << np.uint64(32)) + times.astype(np.uint64)).astype(np.int64)
+                many = np.full(len(x), 1, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(many * batch.column(0)[i].as_py()), pa.array(many * batch.column(1)[i].as_py()), pa.array(labels), pa.array(many * len(x))], names=["node", "comp", "bucket", "n"])
+
+    labelled = Written(members.join(seqs, "node").select("node", "comp", "seq").mapInArrow(run, "node long, comp long, bucket long, n long"), "labelled").df
+    often = Written(labelled.groupBy("bucket").agg(F.count("*").alias("df")).where("df > 1"), "often").df
+    placed = labelled.join(often, "bucket", "left").withColumn("df", F.coalesce("df", F.lit(1)))
+    rank = F.row_number().over(Window.partitionBy("node").orderBy("df", "bucket"))
+    return placed.withColumn("_r", rank).where((F.col("_r") <= F.col("n") - F.ceil(F.col("n") * NUMERATOR / DENOMINATOR) + 1) & (F.col("df") > 1)).select("bucket", "node", "comp")
 
 
 def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFrame:
@@ -178,27 +211,50 @@ def near_duplicates(docs: DataFrame, settings: Settings = Settings()) -> DataFra
         return Written(_classes(docs, settings), "classes", outside=True).df
 
 
+def _numbered(rows: DataFrame) -> DataFrame:
+    """node, key, least, buckets: texts of different words, numbered by the least doc_id of their rows (none last).
+
+    So the smallest node of a class has the class's least doc_id, and all that follows works on longs.
+    """
+    unique = rows.groupBy("key").agg(F.min("doc_id").alias("least"), F.first("buckets").alias("buckets"))
+    order = (F.col("least").isNull(), F.col("least"), F.col("key"))
+    ordered = unique.repartitionByRange(*order).sortWithinPartitions(*order)  # the numbers rise with the ranges, so they are given before anything is written
+    return ordered.select(F.monotonically_increasing_id().alias("node"), "key", "least", "buckets")
+
+
+def _linked(nodes: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
+    """node, component (its smallest node) of all nodes that are linked to another one."""
+    members = nodes.select(F.explode("buckets").alias("bucket"), "node")
+    heads = Written(members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("c")).where("c > 1"), "heads").df
+    shared = Written(members.join(heads, "bucket"), "buckets").df
+    wanted = Written(nodes.select("node", "key").join(shared.select("node"), "node", "left_semi"), "wanted").df
+    few = wanted.count() <= s.max_broadcast_keys
+    seqs = Written(rows.select("key", "seq").join(F.broadcast(wanted) if few else wanted, "key").groupBy("node").agg(F.first("seq").alias("seq")), "sequences").df
+    stars = shared.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    comp = connected_components(aligned_pairs(stars, seqs), "a", "b")
+    placed = shared.where("c > 2").select("bucket", "node").join(comp, "node", "left").select("bucket", "node", F.coalesce("component", "node").alias("comp"))
+    placed = Written(placed, "placed").df
+    open_ = Written(_unsettled(placed), "unsettled").df
+    more = _blocks_solved(_blocks(placed, open_.where(F.col("size") <= s.block), seqs, s.block))
+    large = open_.where(F.col("size") > s.block)
+    if not large.isEmpty():
+        again = Written(_by_rare_shingles(placed.join(large.select("bucket"), "bucket").select("node", "comp").distinct(), seqs), "rare").df
+        more = more.unionAll(_blocks_solved(_blocks(again, _unsettled(again), seqs, s.block)))
+    more = Written(more, "more-links").df
+    if more.isEmpty():
+        return comp
+    up = connected_components(more, "a", "b").select(F.col("node").alias("comp"), F.col("component").alias("_root"))
+    known = comp.unionByName(up.select(F.col("comp").alias("node"), F.col("comp").alias("component")).join(comp.select("node"), "node", "left_anti"))
+    return known.join(up, known["component"] == up["comp"], "left").select("node", F.coalesce("_root", "component").alias("component"))
+
+
 def _classes(docs: DataFrame, s: Settings) -> DataFrame:
     rows = Written(sketched(docs, s), "sketches").df
-    unique = rows.select("key", "n", "buckets").dropDuplicates(["key"])
-    members = unique.select(F.explode("buckets").alias("bucket"), "key", "n")
-    heads = members.groupBy("bucket").agg(F.min(F.struct("key", "n")).alias("head"), F.count("*").alias("c")).where("c > 1")
-    shared = Written(members.join(heads, "bucket").select("bucket", "key", "n", "head", "c"), "buckets").df
-    wanted = Written(shared.select("key").distinct(), "wanted").df
-    few = wanted.count() <= s.max_broadcast_keys
-    nodes = Written(rows.select("key", "seq").join(F.broadcast(wanted) if few else wanted, "key", "left_semi").dropDuplicates(["key"]), "nodes").df
-    short, long = F.least("n", "head.n"), F.greatest("n", "head.n")
-    stars = shared.where((F.col("key") != F.col("head.key")) & (short * 5 >= long * 4)).select(F.col("head.key").alias("a"), F.col("key").alias("b")).distinct()
-    links = Written(aligned_pairs(stars, nodes), "links").df
-    comp = Written(connected_components(links, "a", "b"), "parts").df
-    placed = shared.where("c > 2").select("bucket", "key").join(comp, F.col("key") == F.col("node"), "left").select("bucket", "key", F.coalesce("component", "key").alias("comp"))
-    more = Written(_blocks_solved(_unsettled(Written(placed, "placed").df, nodes, s.block)), "more-links").df
-    if not more.isEmpty():
-        comp = Written(connected_components(links.unionAll(more), "a", "b"), "parts").df
-    ids = rows.groupBy("key").agg(F.min("doc_id").alias("least"))
-    named = ids.join(comp, F.col("key") == F.col("node"), "left").select("key", "least", F.coalesce("component", "key").alias("comp"))
-    classes = named.groupBy("comp").agg(F.min("least").alias("class_id"))
-    of_key = named.join(classes, "comp").select("key", "class_id")
+    nodes = Written(_numbered(rows), "nodes").df
+    comp = Written(_linked(nodes, rows, s), "linked").df
+    names = Written(comp.select("component").distinct().join(nodes.select(F.col("node").alias("component"), F.col("least").alias("_least")), "component"), "names").df
+    of_node = Written(comp.join(names, "component").select("node", F.col("_least").alias("_class")), "classes").df
+    of_key = Written(nodes.join(of_node.withColumn("_in", F.lit(True)), "node", "left").select("key", F.when(F.col("_in"), F.col("_class")).otherwise(F.col("least")).alias("class_id")), "keys").df
     out = rows.select("doc_id", "key").join(of_key, "key")
     return out.select("doc_id", "class_id", F.coalesce(F.col("doc_id") == F.col("class_id"), F.col("class_id").isNull() & F.col("doc_id").isNull(), F.lit(False)).alias("kept"), "key")
 

@@ -1,4 +1,5 @@
 import random
+import time
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -35,6 +36,17 @@ def test_banded_alignment_is_exact():
         assert alike(np.array(a, "<u4"), np.array(b, "<u4")) == plain_alike(a, b)
 
 
+def test_repeated_shingles_align_quickly():
+    rnd = random.Random(3)
+    a = np.full(20_000, 7, "<u4")
+    b = a.copy()
+    for x in (a, b):
+        x[[rnd.randrange(20_000) for _ in range(2)]] = rnd.randrange(1 << 30)
+    start = time.perf_counter()
+    assert alike(a, b)
+    assert time.perf_counter() - start < 2
+
+
 def shingles(text, k=5):
     w = (text or "").lower().split()
     return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] or ([tuple(w)] if w else [])
@@ -88,7 +100,7 @@ def corpus(seed=4):
 def test_classes_against_brute_force(spark):
     rows = corpus()
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumn("key", F.lit("x")).withColumn("n", F.lit(1))
-    for s in (Settings(), Settings(block=8)):
+    for s in (Settings(), Settings(block=8), Settings(block=3)):
         assert sorted(tuple(r) for r in near_duplicates(df, s).drop("key").collect()) == brute(rows)
     kept = one_of_each(df)
     assert kept.columns == df.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d, _, k in brute(rows) if k)
