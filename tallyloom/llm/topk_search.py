@@ -1,172 +1,280 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
-Rows go to their nearest of a bounded set of pivots. Each Voronoi group is cut into chunks
-of bounded size by a hash, so a hot group is many chunks. First, a query is solved in its
-own chunk, which gives a lower bound of its k-th score. Then, for group j with pivot p and
-radius r, no score exceeds q.p + |q| r (Cauchy-Schwarz), and the query is sent to the chunks
-only of groups whose bound reaches its own. Chunks are solved locally by blocks of queries.
+1. Pivots are a bounded sample, about as many as the root of the number of rows; rows and queries
+go to their nearest pivot. 2. A group's rows are cut into rings of distance to the pivot (units), and
+units are put together to cells of about chunk_rows rows; a unit with more rows is several cells.
+3. A query is solved in its own cell, which gives a lower bound of its k-th score. 4. Bounds
+from summaries: no score in a unit with pivot p, radius r and greatest norm m exceeds
+min(q.p + |q| r, |q| m). For the queries of group i, whose pivot is o, radius R and greatest norm M,
+that is at most o.p + R |p| + M r, so units below the least bound of all of a group's queries are left
+out for all of them; what remains is tested query by query. 5. A query goes to the cells of
+its remaining units, and a cell's rows to as many blocks of queries as it got, to none if it got
+none. Blocks are solved locally.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
 from tallyloom.llm.common import Written
-from tallyloom.llm.vectors import finite_rows, from_binary, to_binary
+from tallyloom.llm.vectors import finite_rows, to_binary
 
 #: Sums below it are exact in float64, with a place number added.
 EXACT = 2.0**52
 PLACES = 1 << 16
 
 
+def packed_rows(ints: np.ndarray) -> pa.Array:
+    """Each row in 2 bytes a component, or in 8 if one of them needs more."""
+    small = (np.abs(ints) < 1 << 15).all(axis=1)
+    narrow, out = ints.astype("<i2"), []
+    for i, fits in enumerate(small):
+        out.append((narrow[i] if fits else ints[i]).tobytes())
+    return pa.array(out, pa.binary())
+
+
+def unpacked(column: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
+    """int64 rows of one dimension."""
+    rows = column.to_pylist()
+    if all(len(r) == 2 * dim for r in rows):
+        return np.frombuffer(b"".join(rows), "<i2").reshape(len(rows), dim).astype(np.int64)
+    return np.stack([np.frombuffer(r, "<i2" if len(r) == 2 * dim else "<i8").astype(np.int64) for r in rows])
+
+
 def quantised(df: DataFrame, *, key: str, vector: str, scale: float) -> DataFrame:
-    """_id, _dim, _v (int64 floor(scale * x), little-endian) of the vectors that take part."""
+    """_id, _dim, _v (integers floor(scale * x), little-endian) of the vectors that take part."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at, m in finite_rows(batch.column(1)):
                 ints = np.clip(np.floor(scale * m), -(2.0**62), 2.0**62).astype("<i8")
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), m.shape[1], np.int32)), to_binary(ints)], names=["_id", "_dim", "_v"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), pa.array(np.full(len(at), m.shape[1], np.int32)), packed_rows(ints)], names=["_id", "_dim", "_v"])
 
-    return df.select(key, vector).mapInArrow(run, "_id long, _dim int, _v binary")
+    if not isinstance(df.schema[key].dataType, IntegralType):
+        raise TypeError(f"{key} must be a whole number")
+    return df.where(F.col(key).isNotNull()).select(F.col(key).cast("long"), vector).mapInArrow(run, "_id long, _dim int, _v binary")
 
 
 def _products(q: np.ndarray, d: np.ndarray) -> np.ndarray:
     top = max(float(np.abs(q).max(initial=0)), 1.0) * max(float(np.abs(d).max(initial=0)), 1.0) * max(q.shape[1], 1)
-    return q.astype(np.float64) @ d.astype(np.float64).T if top * PLACES < EXACT else (q @ d.T).astype(object)
+    return q.astype(np.float64) @ d.astype(np.float64).T if top * PLACES < EXACT else q @ d.T
 
 
 def best_rows(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray, k: int, least: np.ndarray | None = None):
-    """(query row, data row, score) of each query's k best data rows, ties to the smaller id, none its own, none below least."""
+    """(query row, data row, score) arrays of each query's k best data rows, ties to the smaller id, none its own, none below least."""
     order = np.argsort(d_ids, kind="stable")
     d, d_ids = d[order], d_ids[order]
-    out = []
+    out = [(np.zeros(0, np.int64),) * 3]
     for start in range(0, len(q), 256):
         scores = _products(q[start : start + 256], d)
         own = q_ids[start : start + 256, None] == d_ids[None, :]
-        if scores.dtype == object or len(d) >= PLACES:
-            for i in range(len(scores)):
-                cols = [c for c in sorted(range(len(d)), key=lambda c: (-int(scores[i, c]), c)) if not own[i, c]][:k]
-                out += [(start + i, order[c], int(scores[i, c])) for c in cols if least is None or scores[i, c] >= least[start + i]]
-            continue
-        mixed = np.where(own, -np.inf, scores * PLACES - np.arange(len(d)))
-        if len(d) > k:
-            cols = np.argpartition(mixed, len(d) - k, axis=1)[:, -k:]
+        if scores.dtype != np.float64 or len(d) >= PLACES:
+            rank = np.argsort(-scores, axis=1, kind="stable")
+            good = ~np.take_along_axis(own, rank, axis=1)
+            good &= np.cumsum(good, axis=1) <= k
+            rows, at = np.nonzero(good)
+            cols = rank[rows, at]
         else:
-            cols = np.broadcast_to(np.arange(len(d)), mixed.shape)
-        rows = np.repeat(np.arange(len(scores)), cols.shape[1])
-        cols = cols.ravel()
-        good = np.isfinite(mixed[rows, cols])
+            mixed = np.where(own, -np.inf, scores * PLACES - np.arange(len(d)))
+            cols = np.argpartition(mixed, len(d) - k, axis=1)[:, -k:] if len(d) > k else np.broadcast_to(np.arange(len(d)), mixed.shape)
+            rows, cols = np.repeat(np.arange(len(scores)), cols.shape[1]), cols.ravel()
+            good = np.isfinite(mixed[rows, cols])
+            rows, cols = rows[good], cols[good]
+        got = scores[rows, cols]
         if least is not None:
-            good &= scores[rows, cols] >= least[start + rows]
-        out += list(zip((start + rows[good]).tolist(), order[cols[good]].tolist(), scores[rows[good], cols[good]].astype(np.int64).tolist(), strict=True))
-    return out
+            good = got >= least[start + rows]
+            rows, cols, got = rows[good], cols[good], got[good]
+        out.append((start + rows, order[cols], got.astype(np.int64)))
+    return tuple(np.concatenate(x) for x in zip(*out, strict=True))
+
+
+@dataclass
+class Units:
+    """Summaries of the units of one dimension, and where their rows are."""
+
+    pivot: np.ndarray  # a row a unit
+    radius: np.ndarray
+    norm: np.ndarray
+    bounded: np.ndarray  # False where the unit has no pivot
+    cell: np.ndarray  # the first of its cells
+    parts: np.ndarray  # and their number
+
+    def bounds(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Greatest scores that queries can have in the units `at`, rounding included."""
+        size = np.sqrt((q * q).sum(axis=1))[:, None]
+        top = np.minimum(q @ self.pivot[at].T + size * self.radius[at], size * self.norm[at])
+        return np.where(self.bounded[at], top + np.abs(top) * 1e-9 + size * self.norm[at] * 1e-9 + 1e-6, np.inf)
+
+    def group_bounds(self, origin: np.ndarray, reach: float, norm: float) -> np.ndarray:
+        """Greatest scores of any query of one group in each unit."""
+        top = self.pivot @ origin + reach * np.sqrt((self.pivot**2).sum(axis=1)) + norm * self.radius
+        return np.where(self.bounded, top + np.abs(top) * 1e-9 + norm * self.norm * 1e-9 + 1e-6, np.inf)
+
+
+def _cells(units: list, chunk_rows: int) -> tuple[list[int], list[int]]:
+    """First cell and number of cells of each unit; small units next to each other share one."""
+    first, parts, cell, room = [], [], -1, 0
+    for n in units:
+        need = -(-n // chunk_rows)
+        if need == 1 and n <= room:
+            room -= n
+        else:
+            cell, room = cell + 1, chunk_rows - n
+        first.append(cell)
+        parts.append(need)
+        cell += need - 1
+    return first, parts
 
 
 def top_k(
-    df: DataFrame, queries, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0, pivots: int = 32, chunk_rows: int = 4096, query_rows: int = 4096, seed: int = 5
+    df: DataFrame, queries, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0, max_pivots: int = 2048, chunk_rows: int = 4096, query_rows: int = 4096, seed: int = 5, sent: list | None = None
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for each row that fulfils `queries` (a Column over `_id`).
 
     Scores are inner products of floor(scale * x); only vectors of one dimension are compared.
     A query has every other row as candidate, none with its own id; ties go to the smaller
     id; rows that repeat an id and its vector count as one. Vectors that are null or hold null or
-    non-finite components take no part; empty tables give no rows; scores past a long wrap. Pivots are at most
-    `pivots` rows with the smallest hashes and decide only the speed.
+    non-finite components, and rows with a null id, take no part; ids are whole numbers; empty tables give no rows;
+    scores past a long wrap. Pivots are sqrt(rows), at most max_pivots, rows with the smallest hashes; they decide only the
+    speed. sent, if given, gets one tuple: rows, queries, cells, copies of queries, copies of rows.
     """
     spark = df.sparkSession
     rows = Written(quantised(df, key=key, vector=vector, scale=scale).distinct(), "vectors").df
-    sample = rows.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "_v").limit(pivots).collect()  # at most `pivots` rows
-    by_dim: dict[int, np.ndarray] = {}
+    n_rows = rows.count()
+    if not n_rows:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    sample = rows.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "_v").limit(min(max_pivots, math.isqrt(n_rows) + 1)).collect()
+    pivots: dict[int, np.ndarray] = {}
     for dim in {r._dim for r in sample}:
-        by_dim[dim] = np.unique(np.stack([np.frombuffer(r._v, "<i8") for r in sample if r._dim == dim]), axis=0).astype(np.float64)
-    group_of = {dim: 1000 * i for i, dim in enumerate(sorted(by_dim))}
+        found = np.unique(unpacked(pa.array([r._v for r in sample if r._dim == dim], pa.binary()), dim), axis=0).astype(np.float64)
+        line = np.random.default_rng(seed).normal(size=dim)
+        pivots[dim] = found[np.argsort(found @ line, kind="stable")]  # neighbours share cells
 
     def near(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            dims, raw = batch.column(1).to_numpy(), batch.column(2)
-            group, reach = np.full(len(dims), -1, np.int32), np.zeros(len(dims))
+            dims = batch.column(1).to_numpy()
+            group, reach, norm = np.full(len(dims), -1, np.int32), np.zeros(len(dims)), np.zeros(len(dims))
             for dim in np.unique(dims):
-                if int(dim) in by_dim:
-                    at = np.flatnonzero(dims == dim)
-                    v, p = from_binary(raw.take(pa.array(at)), "<i8").reshape(len(at), dim).astype(np.float64), by_dim[int(dim)]
-                    far = np.sqrt(np.maximum(((v[:, None, :] - p[None, :, :]) ** 2).sum(axis=2), 0)) if len(at) * p.size < 4e7 else np.stack([np.sqrt(((v - x) ** 2).sum(axis=1)) for x in p], axis=1)
-                    group[at], reach[at] = group_of[int(dim)] + far.argmin(axis=1), far.min(axis=1)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(reach)], names=["_id", "_dim", "_v", "_group", "_reach"])
-
-    # rows of a dimension that no pivot has make one group per dimension, without a bound
-    grouped = rows.mapInArrow(near, "_id long, _dim int, _v binary, _group int, _reach double").withColumn("_group", F.when(F.col("_group") < 0, -1 - F.col("_dim")).otherwise(F.col("_group")))
-    grouped = Written(grouped, "groups").df
-    summary = grouped.groupBy("_dim", "_group").agg(F.count("*").alias("n"), F.max("_reach").alias("r")).collect()  # a row a pivot, or a dimension
-    n_chunks = {r._group: -(-r.n // chunk_rows) for r in summary}
-    radius = {r._group: r.r for r in summary}
-    groups_of_dim = {d: [r._group for r in summary if r._dim == d] for d in {r._dim for r in summary}}
-    asked = grouped.where(queries)
-    blocks = max(1, -(-asked.count() // query_rows))
-    if not n_chunks:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    chunk_count = F.element_at(F.create_map(*[F.lit(x) for g, n in n_chunks.items() for x in (g, n)]), F.col("_group"))
-    chunked = grouped.withColumn("_chunk", F.pmod(F.xxhash64("_id", "_v"), chunk_count).cast("int")).withColumn("_asks", queries)
+                at = np.flatnonzero(dims == dim)
+                v = unpacked(batch.column(2).take(pa.array(at)), int(dim)).astype(np.float64)
+                norm[at] = np.sqrt((v * v).sum(axis=1))
+                if int(dim) in pivots:
+                    p = pivots[int(dim)]
+                    group[at] = ((p * p).sum(axis=1) - 2 * (v @ p.T)).argmin(axis=1)
+                    reach[at] = np.sqrt(((v - p[group[at]]) ** 2).sum(axis=1))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(reach), pa.array(norm)], names=["_id", "_dim", "_v", "_group", "_reach", "_norm"])
+
+    grouped = Written(rows.mapInArrow(near, "_id long, _dim int, _v binary, _group int, _reach double, _norm double"), "groups").df
+    sizes = {(r._dim, r._group): (r.r, -(-r.n // chunk_rows)) for r in grouped.groupBy("_dim", "_group").agg(F.count("*").alias("n"), F.max("_reach").alias("r")).collect()}  # a row a pivot, or a dimension
+    wide = [F.struct(F.lit(d).alias("_dim"), F.lit(g).alias("_group"), F.lit(r).alias("_r"), F.lit(n).alias("_n")) for (d, g), (r, n) in sizes.items() if n > 1 and r > 0]  # groups of several rings
+    ring = F.lit(0)
+    if wide:
+        large = F.broadcast(spark.range(1).select(F.explode(F.array(*wide)).alias("_w")).select("_w.*"))
+        grouped = grouped.join(large, ["_dim", "_group"], "left")
+        ring = F.coalesce(F.least(F.floor(F.col("_reach") / F.col("_r") * F.col("_n")), F.col("_n") - 1), F.lit(0))
+    grouped = grouped.select("_id", "_dim", "_v", "_group", ring.cast("int").alias("_ring"), "_reach", "_norm")
+    summary = grouped.groupBy("_dim", "_group", "_ring").agg(F.count("*").alias("n"), F.max("_reach").alias("r"), F.max("_norm").alias("m")).collect()  # a row a ring
+    summary.sort(key=lambda r: (r._dim, r._group, r._ring))
+    first, parts = _cells([r.n for r in summary], chunk_rows)
+    units, place = {}, {}
+    for dim in {r._dim for r in summary}:
+        own = [i for i, r in enumerate(summary) if r._dim == dim]
+        none = np.zeros(dim)
+        units[dim] = Units(
+            np.stack([pivots[dim][summary[i]._group] if summary[i]._group >= 0 else none for i in own]), np.array([summary[i].r for i in own]), np.array([summary[i].m for i in own]),
+            np.array([summary[i]._group >= 0 for i in own]), np.array([first[i] for i in own]), np.array([parts[i] for i in own]),
+        )
+    for i, r in enumerate(summary):
+        place[(r._dim, r._group, r._ring)] = (first[i], parts[i])
+    cell_of = np.array([(d, g, x, f, n) for (d, g, x), (f, n) in place.items()], np.int64)
 
-    def own_chunk(t: pa.Table) -> pa.Table:
-        asks = t.column("_asks").to_numpy()
-        ids, v = t.column("_id").to_numpy(), from_binary(t.column("_v"), "<i8").reshape(t.num_rows, -1)
-        best: dict[int, list[int]] = {i: [] for i in np.flatnonzero(asks)}
-        at = np.array(list(best), np.int64)
-        for i, _, s in best_rows(v[at], ids[at], v, ids, k) if len(at) else ():
-            best[at[i]].append(s)
-        full = [min(s) if len(s) == k else None for s in best.values()]
-        return pa.table({"_id": ids[at], "_dim": t.column("_dim").take(pa.array(at)), "_v": t.column("_v").take(pa.array(at)), "_least": pa.array(full, pa.int64())})
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = {(d, g, x): (f, n) for d, g, x, f, n in cell_of.tolist()}
+        for batch in batches:
+            at = [known[key] for key in zip(*(batch.column(i).to_pylist() for i in (1, 3, 4)), strict=True)]
+            salt = batch.column(7).to_numpy()
+            cell = np.array([f for f, _ in at], np.int64) + salt % np.maximum(np.array([n for _, n in at], np.int64), 1)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), batch.column(3), batch.column(5), batch.column(6), pa.array(cell), batch.column(8)], names=["_id", "_dim", "_v", "_group", "_reach", "_norm", "_cell", "_asks"])
+
+    salt = F.pmod(F.xxhash64("_id", "_v"), F.lit(1 << 40))
+    celled = grouped.select("*", salt.alias("_salt"), F.coalesce(queries, F.lit(False)).alias("_asks")).mapInArrow(placed, "_id long, _dim int, _v binary, _group int, _reach double, _norm double, _cell long, _asks boolean")
+    celled = Written(celled, "cells").df
+
+    def own_cell(t: pa.Table) -> pa.Table:
+        asks, dims = t.column("_asks").to_numpy(), t.column("_dim").to_numpy()
+        parts = []
+        for dim in np.unique(dims[asks]):
+            at = np.flatnonzero(dims == dim)
+            ids, v = t.column("_id").to_numpy()[at], unpacked(t.column("_v").take(pa.array(at)), int(dim))
+            q = np.flatnonzero(asks[at])
+            row, _, score = best_rows(v[q], ids[q], v, ids, k)
+            full = np.full(len(q), np.iinfo(np.int64).max)
+            np.minimum.at(full, row, score)
+            got = t.select(["_id", "_dim", "_v", "_group", "_reach", "_norm"]).take(pa.array(at[q]))
+            parts.append(got.append_column("_least", pa.array(full, mask=np.bincount(row, minlength=len(q)) < k)))
+        return pa.concat_tables(parts) if parts else t.slice(0, 0).select(["_id", "_dim", "_v", "_group", "_reach", "_norm"]).append_column("_least", pa.array([], pa.int64()))
 
-    bounded = chunked.groupBy("_group", "_chunk").applyInArrow(own_chunk, "_id long, _dim int, _v binary, _least long")
+    asked = celled.where("_asks").select("_cell").distinct()
+    bounded = celled.join(asked, "_cell", "left_semi").groupBy("_cell").applyInArrow(own_cell, "_id long, _dim int, _v binary, _group int, _reach double, _norm double, _least long")
+    bounded = Written(bounded, "queries").df
+    sides = bounded.groupBy("_dim", "_group").agg(F.count("*").alias("n"), F.max("_reach").alias("r"), F.max("_norm").alias("m"), F.when(F.count("*") == F.count("_least"), F.min("_least")).alias("least")).collect()  # a row a pivot, or a dimension
+    open_: dict[tuple[int, int], np.ndarray] = {}
+    for r in sides:
+        every = np.arange(len(units[r._dim].radius))
+        if r._group >= 0 and r.least is not None:
+            every = every[units[r._dim].group_bounds(pivots[r._dim][r._group], r.r, r.m) >= r.least]
+        open_[(r._dim, r._group)] = every
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(0, len(batch), 512):
-                part = batch.slice(i, 512)
-                dims = part.column(1).to_numpy()
-                least = part.column(3).to_pylist()
-                take, groups, chunks = [], [], []
-                for row in range(len(part)):
-                    dim = int(dims[row])
-                    q = np.frombuffer(part.column(2)[row].as_py(), "<i8").astype(np.float64)
-                    for g in groups_of_dim[dim]:
-                        if g >= 0 and least[row] is not None:
-                            bound = q @ by_dim[dim][g - group_of[dim]] + np.sqrt(q @ q) * radius[g]
-                            if bound + abs(bound) * 1e-9 + 1e-6 < least[row]:
-                                continue
-                        take += [row] * n_chunks[g]
-                        groups += [g] * n_chunks[g]
-                        chunks += range(n_chunks[g])
-                        if len(take) >= 4096:
-                            yield sent(part, take, groups, chunks)
-                            take, groups, chunks = [], [], []
-                yield sent(part, take, groups, chunks)
-
-    def sent(part, take, groups, chunks):
-        got = part.take(pa.array(take, pa.int64()))
-        return pa.RecordBatch.from_arrays([got.column(0), got.column(2), got.column(3), pa.array(groups, pa.int32()), pa.array(chunks, pa.int32())], names=["_id", "_v", "_least", "_group", "_chunk"])
-
-    block = F.pmod(F.xxhash64("_id", F.lit(3)), F.lit(blocks)).cast("int")
-    copies = bounded.mapInArrow(send, "_id long, _v binary, _least long, _group int, _chunk int").withColumn("_block", block)
-    spread = chunked.select("_id", "_v", "_group", "_chunk").withColumn("_block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+            dims, groups = batch.column(1).to_numpy(), batch.column(3).to_numpy()
+            least = np.where(batch.column(6).is_valid().to_numpy(zero_copy_only=False), pc.fill_null(batch.column(6), 0).to_numpy(), -np.inf)
+            for dim, group in {*zip(dims.tolist(), groups.tolist(), strict=True)}:
+                u, at = units[dim], np.flatnonzero((dims == dim) & (groups == group))
+                some = open_[(dim, group)]
+                for start in range(0, len(at), 256):
+                    part = at[start : start + 256]
+                    q = unpacked(batch.column(2).take(pa.array(part)), dim).astype(np.float64)
+                    row, unit = np.nonzero(u.bounds(q, some) >= least[part, None])
+                    unit = some[unit]
+                    n = u.parts[unit]
+                    cell = np.repeat(u.cell[unit], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                    pairs = np.unique(np.stack([np.repeat(row, n), cell], axis=1), axis=0)
+                    got = batch.take(pa.array(part[pairs[:, 0]]))
+                    yield pa.RecordBatch.from_arrays([got.column(0), got.column(1), got.column(2), got.column(6), pa.array(pairs[:, 1])], names=["_id", "_dim", "_v", "_least", "_cell"])
+
+    copies = Written(bounded.mapInArrow(send, "_id long, _dim int, _v binary, _least long, _cell long"), "copies").df
+    blocks = Written(copies.groupBy("_cell").agg(F.ceil(F.count("*") / query_rows).cast("int").alias("_blocks")), "blocks").df
+    of_query = copies.join(blocks, "_cell").withColumn("_block", F.pmod(F.xxhash64("_id", F.lit(3)), F.col("_blocks")).cast("int")).drop("_blocks")
+    of_data = celled.select("_id", "_dim", "_v", "_cell").join(blocks, "_cell").withColumn("_block", F.explode(F.sequence(F.lit(0), F.col("_blocks") - 1))).drop("_blocks")
+    if sent is not None:
+        sent.append((n_rows, bounded.count(), first[-1] + parts[-1], copies.count(), of_data.count()))
 
     def solve(data: pa.Table, asked: pa.Table) -> pa.Table:
-        if not asked.num_rows or not data.num_rows:
-            return pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
-        d, q = (from_binary(t.column("_v"), "<i8").reshape(t.num_rows, -1) for t in (data, asked))
-        d_ids, q_ids = data.column("_id").to_numpy(), asked.column("_id").to_numpy()
-        least = np.array([-np.inf if x is None else x for x in asked.column("_least").to_pylist()])
-        got = best_rows(q, q_ids, d, d_ids, k, least)
-        return pa.table({"query_id": q_ids[[x[0] for x in got]], "vec_id": d_ids[[x[1] for x in got]], "score": pa.array([x[2] for x in got], pa.int64())})
-
-    cell = ("_group", "_chunk", "_block")
-    found = spread.groupBy(*cell).cogroup(copies.groupBy(*cell)).applyInArrow(solve, "query_id long, vec_id long, score long").distinct()
+        out = []
+        for dim in np.unique(asked.column("_dim").to_numpy()):
+            d_at, q_at = (pa.array(np.flatnonzero(t.column("_dim").to_numpy() == dim)) for t in (data, asked))
+            if not len(d_at):
+                continue
+            d, q = (unpacked(t.column("_v").take(at), int(dim)) for t, at in ((data, d_at), (asked, q_at)))
+            d_ids, q_ids = data.column("_id").take(d_at).to_numpy(), asked.column("_id").take(q_at).to_numpy()
+            least = asked.column("_least").take(q_at)
+            floor = np.where(least.is_valid().to_numpy(), pc.fill_null(least, np.iinfo(np.int64).min).to_numpy(), np.iinfo(np.int64).min)
+            row, at, score = best_rows(q, q_ids, d, d_ids, k, floor)
+            out.append(pa.table({"query_id": q_ids[row], "vec_id": d_ids[at], "score": score}))
+        return pa.concat_tables(out) if out else pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.int64())})
+
+    cell = ("_cell", "_block")
+    found = of_data.groupBy(*cell).cogroup(of_query.groupBy(*cell)).applyInArrow(solve, "query_id long, vec_id long, score long").distinct()
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
     return found.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

@@ -1,11 +1,12 @@
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tallyloom.llm.topk_search import top_k
 
 
 def brute(rows, k, scale=64.0):
-    ok = sorted({(i, tuple(int(np.floor(scale * x)) for x in v)) for i, v in rows if v is not None and all(x is not None and np.isfinite(x) for x in v)})
+    ok = sorted({(i, tuple(int(np.floor(scale * x)) for x in v)) for i, v in rows if i is not None and v is not None and all(x is not None and np.isfinite(x) for x in v)})
     out = set()
     for i, q in ok:
         if i % 20 == 0:
@@ -25,8 +26,8 @@ def test_against_brute_force(spark):
     base[200:400] = base[200] + rng.normal(size=(200, 8)) * 0.01  # a hot group
     base[420:440] = base[420]
     rows = [(i, [float(x) for x in v]) for i, v in enumerate(base)]
-    rows += [(520, None), (540, [1.0, None] + [0.0] * 6), (560, [float("nan")] * 8), (580, [0.0] * 8), (600, [1.0, 2.0]), (601, [2.0, 1.0]), (620, []), rows[40], rows[41]]
-    for more in ({}, {"chunk_rows": 40, "query_rows": 6, "pivots": 7}):
+    rows += [(None, [1.0] * 8), (520, None), (540, [1.0, None] + [0.0] * 6), (560, [float("nan")] * 8), (580, [0.0] * 8), (600, [1.0, 2.0]), (601, [2.0, 1.0]), (620, []), rows[40], rows[41]]
+    for more in ({}, {"chunk_rows": 40, "query_rows": 6, "max_pivots": 7}):
         assert found(spark, rows, k=20, **more) == brute(rows, 20)
 
 
@@ -34,3 +35,19 @@ def test_large_numbers_and_few_rows(spark):
     rows = [(0, [1e7, -3.0]), (20, [1e6 + 1 / 64, 2.5]), (3, [-3e6, 7.0])]
     assert found(spark, rows, k=2) == brute(rows, 2)
     assert found(spark, [], k=2) == set()
+
+
+def test_clustered_vectors_are_sent_to_few_cells(spark):
+    rng = np.random.default_rng(4)
+    middle = rng.normal(size=(40, 16)) * 8
+    rows = [(i, [float(x) for x in middle[i % 40] + rng.normal(size=16) * 0.05]) for i in range(2400)]
+    sent = []
+    assert found(spark, rows, k=5, chunk_rows=60, query_rows=4, sent=sent) == brute(rows, 5)
+    n, asked, cells, query_copies, data_copies = sent[0]
+    assert asked == 120 and query_copies < asked * cells / 3 and data_copies < n * asked / 4 / 3
+
+
+def test_ids_must_be_numbers(spark):
+    df = spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>")
+    with pytest.raises(TypeError):
+        top_k(df, F.lit(True))
