@@ -33,6 +33,10 @@ META_TAG = r"(?is)<meta\s[^>]*?>"
 HREF = r"""(?is)\shref\s*=\s*["']?([^"'\s>]+)"""
 REFRESH = r"""(?is)content\s*=\s*["']?\s*[0-9.]*\s*[;,]\s*url\s*=\s*['"]?([^"'\s>]+)"""
 CANONICAL = r"""(?is)\srel\s*=\s*["']?[^"'>]*\bcanonical\b"""
+BASE_HREF = r"""(?is)<base\s[^>]*?\bhref\s*=\s*["']?([^"'\s>]+)"""
+#: References to characters; the ampersand's stays last.
+NAMED = (("&quot;", '"'), ("&apos;", "'"), ("&lt;", "<"), ("&gt;", ">"), ("&amp;", "&"))
+NUMBERED = r"&#(?:[xX][0-9a-fA-F]{1,6}|[0-9]{1,7});"
 IS_REFRESH = r"""(?is)\shttp-equiv\s*=\s*["']?refresh\b"""
 
 
@@ -89,15 +93,29 @@ def resolve(url: Column, to: Column) -> Column:
     )
 
 
+def plain_text(c: Column) -> Column:
+    """An attribute's value with its character references put right; numbers outside Unicode stay."""
+    digits = lambda e: F.regexp_extract(e, r"([0-9a-fA-F]+);", 1)
+    code = lambda e: F.when(e.rlike(r"^&#[xX]"), F.conv(digits(e), 16, 10)).otherwise(digits(e)).cast("bigint")
+    char = lambda e: F.decode(F.unhex(F.lpad(F.hex(code(e)), 8, "0")), "UTF-32")
+    known = lambda e: (code(e) > 0) & ((code(e) < 0xD800) | (code(e) > 0xDFFF) & (code(e) < 0x110000))
+    numbered = F.filter(F.array_distinct(F.regexp_extract_all(c, F.lit(NUMBERED), 0)), known)
+    out = F.aggregate(numbered, c, lambda held, e: F.replace(held, e, char(e)))
+    for name, text in NAMED:
+        out = F.replace(out, F.lit(name), F.lit(text))
+    return out
+
+
 def alias_edges(pages: DataFrame) -> DataFrame:
-    """src, dst addresses: targets of canonical links and refresh redirects, relative ones resolved against the page's url."""
+    """src, dst addresses: targets of canonical links and refresh redirects, relative ones resolved against <base> or the page's url."""
     html = F.col("html")
     links = F.transform(F.filter(F.regexp_extract_all(html, F.lit(LINK_TAG), 0), lambda t: t.rlike(CANONICAL)), lambda t: F.regexp_extract(t, HREF, 1))
     metas = F.transform(F.filter(F.regexp_extract_all(html, F.lit(META_TAG), 0), lambda t: t.rlike(IS_REFRESH)), lambda t: F.regexp_extract(t, REFRESH, 1))
     may = html.rlike(r"(?i)canonical|http-equiv")
-    found = pages.where(may & F.col("url").contains("://")).select("url", F.explode(F.array_distinct(F.concat(links, metas))).alias("to"))
-    to = F.replace(F.col("to"), F.lit("&amp;"), F.lit("&"))
-    return found.select(address(F.col("url")).alias("src"), address(resolve(F.col("url"), to)).alias("dst")).where("dst <> '' AND src <> dst")
+    found = pages.where(may & F.col("url").contains("://")).select("url", F.regexp_extract(html, BASE_HREF, 1).alias("base"), F.explode(F.array_distinct(F.concat(links, metas))).alias("to"))
+    base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), plain_text(F.col("base"))), F.col("url")))
+    named = found.select("url", base.alias("base"), plain_text(F.col("to")).alias("to"))
+    return named.select(address(F.col("url")).alias("src"), address(resolve(F.col("base"), F.col("to"))).alias("dst")).where("dst <> '' AND src <> dst")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], *, redirects: DataFrame | None = None) -> DataFrame:
@@ -105,7 +123,7 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, redirects: DataFrame | No
 
     redirects: further pairs of urls (src, dst), such as crawl logs have. Null or odd urls have
     empty host and path, fit no rule and are allowed; null html has no edges; repeated rows are
-    judged alike; an empty table gives no rows; columns other than those named are not read.
+    judged alike; urls and html of any length are read whole; an empty table gives no rows; columns other than those named are not read.
     alias_of is the smallest address of the component, null where a page has no alias.
     """
     edges = alias_edges(pages)
@@ -120,7 +138,8 @@ def judge_urls(pages: DataFrame, rules: list[Rule], *, redirects: DataFrame | No
     comp = connected_components(kept.df, "src", "dst")
     ruled = comp.withColumn("_verdict", longest_rule(url_host(F.col("node")), url_path(F.col("node")), rules)["verdict"])
     blocked = ruled.groupBy("component").agg(F.bool_or(F.coalesce(F.col("_verdict") == "block", F.lit(False))).alias("_blocked"))
-    spread = comp.join(blocked, "component").select(F.col("node").alias("_at"), F.col("component").alias("alias_of"), "_blocked")
+    # written sides, so that a component with very many urls, or a url with very many rows, is split by Spark's skew join
+    spread = Written(comp.join(Written(blocked, "blocked").df, "component").select(F.col("node").alias("_at"), F.col("component").alias("alias_of"), "_blocked"), "spread").df
     return own.join(spread, "_at", "left").select(
         "page_id", "host", "path", "rule",
         F.coalesce("_own", F.when(F.col("_blocked"), "block").otherwise("allow")).alias("verdict"), "alias_of",

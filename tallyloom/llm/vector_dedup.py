@@ -25,6 +25,7 @@ from dataclasses import dataclass, replace
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -153,13 +154,14 @@ def balls(nodes: DataFrame, s: Settings) -> DataFrame:
 
     def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own, unit, head, head_unit = batch.column(0).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5).to_pylist()
-            leader, near = list(own), [1.0] * len(own)
-            for i, (h, hu) in enumerate(zip(head, head_unit, strict=True)):
-                if h is not None and h != own[i]:
-                    c = float(np.frombuffer(unit[i]) @ np.frombuffer(hu))
-                    if c >= half:
-                        leader[i], near[i] = h, c
+            leader, near = batch.column(0).to_pylist(), np.ones(len(batch))
+            other = np.flatnonzero(pc.fill_null(pc.not_equal(batch.column(4), batch.column(0)), False).to_numpy(zero_copy_only=False))
+            if len(other):
+                at = pa.array(other)
+                c = np.einsum("ij,ij->i", from_binary(batch.column(3).take(at), "<f8"), from_binary(batch.column(5).take(at), "<f8"))
+                for i, cosine, head in zip(other, c, batch.column(4).take(at).to_pylist(), strict=True):
+                    if cosine >= half:
+                        leader[i], near[i] = head, cosine
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(leader, pa.binary()), pa.array(near)], names=["_node", "m", "least", "_unit", "leader", "near"])
 
     rest = free.join(lead, "sig", "left").select("_node", "m", "least", "_unit", "_h", "_hu").mapInArrow(second, f"{kinds}, leader binary, near double")
@@ -423,7 +425,7 @@ def _linked(nodes: DataFrame, dim: int, s: Settings) -> DataFrame:
     to_node = some.groupBy("_node").agg(F.sum("n").alias("n"))
     comp = connected_components(whole.select("a", "b").unionAll(some.select("a", "b").distinct()), "a", "b")
     placed = leaders.select("leader", "weight", "least").join(comp, F.col("leader") == F.col("node"), "left").withColumn("comp", F.coalesce("component", "leader"))
-    names = placed.groupBy("comp").agg(F.min("least").alias("component_id"))
+    names = Written(placed.groupBy("comp").agg(F.min("least").alias("component_id")), "names").df  # written: a hot component's rows can be split
     by_ball = placed.join(names, "comp").join(to_ball, "leader", "left").select("leader", "component_id", (F.col("weight") - 1 + F.coalesce("w", F.lit(0))).alias("_base"))
     return members.select("_node", "leader").join(by_ball, "leader").join(to_node, "_node", "left").select("_node", (F.col("_base") + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), "component_id")
 

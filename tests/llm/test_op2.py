@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.llm.components import connected_components
 from tallyloom.llm.op2_query import RULES
-from tallyloom.llm.url_filter import judge_urls, resolve
+from tallyloom.llm.url_filter import judge_urls, plain_text, resolve
 
 
 def judged(spark, rows, **more):
@@ -69,3 +69,14 @@ def test_relative_references(spark):
     tag = '<meta http-equiv="refresh" content="0; url={}">'
     pages = judged(spark, [(1, "http://example.com/fr/x", tag.format("../de/y"), ""), (2, "http://example.com", tag.format("de/y"), ""), (3, "http://example.com/en/z", tag.format("?id=2"), "")])
     assert {k: v.verdict for k, v in pages.items()} == {1: "block", 2: "block", 3: "allow"} and pages[3].alias_of
+
+
+def test_bases_and_character_references(spark):
+    tag = '<meta http-equiv="refresh" content="0; url={}">'
+    got = judged(spark, [
+        (1, "http://a.com/1", '<base target="_top" href="http://bad.net/q/">' + tag.format("x"), ""), (2, "http://a.com/2", tag.format("http:&#47;&#x2F;bad&#46;net/"), ""),
+        (3, "http://a.com/3", "<base href='/de/'>" + tag.format("x"), ""), (4, "http://example.com/4", "<base href='/de/'>" + tag.format("x"), ""), (5, "http://a.com/5", tag.format("&#x110000;&#0;&#xD800;y&amp;lt;"), ""),
+    ])
+    assert {k: v.verdict for k, v in got.items()} == {1: "block", 2: "block", 3: "allow", 4: "block", 5: "allow"}
+    text = spark.createDataFrame([("&#233;&#x1F600;&amp;quot;&quot;&#0;",)], "t string").select(plain_text(F.col("t"))).first()[0]
+    assert text == 'é\U0001f600&quot;"&#0;'
