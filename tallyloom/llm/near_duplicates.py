@@ -113,7 +113,6 @@ def _blocks_solved(rows: DataFrame) -> DataFrame:
                 c = root[c]
             return c
 
-        links = []
         may = shared_counts(arrays) * (NUMERATOR + DENOMINATOR) >= NUMERATOR * (sizes[:, None] + sizes[None, :])
         main = np.array(sides)
         may &= ~(main[:, None] & main[None, :])
@@ -121,8 +120,7 @@ def _blocks_solved(rows: DataFrame) -> DataFrame:
             x, y = find(comps[i]), find(comps[j])
             if x != y and alike(arrays[i], arrays[j]):
                 root[max(x, y)] = min(x, y)
-                links.append((comps[i], comps[j]))
-        return links
+        return [(find(c), c) for c in root if find(c) != c]  # named alike in all blocks that hold them, so that few different pairs are left
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, held = None, ([], [], [])
@@ -240,7 +238,7 @@ def _linked(nodes: DataFrame, rows: DataFrame, s: Settings) -> DataFrame:
     if not large.isEmpty():
         again = Written(_by_rare_shingles(placed.join(large.select("bucket"), "bucket").select("node", "comp").distinct(), seqs), "rare").df
         more = more.unionAll(_blocks_solved(_blocks(again, _unsettled(again), seqs, s.block)))
-    more = Written(more, "more-links").df
+    more = Written(more.distinct(), "more-links").df
     if more.isEmpty():
         return comp
     up = connected_components(more, "a", "b").select(F.col("node").alias("comp"), F.col("component").alias("_root"))
