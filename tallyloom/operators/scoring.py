@@ -28,10 +28,15 @@ def target_messages(gold: Column, session: Column) -> Column:
 
 
 def with_default_predictions(gold: DataFrame, predictions: DataFrame, *, platform_of_task: bool = False) -> DataFrame:
-    """Gold left-joined with predictions; a missing one abstains with empty answers and stays in the denominator."""
+    """Gold left-joined with predictions; a missing one abstains with empty answers and stays in the denominator.
+
+    A sample_id with several predictions fails the query: it would count more than once in every rate.
+    """
+    times = F.count("*").over(Window.partitionBy("sample_id"))  # dealt as the join needs it, so no shuffle of its own
+    one = F.when(times > 1, F.raise_error(F.concat(F.lit("duplicate prediction: "), F.col("sample_id").cast("string"))).cast("boolean")).otherwise(True)
     p = predictions.select(
         "sample_id", F.col("input_view").alias("p_input_view"), F.col("platform").alias("p_platform"), F.col("intent").alias("p_intent"), F.col("abstain").alias("p_abstain"),
-        F.col("messages").cast(MESSAGES).alias("p_messages"), F.col("candidates").cast(CANDIDATES).alias("p_candidates"), F.lit(True).alias("_has"),
+        F.col("messages").cast(MESSAGES).alias("p_messages"), F.col("candidates").cast(CANDIDATES).alias("p_candidates"), one.alias("_has"),
     )
     missing = F.col("_has").isNull()
     default_platform = F.col("platform") if platform_of_task else F.lit("unknown")
@@ -56,7 +61,8 @@ def id_differences(gold: DataFrame, predictions: DataFrame, key: str = "sample_i
         one = rows.select(F.lit(kind).alias("kind"), "id")
         out = one if out is None else out.unionAll(one)
     first = F.row_number().over(Window.partitionBy("kind").orderBy("id"))
-    return out.withColumn("_r", first).groupBy("kind").agg(F.count("*").alias("n"), F.array_sort(F.collect_list(F.when(F.col("_r") <= 10, F.col("id")))).alias("first_ids"))
+    ten = out.withColumn("_r", first).where("_r <= 10").groupBy("kind").agg(F.array_sort(F.collect_list("id")).alias("first_ids"))  # tasks pass on ten ids a kind at most
+    return out.groupBy("kind").agg(F.count("*").alias("n")).join(ten, "kind")
 
 
 def score_messages(pairs: DataFrame) -> DataFrame:

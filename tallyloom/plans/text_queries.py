@@ -29,7 +29,10 @@ def q26(spark, d):
     return table(spark, d, "documents").select("doc_id", F.size(text.mixed_tokens(F.regexp_replace("text", ASCII, ""))).alias("tokens"))
 
 
-@query("q27_token_edit")
+# what is left out is the distance, since the answer is a part of the reference in order
+@query("q27_token_edit", r"""
+WITH t AS (SELECT item_id, regexp_extract_all(text, '[㐀-鿿]|[A-Za-z0-9]+|[^\s\p{Z}]') AS a FROM benchmark)
+SELECT item_id, CAST(len(list_filter(range(len(a)), lambda i: i % 7 = 3)) AS INTEGER) AS edits, CAST(len(a) AS INTEGER) AS reference_tokens FROM t""")
 def q27(spark, d):
     b = table(spark, d, "benchmark").select("item_id", text.mixed_tokens(F.col("text")).alias("a"))
     b = b.withColumn("b", F.filter("a", lambda t, i: i % 7 != 3))
@@ -64,22 +67,18 @@ def q30(spark, d):
     return table(spark, d, "pages").select("page_id", text.entry_parts("url").getField("canonical").alias("canonical"))
 
 
-def _mask_sql(c):
-    out = f"trim(regexp_replace({c}, '[ \\t\\n\\r\\f\\v]+', ' ', 'g'))"
-    for name, pattern in text.MASKS:
-        sql = pattern.replace("'", "''")
-        out = f"regexp_replace({out}, '{sql}', '[{name}]', 'g')"
-    return out
-
-
-@query("q31_redact", rf"""
-WITH r AS (SELECT lang, {_mask_sql('text')} AS t FROM documents)
-SELECT lang, sum(len(regexp_extract_all(t, '\[URL\]')))::BIGINT AS urls, sum(len(regexp_extract_all(t, '\[EMAIL\]')))::BIGINT AS emails, sum(len(regexp_extract_all(t, '\[DOMAIN\]')))::BIGINT AS domains,
-  sum(len(regexp_extract_all(t, '\[IP\]')))::BIGINT AS ips, sum(length(t))::BIGINT AS chars FROM r GROUP BY lang""")
+@query("q31_redact", r"""
+WITH a AS (SELECT lang, trim(regexp_replace(text, '[\s\p{Z}\x{85}]+', ' ', 'g')) AS t FROM documents),
+b AS (SELECT lang, regexp_replace(t, '(?i)\b(?:https?://|www\.)\S+', '[MASKED_URL]', 'g') AS t FROM a),
+c AS (SELECT lang, regexp_replace(t, '(?i)\b(?:[a-z0-9](?:[a-z0-9-]{0,61}[a-z0-9])?\.)+(?:com|net|org|cn|io|app|top|xyz|info|me|co|in|cc|test|blog|online)\b', '[MASKED_DOMAIN]', 'g') AS t FROM b),
+d AS (SELECT lang, regexp_replace(t, '(^|[^0-9])(?:(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})\.){3}(?:25[0-5]|2[0-4][0-9]|1?[0-9]{1,2})($|[^0-9])', '\1[MASKED_IP]\2', 'g') AS t FROM c),
+r AS (SELECT lang, regexp_replace(t, '(?i)\b[A-Z0-9._%+-]+@[A-Z0-9.-]+\.[A-Z]{2,}\b', '[MASKED_EMAIL]', 'g') AS t FROM d)
+SELECT lang, sum(len(regexp_extract_all(t, 'MASKED_URL')))::BIGINT AS urls, sum(len(regexp_extract_all(t, 'MASKED_EMAIL')))::BIGINT AS emails, sum(len(regexp_extract_all(t, 'MASKED_DOMAIN')))::BIGINT AS domains,
+  sum(len(regexp_extract_all(t, 'MASKED_IP')))::BIGINT AS ips, sum(length(t))::BIGINT AS chars, sum(length(substr(t, 1, 180)))::BIGINT AS shown FROM r GROUP BY lang""")
 def q31(spark, d):
-    r = table(spark, d, "documents").select("lang", text.redacted(F.col("text")).alias("t"))
-    n = lambda m: F.sum(F.regexp_count("t", F.lit(rf"\[{m}\]")))
-    return r.groupBy("lang").agg(n("URL").alias("urls"), n("EMAIL").alias("emails"), n("DOMAIN").alias("domains"), n("IP").alias("ips"), F.sum(F.length("t")).alias("chars"))
+    r = table(spark, d, "documents").select("lang", text.redacted(F.col("text"), None).alias("t"), text.redacted(F.col("text")).alias("s"))
+    n = lambda m: F.sum(F.regexp_count("t", F.lit(f"MASKED_{m}")))
+    return r.groupBy("lang").agg(n("URL").alias("urls"), n("EMAIL").alias("emails"), n("DOMAIN").alias("domains"), n("IP").alias("ips"), F.sum(F.length("t")).alias("chars"), F.sum(F.length("s")).alias("shown"))
 
 
 @query("q32_safety_scan")

@@ -121,7 +121,8 @@ def test_text_functions(spark):
     assert norm == ["a b\nc", unicodedata.normalize("NFC", "é x"), "你好, World-42"]
     assert df.where("i = 2").select(text.mixed_tokens(F.col("t"))).first()[0] == ["你", "好", ",", "World", "-", "42"]
     assert df.limit(1).select(text.folded(F.lit("Ｓtraẞe  x"))).first()[0] == "strasse x"
-    assert text.levenshtein_tokens(list("kitten"), list("sitting")) == 3 and text.levenshtein_tokens([], ["a"]) == 1
+    edits = lambda a, b: df.limit(1).select(text.token_edits(F.array(*map(F.lit, a)).cast("array<string>"), F.array(*map(F.lit, b)).cast("array<string>"))).first()[0]
+    assert edits("kitten", "sitting") == 3 and edits([], ["a"]) == 1 and edits(["long", "x"], ["x", "long"]) == 2
     assert df.limit(1).select(text.slug(F.lit("..a b/c--"))).first()[0] == "a_b_c"
     assert df.limit(1).select(text.slug(F.lit("//"))).first()[0] == "model"
     assert df.limit(1).select(text.aware_timestamp(F.lit("2026-01-01T00:00:00"))).first()[0] is None
@@ -165,6 +166,31 @@ def test_safety_findings():
     assert normalised("a%2Eb") == "a.b"
 
 
+@pytest.mark.parametrize("value, want", [
+    ("at 2001:db8::8a2e:370:7334 now", ("IP_ADDRESS", "2001:db8::8a2e:370:7334")), ("at [2001:db8::1] now", ("IP_ADDRESS", "[2001:db8::1]")), ("evil[ . ]com", ("LIVE_DOMAIN", "evil.com")),
+    ("evil 点 com", ("LIVE_DOMAIN", "evil.com")), ("abc[点]com", ("LIVE_DOMAIN", "abc.com")), ("call 13 812345678", ("PHONE_OR_ACCOUNT_NUMBER", "13812345678")),
+    ("call (010) 8123 4567", ("PHONE_OR_ACCOUNT_NUMBER", "01081234567")), ("微信号：abc12", ("ACCOUNT_IDENTIFIER", "abc12")), ("e v i l . c o m", ("LIVE_DOMAIN", "evil.com")),
+    ("打开 例子。公司", ("LIVE_DOMAIN", "例子.公司")), ("add wx12345678", ("ACCOUNT_IDENTIFIER", "wx12345678")), ("mail a@b.io", ("EMAIL_ADDRESS", "a@b.io")), ("http://2130706434/", None),
+    ("http://2147483649/", ("LIVE_DOMAIN", "2147483649")), ("他说。好的", None), ("例え.test", None),
+])
+def test_each_family_finds(value, want):
+    got = [(k, v) for k, v, _, _ in findings(value)]
+    assert (want in got) if want else got == []
+
+
+def test_duplicate_predictions_fail(spark):
+    g = spark.createDataFrame([("a", "x")], "sample_id string, platform string")
+    p = spark.createDataFrame([("a",), ("a",)], "sample_id string").selectExpr("sample_id", "'v' input_view", "'x' platform", "'i' intent", "false abstain", f"cast(array() as {scoring.MESSAGES}) messages", f"cast(array() as {scoring.CANDIDATES}) candidates")
+    with pytest.raises(Exception, match="duplicate prediction: a"):
+        scoring.with_default_predictions(g, p).collect()
+
+
+def test_redaction_order_and_limit(spark):
+    shown = lambda t, **k: spark.createDataFrame([(t,)], "t string").select(text.redacted(F.col("t"), **k)).first()[0]
+    assert shown("a  www.x.y/z b@shop.io\n10.0.0.1 c@d.edu") == "a [MASKED_URL] b@[MASKED_DOMAIN] [MASKED_IP] [MASKED_EMAIL]"
+    assert len(shown("x" * 500)) == 180 and len(shown("x" * 500, limit=None)) == 500
+
+
 def test_bootstrap_draws_as_many_sources_as_there_are(spark, tmp_path):
     import hashlib
 
