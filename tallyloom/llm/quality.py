@@ -113,7 +113,7 @@ class Model:
 
 
 def bags(train: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """(label, features, counts) of the bounded training rows, fetched one partition at a time."""
+    """(label, features, counts) of the bounded training rows, fetched one partition at a time; counts take 2 bytes, or 4 in a text that needs them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -125,12 +125,12 @@ def bags(train: DataFrame) -> list[tuple[int, np.ndarray, np.ndarray]]:
                     parts = [f[np.searchsorted(at, begin[i]) : np.searchsorted(at, begin[i + 1])] for at, f in found]
                     kept.append(np.unique(np.concatenate(parts) if parts else np.zeros(0, np.int64), return_counts=True))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(labels[row : row + len(kept)], pa.int32()), pa.array([f.astype("<i4").tobytes() for f, _ in kept], pa.binary()), pa.array([c.astype("<u4").tobytes() for _, c in kept], pa.binary())],
+                    [pa.array(labels[row : row + len(kept)], pa.int32()), pa.array([f.astype("<i4").tobytes() for f, _ in kept], pa.binary()), pa.array([c.astype("<u2" if c.max(initial=0) < 1 << 16 else "<u4").tobytes() for _, c in kept], pa.binary())],
                     names=["label", "f", "c"],
                 )
                 row += len(kept)
 
-    rows = [(r.label, np.frombuffer(r.f, "<i4"), np.frombuffer(r.c, "<u4")) for r in train.select("text", "label").mapInArrow(run, "label int, f binary, c binary").toLocalIterator()]
+    rows = [(r.label, np.frombuffer(r.f, "<i4"), np.frombuffer(r.c, "<u4" if len(r.c) == len(r.f) else "<u2")) for r in train.select("text", "label").mapInArrow(run, "label int, f binary, c binary").toLocalIterator()]
     return sorted(rows, key=lambda x: (x[0], len(x[1]), zlib.crc32(x[1]), zlib.crc32(x[2])))
 
 

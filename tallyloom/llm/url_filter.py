@@ -112,10 +112,13 @@ def alias_edges(pages: DataFrame) -> DataFrame:
     links = F.transform(F.filter(F.regexp_extract_all(html, F.lit(LINK_TAG), 0), lambda t: t.rlike(CANONICAL)), lambda t: F.regexp_extract(t, HREF, 1))
     metas = F.transform(F.filter(F.regexp_extract_all(html, F.lit(META_TAG), 0), lambda t: t.rlike(IS_REFRESH)), lambda t: F.regexp_extract(t, REFRESH, 1))
     may = html.rlike(r"(?i)canonical|http-equiv")
-    found = pages.where(may & F.col("url").contains("://")).select("url", F.regexp_extract(html, BASE_HREF, 1).alias("base"), F.explode(F.array_distinct(F.concat(links, metas))).alias("to"))
-    base = F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), plain_text(F.col("base"))), F.col("url")))
-    named = found.select("url", base.alias("base"), plain_text(F.col("to")).alias("to"))
-    return named.select(address(F.col("url")).alias("src"), address(resolve(F.col("base"), F.col("to"))).alias("dst")).where("dst <> '' AND src <> dst")
+    # each step is below a generator, so that no expression is copied into all the places that use it
+    one = lambda c, name: F.explode(F.array(c)).alias(name)
+    held = pages.where(may & F.col("url").contains("://")).select("url", one(plain_text(F.regexp_extract(html, BASE_HREF, 1)), "base"), F.array_distinct(F.concat(links, metas)).alias("links"))
+    held = held.where(F.size("links") > 0).select("url", "links", one(F.when(F.col("base") == "", F.col("url")).otherwise(F.coalesce(resolve(F.col("url"), F.col("base")), F.col("url"))), "base"))
+    named = held.select("url", "base", F.explode(F.transform("links", plain_text)).alias("to"))
+    full = named.select(address(F.col("url")).alias("src"), one(resolve(F.col("base"), F.col("to")), "to"))
+    return full.select("src", one(address(F.col("to")), "dst")).where("dst <> '' AND src <> dst")
 
 
 def judge_urls(pages: DataFrame, rules: list[Rule], *, redirects: DataFrame | None = None) -> DataFrame:
