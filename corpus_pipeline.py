@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyloom.llm import mixing, near_duplicates, packing, quality, toxicity
-from tallyloom.llm.common import table, written
+from tallyloom.llm.common import Written, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -54,8 +54,11 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over the whole documents table. A stage's copy goes when the next one's is written, the last when the driver ends."""
+    docs, held = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written(stage(spark, docs, sf_dir), name)
+        new = Written(stage(spark, docs, sf_dir), name)
+        if held is not None:
+            held.drop()
+        docs, held = new.df, new
     return docs
