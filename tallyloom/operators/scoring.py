@@ -67,13 +67,19 @@ def id_differences(gold: DataFrame, predictions: DataFrame, key: str = "sample_i
 
 def score_messages(pairs: DataFrame) -> DataFrame:
     """sample_id, message_id, exact, edits and reference lengths; a message without an answer scores against ""."""
-    gold = pairs.select("sample_id", F.explode("messages").alias("g"), "p_messages")
-    answer = F.element_at(F.filter("p_messages", lambda m: m["message_id"] == F.col("g.message_id")), -1)
-    texts = gold.select("sample_id", F.col("g.message_id").alias("message_id"), normal_text(F.col("g.text")).alias("gold"), normal_text(F.coalesce(answer["text"], F.lit(""))).alias("answer"))
+    ids = lambda c: F.transform(c, lambda m: m["message_id"])
+    in_order = (ids("messages") == ids("p_messages")) & (F.size(F.array_distinct(ids("messages"))) == F.size("messages"))
+    both = lambda g, text: F.struct(g["message_id"].alias("message_id"), g["text"].alias("gold"), text.alias("answer"))
+    by_place = F.zip_with("messages", "p_messages", lambda g, a: both(g, a["text"]))
+    by_id = F.transform("messages", lambda g: both(g, F.try_element_at(F.filter("p_messages", lambda m: m["message_id"] == g["message_id"]), F.lit(-1))["text"]))
+    paired = pairs.select("sample_id", F.explode(F.when(in_order, by_place).otherwise(by_id)).alias("m"))  # before the explode, so that no row carries the other answers
+    texts = paired.select("sample_id", F.col("m.message_id").alias("message_id"), normal_text(F.col("m.gold")).alias("gold"), normal_text(F.coalesce("m.answer", F.lit(""))).alias("answer"))
     tokens = texts.withColumn("gt", mixed_tokens(F.col("gold"))).withColumn("at", mixed_tokens(F.col("answer")))
+    exact = F.col("gold") == F.col("answer")
+    edits = lambda distance: F.when(exact, 0).otherwise(distance)  # noqa: E731  the distance costs the product of the lengths
     return tokens.select(
-        "sample_id", "message_id", (F.col("gold") == F.col("answer")).alias("exact"), F.levenshtein("gold", "answer").alias("char_edits"), F.length("gold").alias("reference_characters"),
-        token_edits("gt", "at").alias("mixed_token_edits"), F.size("gt").alias("reference_mixed_tokens"),
+        "sample_id", "message_id", exact.alias("exact"), edits(F.levenshtein("gold", "answer")).alias("char_edits"), F.length("gold").alias("reference_characters"),
+        edits(token_edits(F.col("gt"), F.col("at"))).alias("mixed_token_edits"), F.size("gt").alias("reference_mixed_tokens"),
     )
 
 

@@ -113,12 +113,12 @@ def hash_draws(spark, replicates: int, size: int, *, salt: str) -> DataFrame:
     return n.select((F.floor(F.col("id") / size)).cast("int").alias("replicate"), drawn.cast("int").alias("idx")).groupBy("replicate", "idx").agg(F.count("*").alias("times"))
 
 
-def cluster_bootstrap(sums: DataFrame, draws: DataFrame, metrics: dict[str, Column], *, cluster: str, qs=(0.025, 0.975)) -> DataFrame:
-    """metric, ci_low, ci_high. sums: one row of additive totals per cluster; metrics: aggregates over `w`-weighted totals."""
+def cluster_bootstrap(sums: DataFrame, draws: DataFrame, metrics: dict[str, Column], *, cluster: str, qs=(0.025, 0.975), percentile=percentile_linear) -> DataFrame:
+    """metric, ci_low, ci_high. sums: one row of additive totals per cluster; metrics: aggregates over `w`-weighted totals; percentile: percentile_linear or percentile_nearest."""
     indexed = sums.join(cluster_index(sums, cluster), cluster)
     reps = draws.join(indexed, "idx").withColumnRenamed("times", "w").groupBy("replicate").agg(*[c.alias(k) for k, c in metrics.items()])
     long = reps.unpivot(["replicate"], list(metrics), "metric", "value").where(~F.isnan("value") & F.col("value").isNotNull())
-    return long.groupBy("metric").agg(percentile_linear(F.col("value"), qs[0]).alias("ci_low"), percentile_linear(F.col("value"), qs[1]).alias("ci_high"))
+    return long.groupBy("metric").agg(percentile(F.col("value"), qs[0]).alias("ci_low"), percentile(F.col("value"), qs[1]).alias("ci_high"))
 
 
 def paired_bootstrap(rows: DataFrame, draws: DataFrame, types: tuple[str, ...], *, by: str = "model", order: str = "ordinal", decisions: tuple[str, ...] = DECISIONS, qs=(0.025, 0.975)) -> DataFrame:

@@ -5,64 +5,93 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tallyloom.operators.ranking import top_k_flags
-from tallyloom.operators.scoring import apply_gate, ratio
-from tallyloom.operators.statistics import cluster_index, exact_percentiles, hash_draws, macro_f1, metric_rows, percentile_nearest, within_tolerance
+from tallyloom.operators.scoring import apply_gate, id_differences, micro_averages, report, score_cases, with_default_predictions
+from tallyloom.operators.statistics import DECISIONS, cluster_bootstrap, decision_scores, exact_percentiles, hash_draws, macro_f1, metric_rows, paired_scores, percentile_nearest, within_tolerance
 from tallyloom.plans.registry import query, table
 
-#: Messages are the clauses of a text, in ASCII; the answer replaces e by 3 in every third document.
+#: Cases are documents, messages are the clauses of a text; the answer replaces e by 3 in every third document, and every seventh has none.
 CLAUSE_END = "[.,!?|\\n]+"
-PAIRS_SQL = f"""messages AS (SELECT doc_id, lang, source, regexp_replace(unnest(regexp_split_to_array(coalesce(text, ''), '{CLAUSE_END}')), '[^ -~]', '', 'g') AS gold FROM documents),
-pairs AS (SELECT lang, source, gold, CASE WHEN doc_id % 3 = 0 THEN replace(gold, 'e', '3') ELSE gold END AS answer FROM messages)"""
-
-
-def scored_pairs(spark, d, *keys):
-    """Totals of whole texts by keys; grouping sets and rates are built on them."""
-    docs = table(spark, d, "documents").select("doc_id", *keys, F.explode(F.split(F.coalesce("text", F.lit("")), CLAUSE_END)).alias("part"))
-    gold = docs.select("doc_id", *keys, F.regexp_replace("part", "[^ -~]", "").alias("gold"))
-    pairs = gold.withColumn("answer", F.when(F.col("doc_id") % 3 == 0, F.replace("gold", F.lit("e"), F.lit("3"))).otherwise(F.col("gold")))
-    edits = F.when(F.col("gold") == F.col("answer"), 0).otherwise(F.levenshtein("gold", "answer"))
-    return pairs.groupBy(*keys).agg(F.count("*").alias("n"), F.sum(edits).alias("e"), F.sum(F.length("gold")).alias("c"), F.count_if(F.col("gold") == F.col("answer")).alias("x"))
-
-
-def _cer():
-    e, c = F.sum("e"), F.sum("c")
-    return [F.sum("n").alias("cases"), e.alias("char_edits"), c.alias("reference_characters"), ratio(e, c).alias("character_error_rate"), ratio(F.sum("x"), F.sum("n")).alias("exact_rate")]
-
-
-CER_SQL = """count(*) AS cases, sum(levenshtein(gold, answer))::BIGINT AS char_edits, sum(length(gold))::BIGINT AS reference_characters,
-  coalesce(sum(levenshtein(gold, answer)) / nullif(sum(length(gold)), 0), 0.0) AS character_error_rate, avg((gold = answer)::INT) AS exact_rate"""
-
-
-@query("q01_cer_by_lang", f"WITH {PAIRS_SQL} SELECT lang, {CER_SQL} FROM pairs GROUP BY lang")
+TAGS_SQL = "list_filter([CASE WHEN contains(text, '|') THEN 'table' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END, CASE WHEN contains(text, '!!') THEN 'shout' END, CASE WHEN n_chars < 500 THEN 'short' END], lambda x: x IS NOT NULL)"
+NORMAL_SQL = r"regexp_replace(regexp_replace(regexp_replace(nfc_normalize(part), '[ \t\r\f\v]+', ' ', 'g'), ' *\n *', chr(10), 'g'), '^[\s]+|[\s]+$', '', 'g')"
+# an answer without e in it is as many edits away as characters, or tokens, with an e are in the reference: the bytes that levenshtein compares are as many
+CASES_SQL = rf"""parts AS (SELECT doc_id, unnest(regexp_split_to_array(coalesce(text, ''), '{CLAUSE_END}')) AS part FROM documents),
+golden AS (SELECT doc_id, {NORMAL_SQL} AS gold FROM parts),
+answered AS (SELECT doc_id, gold, CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 3 = 0 THEN replace(gold, 'e', '3') ELSE gold END AS answer, regexp_extract_all(gold, '[㐀-鿿]|[A-Za-z0-9]+|[^\s\p{{Z}}]') AS tokens FROM golden),
+edited AS (SELECT doc_id, count(*) AS n, count(*) FILTER (WHERE gold = answer) AS x, sum(length(gold)) AS c, sum(len(tokens)) AS t, sum(CASE WHEN doc_id % 7 = 0 THEN length(gold) ELSE levenshtein(gold, answer) END) AS e,
+  sum(CASE WHEN doc_id % 7 = 0 THEN len(tokens) WHEN doc_id % 3 = 0 THEN len(list_filter(tokens, lambda y: contains(y, 'e'))) ELSE 0 END) AS te FROM answered GROUP BY doc_id),
+said AS (SELECT doc_id, lang, source, {TAGS_SQL} AS tags, doc_id % 7 = 0 AS missing FROM documents),
+judged AS (SELECT *, missing OR doc_id % 11 = 0 AS abstain, NOT missing AND doc_id % 4 <> 0 AS intent, NOT missing AND doc_id % 9 <> 0 AS platform, NOT missing AND doc_id % 5 <> 0 AS top1, NOT missing AND (doc_id % 5 <> 0 OR doc_id % 10 = 0) AS topk,
+  CASE WHEN missing THEN 0 ELSE (doc_id % 5 = 0)::INT + (doc_id % 10 <> 0)::INT END AS live FROM said),
+cases AS (SELECT *, n = x AS every FROM judged JOIN edited USING (doc_id))"""
+
+
+def _rate_sql(condition):
+    return f"coalesce(sum(({condition})::INT) / nullif(count(*), 0), 0.0)"
+
+
+MICRO_SQL = f"""count(*) AS case_count, coalesce(sum(n), 0)::BIGINT AS target_message_count, coalesce(sum(e) / nullif(sum(c), 0), 0.0) AS character_error_rate, coalesce(sum(te) / nullif(sum(t), 0), 0.0) AS mixed_token_error_rate,
+  coalesce(sum(x) / nullif(sum(n), 0), 0.0) AS message_exact_rate_per_message, {_rate_sql('every')} AS message_exact_rate, {_rate_sql('intent')} AS intent_accuracy, {_rate_sql('platform')} AS platform_accuracy,
+  {_rate_sql('top1')} AS entry_top1_exact_rate, {_rate_sql('topk')} AS entry_topk_recall, {_rate_sql('topk')} AS local_resolution_success_rate_at_k, {_rate_sql('abstain')} AS abstain_rate,
+  {_rate_sql('every AND intent AND platform AND topk')} AS full_reconstruction_success_rate, {_rate_sql('every AND intent AND platform AND top1')} AS full_reconstruction_success_rate_top1, coalesce(sum(live), 0)::BIGINT AS predicted_live_entry_count"""
+
+
+def document_tags():
+    one = lambda condition, name: F.when(condition, name)
+    return F.array_compact(F.array(one(F.col("text").contains("|"), "table"), one(F.col("text").rlike("[0-9]"), "digits"), one(F.col("text").contains("!!"), "shout"), one(F.col("n_chars") < 500, "short")))
+
+
+def document_cases(spark, d):
+    """Scored cases of whole documents."""
+    docs, n = table(spark, d, "documents"), F.col("doc_id")
+    messages = lambda text: F.transform(F.split(F.coalesce(text, F.lit("")), CLAUSE_END), lambda x, i: F.struct(i.cast("string").alias("message_id"), x.alias("text")))
+    entry = lambda start: F.concat(F.lit(start), n.cast("string"))
+    key, site = n.cast("string").alias("sample_id"), "https://site.test/d?id="
+    gold = docs.select(key, F.col("source").alias("site_id"), F.col("lang").alias("platform"), F.lit("Buy Now").alias("intent"), entry(site).alias("entry_value"), document_tags().alias("obfuscation_types"), messages(F.col("text")).alias("messages"))
+    right, wrong = entry("HTTPS://Site.Test/d?id="), F.lit("https://wrong.org/")
+    ranks = F.array(
+        F.struct(F.lit(1).alias("rank"), F.when(n % 5 == 0, wrong).otherwise(right).alias("value"), F.lit(0.9).alias("confidence")),
+        F.struct(F.lit(2).alias("rank"), F.when(n % 10 == 0, right).otherwise(wrong).alias("value"), F.lit(0.1).alias("confidence")),
+    )
+    predictions = docs.where("doc_id % 7 <> 0").select(
+        key, F.lit("text").alias("input_view"), F.when(n % 9 == 0, "other").otherwise(F.col("lang")).alias("platform"), F.when(n % 4 == 0, "sell").otherwise("buy  now").alias("intent"), (n % 11 == 0).alias("abstain"),
+        messages(F.when(n % 3 == 0, F.replace("text", F.lit("e"), F.lit("3"))).otherwise(F.col("text"))).alias("messages"), ranks.alias("candidates"),
+    )
+    return score_cases(gold, predictions)
+
+
+@query("q01_cer_by_lang", f"WITH {CASES_SQL} SELECT lang, {MICRO_SQL} FROM cases GROUP BY lang")
 def q01(spark, d):
-    return scored_pairs(spark, d, "lang").groupBy("lang").agg(*_cer())
+    return document_cases(spark, d).groupBy(F.col("platform").alias("lang")).agg(*micro_averages())
 
 
-@query("q02_score_grouping_sets", f"WITH {PAIRS_SQL} SELECT lang, source, {CER_SQL} FROM pairs GROUP BY GROUPING SETS ((), (lang), (source))")
+@query("q02_score_grouping_sets", f"""
+WITH {CASES_SQL} SELECT 'overall' AS scope, NULL AS value, {MICRO_SQL} FROM cases UNION ALL SELECT 'platform', lang, {MICRO_SQL} FROM cases GROUP BY lang
+UNION ALL SELECT 'obfuscation_type', tag, {MICRO_SQL} FROM (SELECT *, unnest(tags) AS tag FROM cases) GROUP BY tag""")
 def q02(spark, d):
-    return scored_pairs(spark, d, "lang", "source").groupingSets([[], ["lang"], ["source"]], "lang", "source").agg(*_cer())
+    return report(document_cases(spark, d))
 
 
 @query("q03_missing_prediction_default", """
 SELECT d.lang, count(*) AS cases, count(*) FILTER (WHERE l.doc_id IS NULL) AS missing,
-  avg(coalesce((l.quality = 1)::INT, 0)) AS success_rate, avg((l.doc_id IS NULL)::INT) AS abstain_rate
+  avg(coalesce((l.quality = 1)::INT, 0)) AS success_rate, avg((l.doc_id IS NULL OR l.toxic = 1)::INT) AS abstain_rate
 FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id GROUP BY d.lang""")
 def q03(spark, d):
-    docs, labels = table(spark, d, "documents").select("doc_id", "lang"), table(spark, d, "labels").select("doc_id", "quality", F.lit(1).alias("has"))
-    j = docs.join(labels, "doc_id", "left")
-    miss = F.col("has").isNull()
-    return j.groupBy("lang").agg(F.count("*").alias("cases"), F.count_if(miss).alias("missing"), F.avg(F.coalesce((F.col("quality") == 1).cast("int"), F.lit(0))).alias("success_rate"), F.avg(miss.cast("int")).alias("abstain_rate"))
+    gold = table(spark, d, "documents").select(F.col("doc_id").alias("sample_id"), F.col("lang").alias("platform"))
+    none = F.lit(None)
+    labels = table(spark, d, "labels").select(F.col("doc_id").alias("sample_id"), none.alias("input_view"), none.alias("platform"), F.col("quality").cast("string").alias("intent"), (F.col("toxic") == 1).alias("abstain"), none.alias("messages"), none.alias("candidates"))
+    j = with_default_predictions(gold, labels)
+    return j.groupBy(F.col("platform").alias("lang")).agg(F.count("*").alias("cases"), F.count_if("prediction_missing").alias("missing"), F.avg((F.col("p_intent") == "1").cast("int")).alias("success_rate"), F.avg(F.col("p_abstain").cast("int")).alias("abstain_rate"))
 
 
 @query("q04_unknown_missing_ids", """
-SELECT 'missing' AS kind, count(*) AS n, min(doc_id) AS first_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)
-UNION ALL SELECT 'unknown', count(*), min(doc_id) FROM labels WHERE doc_id % 2 = 0 AND doc_id NOT IN (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0)""")
+WITH given AS (SELECT doc_id FROM labels WHERE doc_id % 2 = 0 UNION ALL SELECT doc_id FROM labels WHERE doc_id % 10 = 0), gold AS (SELECT doc_id FROM documents WHERE doc_id % 4 <> 0),
+odd AS (SELECT 'missing' AS kind, doc_id FROM gold WHERE doc_id NOT IN (SELECT doc_id FROM given) UNION ALL SELECT DISTINCT 'unknown', doc_id FROM given WHERE doc_id NOT IN (SELECT doc_id FROM gold)
+  UNION ALL SELECT 'duplicate', doc_id FROM given GROUP BY doc_id HAVING count(*) > 1)
+SELECT kind, count(*) AS n, array_to_string(list_sort(list(doc_id))[:10], ',') AS first_ids FROM odd GROUP BY kind""")
 def q04(spark, d):
-    docs, labels = table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").select("doc_id")
-    missing = docs.join(labels, "doc_id", "left_anti")
-    unknown = labels.where("doc_id % 2 = 0").join(docs.where("doc_id % 4 <> 0"), "doc_id", "left_anti")
-    one = lambda df, kind: df.agg(F.lit(kind).alias("kind"), F.count("*").alias("n"), F.min("doc_id").alias("first_id"))
-    return one(missing, "missing").unionAll(one(unknown, "unknown"))
+    labels, gold = table(spark, d, "labels").select("doc_id"), table(spark, d, "documents").select("doc_id").where("doc_id % 4 <> 0")
+    got = id_differences(gold, labels.where("doc_id % 2 = 0").unionAll(labels.where("doc_id % 10 = 0")), "doc_id")
+    return got.select("kind", "n", F.array_join(F.col("first_ids").cast("array<string>"), ",").alias("first_ids"))
 
 
 def _f1_sql(label, gold="gold", pred="pred"):
@@ -79,26 +108,48 @@ def q05(spark, d):
     return j.groupBy("source").agg(F.count("*").alias("n"), F.round(macro_f1(F.col("gold"), F.col("pred"), (0, 1, 2)), 12).alias("macro_f1"))
 
 
-@query("q06_gate_loss", """
-WITH j AS (SELECT source, CAST(quality AS VARCHAR) AS gold, CASE WHEN n_chars > 900 THEN '1' ELSE '0' END AS web, toxic = 0 AS gate FROM documents JOIN labels USING (doc_id)),
-g AS (SELECT *, CASE WHEN gate THEN web ELSE '__BOTTOM__' END AS gated FROM j)
-SELECT source, avg(gate::INT) AS entry_gate_pass, avg((gold = web)::INT) AS web_accuracy, avg((gold = gated)::INT) AS gated_accuracy,
-  round(avg((gold = web)::INT) - avg((gold = gated)::INT), 12) AS gate_loss FROM g GROUP BY source""")
-def q06(spark, d):
+#: Decisions of labelled documents, from the page and behind a gate; types are languages.
+TYPES = ("en", "fr", "de")
+DECIDED_SQL = """decided AS (SELECT source, lang, toxic = 0 AS gate, ['VIOLATION', 'NON_VIOLATION', 'INSUFFICIENT_EVIDENCE'][quality + 1] AS gold_d, lang AS gold_t, CASE WHEN n_chars > 900 THEN 'NON_VIOLATION' ELSE 'VIOLATION' END AS web_d,
+  CASE WHEN n_chars % 2 = 0 THEN lang ELSE 'other' END AS web_t FROM documents JOIN labels USING (doc_id)),
+gated AS (SELECT *, CASE WHEN gate THEN web_d ELSE '__BOTTOM__' END AS gated_d, CASE WHEN gate THEN web_t ELSE '__BOTTOM__' END AS gated_t FROM decided),
+typed AS (SELECT *, CASE WHEN gold_d = 'VIOLATION' THEN gold_t END AS gold_v, CASE WHEN gold_d = 'VIOLATION' THEN CASE WHEN web_d = 'VIOLATION' THEN web_t ELSE '__BOTTOM__' END END AS web_v,
+  CASE WHEN gold_d = 'VIOLATION' THEN CASE WHEN gated_d = 'VIOLATION' THEN gated_t ELSE '__BOTTOM__' END END AS gated_v FROM gated)"""
+
+
+def _macro_sql(labels, gold, pred):
+    return f"round(({' + '.join(_f1_sql(repr(x), gold, pred) for x in labels)}) / {len(labels)}, 12)"
+
+
+def _decision_sql(p):
+    return f"""round(avg((gold_d = {p}_d)::INT), 12) AS {p}_decision_accuracy, {_macro_sql(DECISIONS, 'gold_d', f'{p}_d')} AS {p}_decision_macro_f1, {_macro_sql(TYPES, 'gold_v', f'{p}_v')} AS {p}_violation_type_macro_f1,
+  round(avg((gold_d = {p}_d AND gold_t = {p}_t)::INT), 12) AS {p}_hierarchical_exact_match"""
+
+
+def decided_documents(spark, d):
     j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    j = j.select("source", F.col("quality").cast("string").alias("gold"), F.when(F.col("n_chars") > 900, "1").otherwise("0").alias("web"), (F.col("toxic") == 0).alias("gate"))
-    j = j.withColumn("gated", apply_gate(F.col("web"), F.col("web"), F.col("gate"))[0])
-    acc = lambda c: F.avg((F.col("gold") == F.col(c)).cast("int"))
-    return j.groupBy("source").agg(F.avg(F.col("gate").cast("int")).alias("entry_gate_pass"), acc("web").alias("web_accuracy"), acc("gated").alias("gated_accuracy"), F.round(acc("web") - acc("gated"), 12).alias("gate_loss"))
+    j = j.select(
+        "source", "lang", (F.col("toxic") == 0).alias("gate_pass"), F.get(F.array(*map(F.lit, DECISIONS)), F.col("quality")).alias("gold_decision"), F.col("lang").alias("gold_type"),
+        F.when(F.col("n_chars") > 900, DECISIONS[1]).otherwise(DECISIONS[0]).alias("web_pred_decision"), F.when(F.col("n_chars") % 2 == 0, F.col("lang")).otherwise("other").alias("web_pred_type"),
+    )
+    decision, kind = apply_gate(F.col("web_pred_decision"), F.col("web_pred_type"), F.col("gate_pass"))
+    return j.withColumns({"gated_pred_decision": decision, "gated_pred_type": kind})
+
+
+def _rounded(df, *keys):
+    return df.select(*keys, *[F.round(c, 12).alias(c) for c in df.columns if c not in keys])
 
 
-@query("q07_hier_exact", """
-SELECT lang, count(*) AS n, avg((quality = (n_chars > 900)::INT AND toxic = (n_chars % 10 = 0)::INT)::INT) AS hierarchical_exact_match
-FROM documents JOIN labels USING (doc_id) GROUP BY lang""")
+@query("q06_gate_loss", f"""
+WITH {DECIDED_SQL} SELECT source, round(avg(gate::INT), 12) AS entry_gate_pass, {_decision_sql('web')}, {_decision_sql('gated')},
+  round(avg((gold_d = web_d)::INT) - avg((gold_d = gated_d)::INT), 12) AS gate_loss FROM typed GROUP BY source""")
+def q06(spark, d):
+    return _rounded(decided_documents(spark, d).groupBy("source").agg(*paired_scores(TYPES)), "source")
+
+
+@query("q07_hier_exact", f"WITH {DECIDED_SQL} SELECT lang, {_decision_sql('web')} FROM typed GROUP BY lang")
 def q07(spark, d):
-    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
-    both = (F.col("quality") == (F.col("n_chars") > 900).cast("int")) & (F.col("toxic") == (F.col("n_chars") % 10 == 0).cast("int"))
-    return j.groupBy("lang").agg(F.count("*").alias("n"), F.avg(both.cast("int")).alias("hierarchical_exact_match"))
+    return _rounded(decided_documents(spark, d).groupBy("lang").agg(*[c.alias(k) for k, c in decision_scores("web", TYPES).items()]), "lang")
 
 
 @query("q08_percentile_linear", "SELECT l_returnflag, round(quantile_cont(l_extendedprice, 0.025), 6) AS p025, round(quantile_cont(l_extendedprice, 0.5), 6) AS p50, round(quantile_cont(l_extendedprice, 0.975), 6) AS p975 FROM lineitem GROUP BY l_returnflag")
@@ -126,8 +177,6 @@ sites AS (SELECT *, (row_number() OVER (ORDER BY c_nationkey) - 1)::INT AS idx F
 reps AS (SELECT replicate, sum(top * times) / sum(bottom * times) AS v FROM draws JOIN sites USING (idx) GROUP BY replicate)
 SELECT 'mean_order_price' AS metric, round(quantile_cont(v, 0.025), 4) AS ci_low, round(quantile_cont(v, 0.975), 4) AS ci_high FROM reps""")
 def q10(spark, d):
-    from tallyloom.operators.statistics import cluster_bootstrap
-
     sums = table(spark, d, "orders").join(table(spark, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).groupBy("c_nationkey").agg(F.sum("o_totalprice").alias("top"), F.count("*").alias("bottom"))
     ci = cluster_bootstrap(sums, hash_draws(spark, 200, sums.count(), salt="cluster"), {"mean_order_price": F.sum(F.col("top") * F.col("w")) / F.sum(F.col("bottom") * F.col("w"))}, cluster="c_nationkey")
     return ci.select("metric", F.round("ci_low", 4).alias("ci_low"), F.round("ci_high", 4).alias("ci_high"))
@@ -145,10 +194,9 @@ def q11(spark, d):
     right = F.col("quality") == (F.col("n_chars") > 900).cast("int")
     j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
     sums = j.groupBy("source").agg(F.sum(right.cast("int")).alias("web"), F.sum((right & (F.col("toxic") == 0)).cast("int")).alias("gated"), F.count("*").alias("n"))
-    at = sums.join(cluster_index(sums, "source"), "source")
-    reps = hash_draws(spark, 300, sums.count(), salt="paired").join(at, "idx").groupBy("replicate").agg(((F.sum(F.col("web") * F.col("times")) - F.sum(F.col("gated") * F.col("times"))) / F.sum(F.col("n") * F.col("times"))).alias("v"))
-    p = lambda q: F.round(percentile_nearest(F.col("v"), q), 9)
-    return reps.agg(p(0.025).alias("ci_low"), p(0.975).alias("ci_high")).select(F.lit("gate_loss").alias("metric"), "ci_low", "ci_high")
+    loss = (F.sum(F.col("web") * F.col("w")) - F.sum(F.col("gated") * F.col("w"))) / F.sum(F.col("n") * F.col("w"))
+    ci = cluster_bootstrap(sums, hash_draws(spark, 300, sums.count(), salt="paired"), {"gate_loss": loss}, cluster="source", percentile=percentile_nearest)
+    return ci.select("metric", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
 
 
 @query("q13_topk_rank", """

@@ -11,8 +11,6 @@ from tallyloom.operators import rules, transform
 from tallyloom.operators.scoring import confusable_legend
 from tallyloom.plans.registry import query, table
 
-ASCII = "[^ -~\n]"
-
 
 @query("q25_explode_tags", """
 WITH t AS (SELECT doc_id, n_chars, list_filter([CASE WHEN contains(text, '|') THEN 'table' END, CASE WHEN regexp_matches(text, '[0-9]') THEN 'digits' END, CASE WHEN contains(text, '!!') THEN 'shout' END, CASE WHEN n_chars < 500 THEN 'short' END], lambda x: x IS NOT NULL) AS tags FROM documents)
@@ -23,10 +21,9 @@ def q25(spark, d):
     return table(spark, d, "documents").select("n_chars", F.explode(F.array_distinct(tags)).alias("tag")).groupBy("tag").agg(F.count("*").alias("docs"), F.sum("n_chars").alias("chars"))
 
 
-@query("q26_token_counts", r"""
-SELECT doc_id, len(regexp_extract_all(regexp_replace(text, '[^ -~\n]', '', 'g'), '[A-Za-z0-9]+|[^\s]'))::INT AS tokens FROM documents""")
+@query("q26_token_counts", r"SELECT doc_id, len(regexp_extract_all(text, '[㐀-鿿]|[A-Za-z0-9]+|[^\s\p{Z}]'))::INT AS tokens FROM documents")
 def q26(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(text.mixed_tokens(F.regexp_replace("text", ASCII, ""))).alias("tokens"))
+    return table(spark, d, "documents").select("doc_id", F.size(text.mixed_tokens(F.col("text"))).alias("tokens"))
 
 
 # what is left out is the distance, since the answer is a part of the reference in order
