@@ -40,7 +40,7 @@ def with_default_predictions(gold: DataFrame, predictions: DataFrame, *, platfor
     )
     missing = F.col("_has").isNull()
     default_platform = F.col("platform") if platform_of_task else F.lit("unknown")
-    return gold.join(p, "sample_id", "left").select(
+    return gold.join(p.hint("merge"), "sample_id", "left").select(  # both sides dealt by sample: answers grow with the data, so they are never broadcast
         *gold.columns,
         missing.alias("prediction_missing"),
         F.when(missing, default_platform).otherwise(F.col("p_platform")).alias("p_platform"),
