@@ -12,11 +12,14 @@ pairs inside a component: small ones as one block; the nodes of large ones, such
 share a long passage, are dealt anew by their rarest shingles, and those groups are solved in
 blocks of bounded size. Blocks return linked components, not pairs. 5. Components of all links
 are the classes; a class is named by its least doc_id.
+
+Sketches of short texts miss more, so texts of up to 30 shingles have further buckets, an exact
+prefix filter: of two that are alike, no pair with a text of up to 24 shingles is lost.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -30,7 +33,7 @@ from pyspark.sql.window import Window
 from tallyloom.llm.alignment import DENOMINATOR, NUMERATOR, alike, shared_counts
 from tallyloom.llm.common import Written, fresh, give_back, scratch
 from tallyloom.llm.components import connected_components
-from tallyloom.llm.shingles import STEP, mix, shingled
+from tallyloom.llm.shingles import STEP, Shingled, mix, shingled
 
 
 @dataclass(frozen=True)
@@ -38,43 +41,60 @@ class Settings:
     """A pair of similarity 0.8 shares one of 14 sketches of 4 minima with probability 1 - (1 - p)^14.
 
     The minima are drawn without replacement: of n shingles, k of them shared, p = C(k, 4) / C(n, 4), which is near
-    0.8^4 for long texts (over 0.999 in all) and less for short ones: 0.956 for 4 of 5, 0.9966 for 5 of 6 and 8 of
-    10, 0.998 for 12 of 15.
+    0.8^4 for long texts (over 0.999 in all) and less for short ones: 0.956 for 4 of 5, 0.9966 for 8 of 10, 0.9989
+    for 20 of 25. Texts of up to `short` shingles therefore are in the buckets of their first labelled shingles too.
     """
 
     words: int = 5
     sketches: int = 14
     minima: int = 4
+    short: int = 30
     block: int = 192
     seed: int = 11
     max_broadcast_keys: int = 500_000  # of 16 bytes, or ids; more of them are joined by shuffle
 
 
+def bucketing(s: Settings) -> Callable[[Shingled], np.ndarray]:
+    """The buckets of a text: one for each sketch, and for short texts those of its first shingles.
+
+    A pair of similarity 0.8 shares 0.8 of the labelled shingles of either text, so it has one in common among the
+    n - ceil(0.8 n) + 1 of each that come first in one order, here that of the hashes.
+    """
+    seeds = mix(np.arange(1, 2 * s.sketches + 2, dtype=np.uint64) * STEP + np.uint64(s.seed))
+    times, plus, salt = seeds[: s.sketches, None] | np.uint64(1), seeds[s.sketches : -1, None], seeds[-1]
+    which = np.arange(s.sketches, dtype=np.uint64) + np.uint64(1)
+
+    def buckets(x: Shingled) -> np.ndarray:
+        n = len(x.shingles)
+        if n == 0:
+            return np.zeros(0, np.int64)
+        values = mix(x.labelled[None, :] * times + plus)
+        least = np.argpartition(values, s.minima - 1, axis=1)[:, : s.minima] if n > s.minima else np.broadcast_to(np.arange(n), values.shape)
+        key = which
+        for column in np.sort(least, axis=1).T:  # in the order of the text
+            key = mix(key * STEP + x.shingles[column])
+        if n <= s.short:
+            first = np.sort(x.labelled)[: n + n * NUMERATOR // -DENOMINATOR + 1]
+            key = np.concatenate([key, mix(first + salt)])
+        return key.astype(np.int64)
+
+    return buckets
+
+
 def sketched(docs: DataFrame, s: Settings) -> DataFrame:
     """doc_id, key (128 bits of the words), n (shingles), buckets, seq (32-bit shingle hashes in order)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seeds = mix(np.arange(1, 2 * s.sketches + 1, dtype=np.uint64) * STEP + np.uint64(s.seed))
-        times, plus = seeds[: s.sketches, None] | np.uint64(1), seeds[s.sketches :, None]
-        which = np.arange(s.sketches, dtype=np.uint64) + np.uint64(1)
+        of = bucketing(s)
         for batch in batches:
             for start in range(0, len(batch), 512):
                 part = batch.slice(start, 512)
                 keys, sizes, buckets, seqs = [], [], [], []
                 for x in shingled(pc.fill_null(part.column(1), ""), s.words):
-                    n = len(x.shingles)
                     keys.append(x.key)
-                    sizes.append(n)
+                    sizes.append(len(x.shingles))
                     seqs.append((x.shingles >> np.uint64(32)).astype("<u4").tobytes())
-                    if n == 0:
-                        buckets.append([])
-                        continue
-                    values = mix(x.labelled[None, :] * times + plus)
-                    least = np.argpartition(values, s.minima - 1, axis=1)[:, : s.minima] if n > s.minima else np.broadcast_to(np.arange(n), values.shape)
-                    key = which
-                    for column in np.sort(least, axis=1).T:  # in the order of the text
-                        key = mix(key * STEP + x.shingles[column])
-                    buckets.append(key.astype(np.int64))
+                    buckets.append(of(x))
                 yield pa.RecordBatch.from_arrays(
                     [part.column(0), pa.array(keys, pa.binary()), pa.array(sizes, pa.int32()), pa.array(buckets, pa.list_(pa.int64())), pa.array(seqs, pa.binary())],
                     names=["doc_id", "key", "n", "buckets", "seq"],

@@ -1,11 +1,14 @@
 import random
 import time
+import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 
 from tallyloom.llm.alignment import alike
-from tallyloom.llm.near_duplicates import Settings, near_duplicates, one_of_each
+from tallyloom.llm.near_duplicates import Settings, bucketing, near_duplicates, one_of_each
+from tallyloom.llm.shingles import shingled
 
 
 def plain_alike(a, b):
@@ -52,6 +55,42 @@ def shingles(text, k=5):
     return [tuple(w[i : i + k]) for i in range(len(w) - k + 1)] or ([tuple(w)] if w else [])
 
 
+def edited_pairs(lengths, want, seed):
+    """Pairs of texts of so many shingles whose similarity is 0.8 or little more: words replaced until one more would be too many."""
+    rnd = random.Random(seed)
+    a, b = [], []
+    while len(a) < want:
+        words = [f"w{rnd.randrange(5000)}" for _ in range(rnd.choice(lengths) + 4)]
+        other, kept = list(words), None
+        for _ in range(1 + len(words) // 20):
+            k, how = rnd.randrange(len(other)), rnd.randrange(3)
+            other[k : k + (how > 0)] = [] if how == 1 else [f"w{rnd.randrange(5000)}"]
+            if not alike(*(np.array([zlib.crc32(repr(g).encode()) for g in shingles(" ".join(w))], "<u4") for w in (words, other))):
+                break
+            kept = list(other)
+        if kept is not None and kept != words:
+            a.append(" ".join(words))
+            b.append(" ".join(kept))
+    return a, b
+
+
+def share(pairs, settings):
+    of = bucketing(settings)
+    found = [[set(of(x).tolist()) for x in shingled(pa.array(side), 5)] for side in pairs]
+    return sum(bool(x & y) for x, y in zip(*found, strict=True)) / len(pairs[0])
+
+
+def test_all_short_pairs_are_candidates():
+    pairs = edited_pairs(range(4, 25), 3000, 5)
+    assert share(pairs, Settings()) == 1
+    assert share(pairs, Settings(short=0)) < 1, "the sketches alone miss some"
+
+
+def test_recall_of_long_pairs():
+    assert share(edited_pairs(range(25, 60), 1500, 6), Settings()) >= 0.99
+    assert share(edited_pairs([300], 300, 7), Settings()) >= 0.99
+
+
 def brute(rows):
     seqs = [shingles(t) for _, t in rows]
     root = list(range(len(rows)))
