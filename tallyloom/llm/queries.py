@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from tallyloom.llm import op1_query, op2_query, op3_query, op4_query, op5_query, op6_query, op7_query, op8_query, op9_query, op10_query, op13_query
+from tallyloom.llm import op1_query, op2_query, op3_query, op4_query, op5_query, op6_query, op7_query, op8_query, op9_query, op10_query, op11_query, op12_query, op13_query
 
 QUERIES = {
     "op1_source_mixing": op1_query.op1_source_mixing,
@@ -15,6 +15,8 @@ QUERIES = {
     "op8_exact_topk": op8_query.op8_exact_topk,
     "op9_toxicity": op9_query.op9_toxicity,
     "op10_quality_classifier": op10_query.op10_quality_classifier,
+    "op11_prefix_trie": op11_query.op11_prefix_trie,
+    "op12_language_id": op12_query.op12_language_id,
     "op13_importance_resampling": op13_query.op13_importance_resampling,
 }
 ORACLES = {
@@ -22,5 +24,6 @@ ORACLES = {
     "op2_url_filter": op2_query.ORACLE,
     "op4_chat_format": op4_query.ORACLE,
     "op8_exact_topk": op8_query.ORACLE,
+    "op11_prefix_trie": op11_query.ORACLE,
     "op13_importance_resampling": op13_query.ORACLE,
 }
