@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DataType, StructType
 
+from tallyloom.sources.shared import written
+
 
 @dataclass(frozen=True)
 class Rule:
@@ -120,6 +122,26 @@ def forbidden_json_keys(raw: Column, denied: list[str]) -> Column:
     return F.array_sort(F.array_distinct(F.array_intersect(F.transform(F.regexp_extract_all(raw, F.lit(r'"((?:[^"\\]|\\.)*)"\s*:'), F.lit(1)), F.lower), F.array(*[F.lit(d.lower()) for d in denied]))))
 
 
+def key_paths(rows: DataFrame, key: str, raw: str, denied: list[str]) -> DataFrame:
+    """key, path: where a denied key stands in a JSON text, at any depth, as $.name[index].name; texts that aren't JSON give none.
+
+    All values of one depth are opened in one pass; the containers among them, written, are the next pass. There are as many passes as the deepest text has levels.
+    """
+    spark, out = rows.sparkSession, None
+    level = rows.select(F.col(key), F.lit("$").alias("_path"), F.try_parse_json(raw).alias("_v"))
+    while True:
+        opened = level.where("_v IS NOT NULL").lateralJoin(spark.tvf.variant_explode(F.col("_v").outer()).toDF("_pos", "_name", "_value"))
+        path = F.when(F.col("_name").isNotNull(), F.concat("_path", F.lit("."), "_name")).otherwise(F.concat("_path", F.lit("["), F.col("_pos").cast("string"), F.lit("]")))
+        inside = F.try_variant_get("_value", "$", "map<string,variant>").isNotNull() | F.try_variant_get("_value", "$", "array<variant>").isNotNull()
+        held = F.coalesce(F.col("_name").isin(denied), F.lit(False))
+        opened = written(opened.select(key, path.alias("_path"), held.alias("_held"), F.when(inside, F.col("_value")).alias("_v")).where("_held OR _v IS NOT NULL"), "keys")
+        found = opened.where("_held").select(key, F.col("_path").alias("path"))
+        out = found if out is None else out.unionByName(found)
+        level = opened.select(key, "_path", "_v")
+        if level.where("_v IS NOT NULL").isEmpty():
+            return out
+
+
 def portable_path(path: Column) -> Column:
     return F.coalesce((path != "") & ~path.startswith("/") & ~F.array_contains(F.split(path, "/"), "..") & ~path.contains("\\"), F.lit(False))
 
