@@ -7,6 +7,7 @@ normal forms, case folding, URL parsing and token edit distance.
 from __future__ import annotations
 
 import ipaddress
+import json
 import re
 import unicodedata
 from urllib.parse import SplitResult, urlsplit
@@ -123,6 +124,12 @@ def is_reserved(value: pd.Series) -> pd.Series:
     return value.map(lambda v: None if v is None else reserved_value(v)).astype("boolean")
 
 
+@F.pandas_udf(BooleanType())
+def all_reserved(values: pd.Series) -> pd.Series:
+    """Whether every entry of an array is reserved."""
+    return values.map(lambda v: None if v is None else all(x is not None and reserved_value(x) for x in v)).astype("boolean")
+
+
 def reserved_host_column(host: Column) -> Column:
     """The same over a host column by built-ins; loopback as 127.x.x.x or ::1."""
     host = F.lower(F.rtrim(host, F.lit(".")))
@@ -176,6 +183,25 @@ def canonical_json(**fields: Column) -> Column:
     return F.to_json(F.struct(*[fields[k].alias(k) for k in sorted(fields)]), {"ignoreNullFields": "false"})
 
 
+def canonical_text(raw: Column, *dropped: str) -> Column:
+    """JSON text as compact JSON with sorted keys at every depth, numbers as Python writes them, and some keys of the outermost object left out; null for what isn't JSON."""
+
+    @F.pandas_udf(StringType())
+    def rewritten(texts: pd.Series) -> pd.Series:
+        def one(text: str | None) -> str | None:
+            try:
+                value = None if text is None else json.loads(text)
+            except ValueError:
+                return None
+            if isinstance(value, dict):
+                value = {k: v for k, v in value.items() if k not in dropped}
+            return None if text is None else json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":"))
+
+        return texts.map(one)
+
+    return rewritten(raw)
+
+
 def self_hash(**fields: Column) -> Column:
     """Digest of the canonical JSON of all other fields."""
     return F.sha2(canonical_json(**fields), 256)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import rules
+from tallyloom.operators import rules, run_checks
 from tallyloom.operators.json_schema import Schema, schema_violations
 from tallyloom.plans.registry import query, table
 
@@ -72,3 +72,74 @@ WITH p AS (
 SELECT path, count(*) AS records, sum(event_id)::BIGINT AS ids FROM p GROUP BY path""")
 def q65(spark, d):
     return rules.key_paths(event_records(table(spark, d, "events")), "event_id", "record", ["k", "gold"]).groupBy("path").agg(F.count("*").alias("records"), F.sum("event_id").alias("ids"))
+
+
+#: What a prediction of the runs below must hold.
+PREDICTION_SCHEMA = {"type": "object", "required": ["sample_id", "platform"], "properties": {"platform": {"enum": ["qq", "weibo"]}, "entry_candidates": {"type": "array", "minItems": 1, "items": {"required": ["rank", "value"]}}}}
+
+
+def order_runs(orders):
+    """files and lines of 20 runs, whose tasks are orders: each order has a state, a prediction, an input audit and a call, which its columns break here and there."""
+    key, text = F.col("o_orderkey"), F.lit
+    js = lambda **fields: F.to_json(F.struct(*[(v if not isinstance(v, str | int | bool) else text(v)).alias(k) for k, v in sorted(fields.items())]))
+    tasks = orders.select("*", (F.col("o_custkey") % 20).alias("_n")).withColumn("run_id", F.concat(text("r"), F.col("_n").cast("string")))
+    tasks = tasks.withColumn("sample_id", F.concat(text("s"), F.floor(key / 8).cast("string"), text("--v"), F.lpad((key % 8).cast("string"), 3, "0"))).withColumn("task_sha256", F.sha2(key.cast("string"), 256))
+    digest = F.sha2(F.concat(text('["'), F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(key, "task_sha256"))), lambda x: x["task_sha256"]), '","'), text('"]')), 256)
+    runs = tasks.groupBy("run_id", "_n").agg(F.count("*").alias("n"), F.count_distinct(F.floor(key / 8)).alias("sources"), digest.alias("digest"))
+    name = F.col("run_id")
+    named = F.struct(F.struct(text("tasks.jsonl").alias("path"), F.sha2(F.concat(text("t"), name), 256).alias("sha256")).alias("tasks"))
+    body = dict(
+        files=named, input_view="TOKEN_TEXT", oneapi_used=F.col("_n") == 3, requested_model="m1", schema_version="task1-text-batch-config/v0.1", selected_source_count=F.col("sources"),
+        selected_task_count=F.col("n") + (F.col("_n") % 4 == 1).cast("int"), selected_task_order_sha256=F.when(F.col("_n") % 5 == 2, "x").otherwise(F.col("digest")), source_limit=0, source_offset=0,
+    )
+    runs = runs.withColumn("print", F.sha2(js(**body), 256))
+    config = js(**body, config_fingerprint=F.when(F.col("_n") == 7, "x").otherwise(F.col("print")))
+    told = dict(config_fingerprint=F.when(F.col("_n") == 7, "x").otherwise(F.col("print")), failures_sha256=F.sha2(F.concat(text("f"), name), 256), oneapi_used=False, predictions_sha256=F.sha2(F.concat(text("p"), name), 256), status=F.when(F.col("_n") % 6 == 0, "FAIL").otherwise("PASS"))
+    summary = js(**told, summary_sha256=F.sha2(js(**told), 256))
+    made = lambda path, digest, body: F.struct(path.alias("path"), digest.alias("sha256"), body.alias("text"))
+    none = text(None).cast("string")
+    of_run = runs.select("run_id", F.explode(F.array(
+        made(text("config.json"), F.sha2(config, 256), config), made(text("summary.json"), F.sha2(summary, 256), summary), made(text("tasks.jsonl"), F.sha2(F.concat(text("t"), name), 256), none),
+        made(text("predictions.jsonl"), F.sha2(F.concat(text("p"), name), 256), none), made(text("failures.jsonl"), F.when(F.col("_n") == 9, "y").otherwise(F.sha2(F.concat(text("f"), name), 256)), none),
+    )).alias("f")).select("run_id", "f.*")
+    root = F.concat(text("tasks/"), F.col("sample_id"))
+    platform = F.when(key % 17 == 0, "tiktok").when(key % 19 == 0, "weibo").otherwise("qq")
+    entry = F.array(F.struct(text(1).alias("rank"), F.when(F.col("o_totalprice") > 300000, "live.com").otherwise("a.test").alias("value")))
+    prediction = js(sample_id=F.col("sample_id"), platform=platform, entry_candidates=entry)
+    attempts = F.slice(F.array(*[F.struct(text(s).alias("status"), text("0" * 64).alias("request_sha256")) for s in ("PASS", "FAIL")]), 1, (key % 3).cast("int"))
+    options = F.when(key % 23 == 0, F.parse_json(text('{"reasoning_effort":"minimal","temperature":1}'))).otherwise(F.parse_json(text('{"reasoning_effort":"minimal","temperature":0}')))
+    call = js(status="PASS", requested_model="m1", response_model=F.when(F.col("o_orderpriority") == "1-URGENT", "m2").otherwise("m1"), request_protocol="riskchainbench_task1_text_batch_v0.1", multimodal_input=False, image_count=0, temperature_policy="explicit_zero", reasoning_effort_policy="explicit_minimal", model_request_options=options, attempts=attempts)
+    audit = js(status="PASS", gold_present=F.col("o_custkey") % 13 == 0, resolver_present=False, web_evidence_present=False)
+    tasks = tasks.join(runs.select("run_id", F.when(F.col("_n") == 7, "x").otherwise(F.col("print")).alias("print")), "run_id")
+    state = js(status=F.when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("PASS"), config_fingerprint=F.col("print"), prediction_sha256=F.sha2(prediction, 256), model_call_sha256=F.when(key % 29 == 0, "x").otherwise(F.sha2(call, 256)), attempt_path=F.when(key % 31 == 0, "tasks/other").otherwise(F.concat(root, text("/attempts/1"))))
+    of_task = tasks.select("run_id", F.explode(F.array_compact(F.array(
+        made(F.concat(root, text("/state.json")), F.sha2(state, 256), state), F.when(key % 37 != 0, made(F.concat(root, text("/prediction.json")), F.sha2(prediction, 256), prediction)),
+        made(F.concat(root, text("/attempts/1/input_audit.json")), F.sha2(audit, 256), audit), made(F.concat(root, text("/attempts/1/model_call.json")), F.sha2(call, 256), call),
+    ))).alias("f")).select("run_id", "f.*")
+    listed = tasks.select("run_id", text("tasks.jsonl").alias("path"), key.alias("line_no"), js(sample_id=F.col("sample_id"), platform="qq", task_sha256=F.col("task_sha256")).alias("text"))
+    predicted = tasks.where(key % 41 != 0).select("run_id", text("predictions.jsonl").alias("path"), key.alias("line_no"), F.when(key % 43 == 0, js(sample_id=F.col("sample_id"))).otherwise(prediction).alias("text"))
+    return of_run.unionByName(of_task), listed.unionByName(predicted)
+
+
+@query("q66_run_checks", """
+WITH o AS (SELECT *, o_custkey % 20 AS n, o_orderkey AS k, o_orderkey % 37 <> 0 AS held, o_orderkey % 31 <> 0 AS inside, 'r' || (o_custkey % 20) AS run_id FROM orders),
+task AS (
+  SELECT run_id, unnest([
+    CASE WHEN NOT held THEN 'TASK_PREDICTION_MISSING' END, CASE WHEN held AND o_orderstatus = 'P' THEN 'TASK_STATE_NOT_PASS' END, CASE WHEN held AND k % 17 = 0 THEN 'TASK_PREDICTION_SCHEMA_INVALID' END,
+    CASE WHEN held AND (k % 17 = 0 OR k % 19 = 0 OR o_totalprice > 300000) THEN 'TASK_PREDICTION_SEMANTICS_INVALID' END, CASE WHEN held AND (k % 41 = 0 OR k % 43 = 0) THEN 'AGGREGATE_PREDICTION_CONTENT_MISMATCH' END,
+    CASE WHEN held AND NOT inside THEN 'ATTEMPT_PATH_ESCAPES_TASK' END, CASE WHEN held AND NOT inside THEN 'INPUT_AUDIT_MISSING' END, CASE WHEN held AND NOT inside THEN 'MODEL_CALL_MISSING' END,
+    CASE WHEN held AND inside AND k % 29 = 0 THEN 'MODEL_CALL_HASH_MISMATCH' END, CASE WHEN held AND inside AND o_custkey % 13 = 0 THEN 'INPUT_GOLD_PRESENT' END,
+    CASE WHEN held AND inside AND o_orderpriority = '1-URGENT' THEN 'RESOLVED_MODEL_CHANGED' END, CASE WHEN held AND inside AND k % 23 = 0 THEN 'GENERATION_POLICY_INVALID' END,
+    CASE WHEN held AND inside AND k % 3 = 0 THEN 'MODEL_ATTEMPTS_EMPTY' END, CASE WHEN held AND inside AND k % 3 <> 1 THEN 'MODEL_FINAL_ATTEMPT_NOT_PASS' END]) AS code FROM o),
+run AS (SELECT run_id, n, count(*) FILTER (k % 41 = 0) AS gone FROM o GROUP BY ALL),
+whole AS (
+  SELECT run_id, unnest([
+    CASE WHEN n = 7 THEN 'CONFIG_FINGERPRINT_MISMATCH' END, CASE WHEN n % 6 = 0 THEN 'SUMMARY_NOT_PASS' END, CASE WHEN n = 3 THEN 'CONFIG_ONEAPI_USED' END, CASE WHEN n % 4 = 1 THEN 'SELECTED_TASK_COUNT_MISMATCH' END,
+    CASE WHEN n % 5 = 2 THEN 'SELECTED_TASK_ORDER_HASH_MISMATCH' END, CASE WHEN gone > 0 THEN 'AGGREGATE_PREDICTION_COUNT_MISMATCH' END, CASE WHEN n = 9 THEN 'AGGREGATE_FAILURES_HASH_MISMATCH' END]) AS code FROM run),
+found AS (SELECT run_id, code, count(*) AS n FROM (FROM task UNION ALL FROM whole) WHERE code IS NOT NULL GROUP BY ALL),
+made AS (SELECT run_id, 20 + sum(CASE WHEN NOT held THEN 2 WHEN NOT inside THEN 12 ELSE 27 + k % 3 END)::BIGINT AS n FROM o GROUP BY run_id)
+SELECT run_id, code, n FROM found
+UNION ALL SELECT m.run_id, 'passed', m.n - coalesce(f.n, 0) FROM made m LEFT JOIN (SELECT run_id, sum(n)::BIGINT AS n FROM found GROUP BY run_id) f USING (run_id)""")
+def q66(spark, d):
+    made = run_checks.text_batch_checks(*order_runs(table(spark, d, "orders")), PREDICTION_SCHEMA)
+    return made.groupBy("run_id", F.when(F.col("ok"), "passed").otherwise(F.col("code")).alias("code")).agg(F.count("*").alias("n"))
