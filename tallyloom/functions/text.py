@@ -52,12 +52,28 @@ def normal_text(text: Column) -> Column:
     return collapse_blanks(nfc(text))
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """How many first elements two arrays share."""
+    n = F.least(F.size(a), F.size(b))
+    differs = F.array_position(F.zip_with(F.slice(a, 1, n), F.slice(b, 1, n), lambda x, y: ~x.eqNullSafe(y)), True)
+    return F.when(differs == 0, n).otherwise((differs - 1).cast("int"))
+
+
 def token_edits(a: Column, b: Column) -> Column:
-    """Unit-cost edit distance of two token arrays: each different token becomes one character, then levenshtein."""
-    known = F.array_distinct(F.concat(a, b))
-    char = lambda t: F.decode(F.unhex(F.lpad(F.hex((F.array_position(known, t) + 0xFFFF).cast("bigint")), 8, "0")), "UTF-32")  # noqa: E731  code points from 65536 on
-    word = lambda tokens: F.array_join(F.transform(tokens, char), "")
-    return F.levenshtein(word(a), word(b))
+    """Unit-cost edit distance of two token arrays: what they share at both ends goes, each different token of the rest becomes one character, then levenshtein."""
+
+    def middle(pair: Column) -> Column:
+        x, y = pair["a"], pair["b"]
+        end = _shared(F.reverse(x), F.reverse(y))
+        x, y = F.slice(x, 1, F.size(x) - end), F.slice(y, 1, F.size(y) - end)
+        known = F.array_distinct(F.concat(x, y))
+        char = lambda t: F.decode(F.unhex(F.lpad(F.hex((F.array_position(known, t) + 0xFFFF).cast("bigint")), 8, "0")), "UTF-32")  # noqa: E731  code points from 65536 on
+        word = lambda tokens: F.array_join(F.transform(tokens, char), "")
+        return F.levenshtein(word(x), word(y))
+
+    start = _shared(a, b)
+    rest = F.struct(F.slice(a, start + 1, F.size(a)).alias("a"), F.slice(b, start + 1, F.size(b)).alias("b"))
+    return F.get(F.transform(F.array(rest), middle), F.lit(0))  # the lambda binds what is left, so that it is made once
 
 
 #: Ports that a scheme implies.

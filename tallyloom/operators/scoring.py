@@ -27,20 +27,30 @@ def target_messages(gold: Column, session: Column) -> Column:
     return F.filter(kept, lambda m, i: ~F.array_contains(F.slice(ids, i + 2, F.size(kept) + 1), m["message_id"]))
 
 
-def with_default_predictions(gold: DataFrame, predictions: DataFrame, *, platform_of_task: bool = False) -> DataFrame:
+def _none_where(wrong: Column, message: str, key: Column) -> Column:
+    """A condition for where(): it holds for every row, and fails the query at a wrong one. Spark may prune a column that nothing reads, a filter never."""
+    return F.when(wrong, F.raise_error(F.concat(F.lit(message), key.cast("string"))).cast("boolean")).otherwise(True)
+
+
+def with_default_predictions(gold: DataFrame, predictions: DataFrame, *, platform_of_task: bool = False, unknown: bool = False, allow_missing: bool = True) -> DataFrame:
     """Gold left-joined with predictions; a missing one abstains with empty answers and stays in the denominator.
 
-    A sample_id with several predictions fails the query: it would count more than once in every rate.
+    A sample_id with several predictions always fails the query: it would count more than once in every rate. So does a prediction of an
+    id that gold doesn't have, unless unknown ones are let pass (they count nowhere), and a missing one, unless those are allowed.
     """
     times = F.count("*").over(Window.partitionBy("sample_id"))  # dealt as the join needs it, so no shuffle of its own
-    one = F.when(times > 1, F.raise_error(F.concat(F.lit("duplicate prediction: "), F.col("sample_id").cast("string"))).cast("boolean")).otherwise(True)
-    p = predictions.select(
+    p = predictions.withColumn("_times", times).where(_none_where(F.col("_times") > 1, "duplicate prediction: ", F.col("sample_id"))).select(
         "sample_id", F.col("input_view").alias("p_input_view"), F.col("platform").alias("p_platform"), F.col("intent").alias("p_intent"), F.col("abstain").alias("p_abstain"),
-        F.col("messages").cast(MESSAGES).alias("p_messages"), F.col("candidates").cast(CANDIDATES).alias("p_candidates"), one.alias("_has"),
+        F.col("messages").cast(MESSAGES).alias("p_messages"), F.col("candidates").cast(CANDIDATES).alias("p_candidates"), F.lit(True).alias("_has"),
     )
     missing = F.col("_has").isNull()
     default_platform = F.col("platform") if platform_of_task else F.lit("unknown")
-    return gold.join(p.hint("merge"), "sample_id", "left").select(  # both sides dealt by sample: answers grow with the data, so they are never broadcast
+    joined = gold.withColumn("_gold", F.lit(True)).join(p.hint("merge"), "sample_id", "left" if unknown else "full_outer")  # both sides dealt by sample: answers grow with the data, so they are never broadcast
+    if not unknown:
+        joined = joined.where(_none_where(F.col("_gold").isNull(), "predictions contain unknown sample_id: ", F.col("sample_id")))
+    if not allow_missing:
+        joined = joined.where(_none_where(F.col("_has").isNull(), "missing prediction: ", F.col("sample_id")))
+    return joined.select(
         *gold.columns,
         missing.alias("prediction_missing"),
         F.when(missing, default_platform).otherwise(F.col("p_platform")).alias("p_platform"),
@@ -98,9 +108,9 @@ def score_candidates(pairs: DataFrame, top_k: int = 5) -> DataFrame:
     )
 
 
-def score_cases(gold: DataFrame, predictions: DataFrame, *, top_k: int = 5, platform_of_task: bool = False) -> DataFrame:
+def score_cases(gold: DataFrame, predictions: DataFrame, *, top_k: int = 5, platform_of_task: bool = False, unknown: bool = False, allow_missing: bool = True) -> DataFrame:
     """One row per gold case. Without target messages all of them count as exact. top1 is the lowest rank present."""
-    pairs = with_default_predictions(gold, predictions, platform_of_task=platform_of_task)
+    pairs = with_default_predictions(gold, predictions, platform_of_task=platform_of_task, unknown=unknown, allow_missing=allow_missing)
     messages = score_messages(pairs).groupBy("sample_id").agg(
         *[F.sum(c).alias(c) for c in ("char_edits", "reference_characters", "mixed_token_edits", "reference_mixed_tokens")],
         F.count("*").alias("target_message_count"), F.count_if("exact").alias("exact_message_count"),

@@ -47,12 +47,17 @@ def latest_state(events: DataFrame, keys: list[str], at: str) -> DataFrame:
 
 
 def rolled_up(status: DataFrame, left: DataFrame, right: DataFrame, *, a: str, b: str, state: str, complete: str, partial: str) -> DataFrame:
-    """a, statuses for all pairs of the two small key lists (absent ones PENDING) and the overall state."""
-    grid = left.select(a).distinct().crossJoin(F.broadcast(right.select(b).distinct())).join(status, [a, b], "left").withColumn(state, F.coalesce(state, F.lit("PENDING")))
-    done, half = F.bool_and(F.col(state) == complete), F.bool_and(F.col(state).isin(complete, partial))
-    return grid.groupBy(a).agg(
-        F.count("*").alias("pairs"), F.count_if(F.col(state) == "PENDING").alias("pending"), F.when(done, "COMPLETE").when(half, "COMPLETE_WITH_PARTIAL").otherwise("RUNNING").alias("overall")
-    )
+    """a, pairs, pending, overall: the state of each a of left over all b of right; a pair without a status is PENDING.
+
+    The pairs are counted, not made: those without a status are what is left of the number of b.
+    """
+    known = status.join(left.select(a).distinct(), a, "left_semi").join(right.select(b).distinct(), b, "left_semi")
+    is_, n = (lambda *states: F.count_if(F.coalesce(F.col(state), F.lit("PENDING")).isin(*states))), F.col("_n")
+    counts = known.groupBy(a).agg(F.count("*").alias("_rows"), F.count_distinct(b).alias("_b"), is_("PENDING").alias("_open"), is_(complete).alias("_done"), is_(complete, partial).alias("_half"))
+    each = left.select(a).distinct().join(counts, a, "left").fillna(0, ["_rows", "_b", "_open", "_done", "_half"]).crossJoin(F.broadcast(right.agg(F.count_distinct(b).alias("_n"))))  # one row
+    pairs = F.col("_rows") + n - F.col("_b")
+    overall = F.when(F.col("_done") == pairs, "COMPLETE").when(F.col("_half") == pairs, "COMPLETE_WITH_PARTIAL").otherwise("RUNNING")
+    return each.where("_n > 0").select(a, pairs.alias("pairs"), (F.col("_open") + n - F.col("_b")).alias("pending"), overall.alias("overall"))
 
 
 def unprocessed(tasks: DataFrame, done: DataFrame, key: str, *, fingerprint: str | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.functions import rng, text
 from tallyloom.functions.safety import safety_findings, safety_normalised
-from tallyloom.operators import rules, transform
+from tallyloom.operators import dictionary, rules, transform
 from tallyloom.operators.scoring import confusable_legend
 from tallyloom.plans.registry import query, table
 
@@ -175,6 +175,31 @@ def q41(spark, d):
     return table(spark, d, "benchmark").select("item_id", F.size(m).alias("matches"), F.size(F.filter(m, lambda x: x == "then")).alias("longest"))
 
 
+def word_entries(spark, d):
+    """A dictionary table from the benchmark's texts: each different word of five letters or more, to be written between marks; the short words of these are shorter sources."""
+    words = table(spark, d, "benchmark").select(F.explode(F.split("text", "[^A-Za-z]+")).alias("source")).where("length(source) >= 5").distinct()
+    words = words.unionAll(words.select(F.substring("source", 1, 4))).distinct()
+    return words.select(F.concat(F.lit("w:"), "source").alias("rule_id"), "source", F.array(F.concat(F.lit("<"), "source", F.lit(">"))).alias("candidates"), F.lit(1.0).alias("probability"))
+
+
+@query("q67_dictionary_rewrite", """
+WITH words AS (SELECT DISTINCT unnest(regexp_split_to_array(text, '[^A-Za-z]+')) AS w FROM benchmark), five AS (SELECT w FROM words WHERE len(w) >= 5),
+sources AS (SELECT DISTINCT w FROM (FROM five UNION ALL SELECT substr(w, 1, 4) FROM five)),
+pattern AS (SELECT string_agg(w, '|' ORDER BY len(w) DESC, w) AS p FROM sources),
+named AS (SELECT user_id, event_id, 'xx' || (SELECT text FROM benchmark WHERE item_id = event_id % (SELECT count(*) FROM benchmark)) || '{{ENTRY}}' || event_type || 'Thatble' AS t FROM events),
+found AS (SELECT DISTINCT t, replace(t, '{{ENTRY}}', chr(1)) AS u, (SELECT p FROM pattern) AS p FROM named),
+done AS (SELECT t, len(regexp_extract_all(u, p))::BIGINT AS matches, list_max(list_transform(regexp_extract_all(u, p), lambda x: len(x)))::INT AS longest,
+  md5(replace(regexp_replace(u, '(' || p || ')', '<\\1>', 'g'), chr(1), '{{ENTRY}}')) AS rewritten FROM found)
+SELECT event_id, matches, longest, rewritten FROM named JOIN done USING (t)""")
+def q67(spark, d):
+    items = table(spark, d, "benchmark").select(F.col("item_id").alias("_i"), F.col("text").alias("_t"))
+    n = items.agg(F.count("*").alias("_n"))
+    named = table(spark, d, "events").crossJoin(F.broadcast(n)).join(items, F.col("event_id") % F.col("_n") == F.col("_i"))  # one row
+    named = named.select("event_id", F.concat(F.lit("xx"), "_t", F.lit("{{ENTRY}}"), "event_type", F.lit("Thatble")).alias("t"))
+    got = dictionary.dictionary_rewrites(named, word_entries(spark, d), "event_id", "t", seed="q67")
+    return got.select("event_id", F.size("edits").cast("long").alias("matches"), F.array_max(F.transform("edits", lambda e: e["end"] - e["start"])).alias("longest"), F.md5("t").alias("rewritten"))
+
+
 @query("q48_forbidden_keys", """SELECT event_type, count(*) FILTER (WHERE list_contains(json_keys(props), 'k')) AS with_k, count(*) FILTER (WHERE list_contains(json_keys(props), 'gold')) AS with_gold FROM events GROUP BY event_type""")
 def q48(spark, d):
     keys = rules.forbidden_json_keys(F.col("props"), ["k", "gold"])

@@ -171,18 +171,62 @@ def test_safety_findings():
     ("evil 点 com", ("LIVE_DOMAIN", "evil.com")), ("abc[点]com", ("LIVE_DOMAIN", "abc.com")), ("call 13 812345678", ("PHONE_OR_ACCOUNT_NUMBER", "13812345678")),
     ("call (010) 8123 4567", ("PHONE_OR_ACCOUNT_NUMBER", "01081234567")), ("微信号：abc12", ("ACCOUNT_IDENTIFIER", "abc12")), ("e v i l . c o m", ("LIVE_DOMAIN", "evil.com")),
     ("打开 例子。公司", ("LIVE_DOMAIN", "例子.公司")), ("add wx12345678", ("ACCOUNT_IDENTIFIER", "wx12345678")), ("mail a@b.io", ("EMAIL_ADDRESS", "a@b.io")), ("http://2130706434/", None),
-    ("http://2147483649/", ("LIVE_DOMAIN", "2147483649")), ("他说。好的", None), ("例え.test", None),
+    ("http://2147483649/", ("LIVE_DOMAIN", "2147483649")), ("他说。好的", None), ("HXXPS://evil.com/x", ("LIVE_DOMAIN", "evil.com")), ("例え.test", None),
 ])
 def test_each_family_finds(value, want):
     got = [(k, v) for k, v, _, _ in findings(value)]
     assert (want in got) if want else got == []
 
 
+def test_schemes_are_put_right_in_lower_case():
+    assert normalised("HXXPS://a hxxp://b Hxxps://c") == "https://a http://b https://c"
+
+
 def test_duplicate_predictions_fail(spark):
     g = spark.createDataFrame([("a", "x")], "sample_id string, platform string")
     p = spark.createDataFrame([("a",), ("a",)], "sample_id string").selectExpr("sample_id", "'v' input_view", "'x' platform", "'i' intent", "false abstain", f"cast(array() as {scoring.MESSAGES}) messages", f"cast(array() as {scoring.CANDIDATES}) candidates")
-    with pytest.raises(Exception, match="duplicate prediction: a"):
-        scoring.with_default_predictions(g, p).collect()
+    pairs = scoring.with_default_predictions(g, p)
+    for read in (lambda: pairs.collect(), lambda: pairs.count(), lambda: pairs.select("platform").collect(), lambda: scoring.score_messages(pairs.withColumn("messages", F.col("p_messages"))).count()):
+        with pytest.raises(Exception, match="duplicate prediction: a"):
+            read()
+
+
+def test_unknown_and_missing_predictions(spark):
+    g = spark.createDataFrame([("a", "x"), ("b", "x")], "sample_id string, platform string")
+    p = lambda *ids: spark.createDataFrame([(i,) for i in ids], "sample_id string").selectExpr("sample_id", "'v' input_view", "'x' platform", "'i' intent", "false abstain", f"cast(array() as {scoring.MESSAGES}) messages", f"cast(array() as {scoring.CANDIDATES}) candidates")
+    with pytest.raises(Exception, match="unknown sample_id: zz"):
+        scoring.with_default_predictions(g, p("a", "zz")).count()
+    assert scoring.with_default_predictions(g, p("a", "zz"), unknown=True).count() == 2
+    with pytest.raises(Exception, match="missing prediction: b"):
+        scoring.with_default_predictions(g, p("a"), allow_missing=False).count()
+    assert scoring.with_default_predictions(g, p("a", "b"), allow_missing=False).where("NOT prediction_missing").count() == 2
+
+
+def test_token_edits_against_a_plain_distance(spark):
+    import random
+
+    rnd, rows = random.Random(6), []
+    for _ in range(400):
+        a = rnd.choices("abcd", k=rnd.randint(0, 12))
+        b = [x for x in a if rnd.random() > 0.2]
+        for _ in range(rnd.randint(0, 3)):
+            b.insert(rnd.randint(0, len(b)), rnd.choice("abz"))
+        rows.append((a, b))
+
+    def plain(a, b):
+        last = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last = _row(last, i, x, b)
+        return last[-1]
+
+    def _row(last, i, x, b):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            row.append(min(row[-1] + 1, last[j] + 1, last[j - 1] + (x != y)))
+        return row
+
+    got = spark.createDataFrame(rows, "a array<string>, b array<string>").select("a", "b", text.token_edits(F.col("a"), F.col("b")).alias("n")).collect()
+    assert all(r.n == plain(r.a, r.b) for r in got)
 
 
 def test_redaction_order_and_limit(spark):
