@@ -6,11 +6,17 @@ a table of weights and an aggregation; rows are never repeated.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from tallyloom.operators.ranking import numbered
 from tallyloom.operators.scoring import BOTTOM, ratio
+from tallyloom.sources.shared import written
 
 #: Fixed labels.
 DECISIONS = ("VIOLATION", "NON_VIOLATION", "INSUFFICIENT_EVIDENCE")
@@ -27,34 +33,66 @@ def percentile_nearest(value: Column, q: float) -> Column:
     return F.element_at(listed, (F.bround((F.size(listed) - 1) * F.lit(q)) + 1).cast("int"))
 
 
-def exact_percentiles(rows: DataFrame, *, by: str, value: str, qs: dict[str, float], nearest: bool = False, buckets: int = 512) -> DataFrame:
+#: Bits of a code that one pass of the selection looks at.
+RADIX = 16
+
+
+def _ordered_codes(rows: DataFrame, by: str) -> DataFrame:
+    """by, _code: longs in the order of the doubles of column _v; -0.0 is 0.0, NaN the greatest."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = (batch.column(1).to_numpy(zero_copy_only=False) + 0.0).view(np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bits ^ ((bits >> 63) & np.int64(0x7FFFFFFFFFFFFFFF)))], names=[by, "_code"])
+
+    return rows.select(by, "_v").mapInArrow(run, f"{by} {rows.schema[by].dataType.simpleString()}, _code long")
+
+
+def _decoded(codes: pa.Array) -> pa.Array:
+    code = codes.to_numpy()
+    return pa.array((code ^ ((code >> 63) & np.int64(0x7FFFFFFFFFFFFFFF))).view(np.float64))
+
+
+def exact_percentiles(rows: DataFrame, *, by: str, value: str, qs: dict[str, float], nearest: bool = False) -> DataFrame:
     """by and a column for each q: exact percentiles of groups of any size, interpolated or nearest by half-even.
 
-    A histogram of equal-width buckets between a group's extremes tells the buckets that hold the wanted ranks; only
-    their values are then ranked, as counts of distinct values. Nulls are left out.
+    Radix selection: doubles become longs of the same order, equal ones a count; each pass counts the next 16 bits of the values that share a
+    wanted rank's bits so far, and keeps for each rank the one digit that holds it. Passes are aggregations with map-side combine, so neither a huge group
+    nor values that lie close together beside an outlier gather in one task. Null values are left out, a null group is a group.
     """
-    v = rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v"))
-    ends = v.groupBy(by).agg(F.min("_v").alias("_lo"), F.max("_v").alias("_hi"), F.count("*").alias("_n"))
-    bucket = F.least(F.floor((F.col("_v") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * buckets), F.lit(buckets - 1))
-    placed = v.join(ends, by).withColumn("_b", F.coalesce(F.when(F.col("_hi") > F.col("_lo"), bucket), F.lit(0)).cast("int"))
-    hist = placed.groupBy(by, "_n", "_b").agg(F.count("*").alias("_c"))
-    before = F.coalesce(F.sum("_c").over(Window.partitionBy(by).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    codes = _ordered_codes(rows.where(F.col(value).isNotNull()).select(by, F.col(value).cast("double").alias("_v")), by)
+    codes = written(codes.groupBy(by, "_code").agg(F.count("*").alias("_c")), "codes")
     at = lambda q: (F.col("_n") - 1) * F.lit(q)
     wanted = F.array_distinct(F.array(*[x.cast("bigint") for q in qs.values() for x in ((F.bround(at(q)),) if nearest else (F.floor(at(q)), F.ceil(at(q))))]))
-    hit = hist.withColumn("_before", before).withColumn("_ranks", F.filter(wanted, lambda r: (r >= F.col("_before")) & (r < F.col("_before") + F.col("_c")))).where(F.size("_ranks") > 0)
-    inside = placed.join(hit.select(by, "_b", "_before", "_ranks"), [by, "_b"]).groupBy(by, "_b", "_before", "_ranks", "_n", "_v").agg(F.count("*").alias("_c"))
-    upto = F.col("_before") + F.sum("_c").over(Window.partitionBy(by, "_b").orderBy("_v"))
-    ranked = inside.withColumn("_to", upto).select(by, "_n", "_v", F.explode(F.filter("_ranks", lambda r: (r < F.col("_to")) & (r >= F.col("_to") - F.col("_c")))).alias("_r"))
-    values = ranked.groupBy(by, "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))  # two ranks a q
+    active = codes.groupBy(by).agg(F.sum("_c").alias("_n")).select(F.col(by).alias("_by"), "_n", F.lit(0).cast("bigint").alias("_below"), wanted.alias("_ranks"), F.lit(0).cast("bigint").alias("_prefix"))
+    for shift in range(64 - RADIX, -1, -RADIX):
+        first = shift == 64 - RADIX
+        same = codes[by].eqNullSafe(active["_by"]) if first else codes[by].eqNullSafe(active["_by"]) & (F.shiftright(codes["_code"], shift + RADIX) == active["_prefix"])
+        hist = codes.groupBy(by, F.shiftright("_code", shift).alias("_digit")).agg(F.sum("_c").alias("_c")) if first else codes.join(active, same, "left_semi").groupBy(by, F.shiftright("_code", shift).alias("_digit")).agg(F.sum("_c").alias("_c"))
+        above = F.lit(0).cast("bigint") if first else F.shiftright("_digit", RADIX)
+        hist = hist.withColumn("_above", above)
+        before = F.coalesce(F.sum("_c").over(Window.partitionBy(by, "_above").orderBy("_digit").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # 65,536 digits at most
+        placed = hist.withColumn("_before", before).join(active, hist[by].eqNullSafe(active["_by"]) & (F.col("_above") == active["_prefix"]))
+        low = F.col("_below") + F.col("_before")
+        hit = placed.withColumn("_ranks", F.filter("_ranks", lambda r: (r >= low) & (r < low + F.col("_c")))).where(F.size("_ranks") > 0)
+        active = written(hit.select("_by", "_n", low.alias("_below"), "_ranks", F.col("_digit").alias("_prefix")), "ranks")
+    kind = active.schema["_by"].dataType.simpleString()
+
+    def values(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), _decoded(batch.column(3))], names=["_by", "_n", "_r", "_v"])
+
+    found = active.select("_by", "_n", F.explode("_ranks").alias("_r"), "_prefix").mapInArrow(values, f"_by {kind}, _n long, _r long, _v double")
+    found = found.groupBy("_by", "_n").agg(F.map_from_entries(F.collect_list(F.struct("_r", "_v"))).alias("_m"))  # two ranks a q
     pick = lambda r: F.element_at("_m", r.cast("bigint"))
 
     def result(q: float) -> Column:
         if nearest:
             return pick(F.bround(at(q)))
         low, high = F.floor(at(q)), F.ceil(at(q))
-        return pick(low) + (pick(high) - pick(low)) * (at(q) - low)
+        return pick(low) + F.when(low == high, F.lit(0.0)).otherwise((pick(high) - pick(low)) * (at(q) - low))
 
-    return values.select(by, *[result(q).alias(name) for name, q in qs.items()])
+    return found.select(F.col("_by").alias(by), *[result(q).alias(name) for name, q in qs.items()])
 
 
 def label_f1(gold: Column, pred: Column, label: str, weight: Column | None = None) -> Column:
@@ -102,8 +140,8 @@ PAIRED_METRICS = ("entry_gate_pass", *(f"{p}_{m}" for p in ("web", "gated") for
 
 
 def cluster_index(rows: DataFrame, cluster: str) -> DataFrame:
-    """cluster, idx: sorted clusters numbered from 0; the number of clusters is small beside the rows."""
-    return rows.select(cluster).distinct().withColumn("idx", (F.row_number().over(Window.orderBy(cluster)) - 1).cast("int"))
+    """cluster, idx: sorted clusters numbered from 0."""
+    return numbered(rows.select(cluster).distinct(), [cluster], "_place").select(cluster, (F.col("_place") - 1).cast("int").alias("idx"))
 
 
 def hash_draws(spark, replicates: int, size: int, *, salt: str) -> DataFrame:
@@ -121,15 +159,93 @@ def cluster_bootstrap(sums: DataFrame, draws: DataFrame, metrics: dict[str, Colu
     return long.groupBy("metric").agg(percentile(F.col("value"), qs[0]).alias("ci_low"), percentile(F.col("value"), qs[1]).alias("ci_high"))
 
 
-def paired_bootstrap(rows: DataFrame, draws: DataFrame, types: tuple[str, ...], *, by: str = "model", order: str = "ordinal", decisions: tuple[str, ...] = DECISIONS, qs=(0.025, 0.975)) -> DataFrame:
-    """by, metric, point, ci_low, ci_high: web and gated scores from the same draws (stream, replicate, idx, times)."""
-    at = rows.withColumn("idx", (F.row_number().over(Window.partitionBy(by).orderBy(order)) - 1).cast("int"))
-    metrics = paired_scores(types, decisions, F.col("times"))
-    reps = at.join(draws, [at[by] == draws["stream"], at["idx"] == draws["idx"]]).groupBy(by, "replicate").agg(*metrics)
-    long = reps.unpivot([by, "replicate"], list(PAIRED_METRICS), "metric", "value")
+def paired_totals(types: tuple[str, ...], decisions: tuple[str, ...] = DECISIONS, prefixes: tuple[str, ...] = ("web", "gated")) -> dict[str, Column]:
+    """0/1 columns whose sums are all that the paired scores need: rows, passes, right answers, and for each label its gold, predicted and right ones."""
+    gd, gt = F.col("gold_decision"), F.col("gold_type")
+    violation = gd == decisions[0]
+    out = {"rows": F.lit(True)} | ({"gate": F.col("gate_pass")} if "gated" in prefixes else {})
+    out |= {f"gold_d{i}": gd == x for i, x in enumerate(decisions)} | {f"gold_t{i}": violation & (gt == x) for i, x in enumerate(types)}
+    for p in prefixes:
+        d, t = F.col(f"{p}_pred_decision"), F.col(f"{p}_pred_type")
+        told = violation & (d == decisions[0])
+        out |= {f"{p}_right": gd == d, f"{p}_exact": (gd == d) & (gt == t)}
+        out |= {f"{p}_d{i}": d == x for i, x in enumerate(decisions)} | {f"{p}_hit_d{i}": (gd == x) & (d == x) for i, x in enumerate(decisions)}
+        out |= {f"{p}_t{i}": told & (t == x) for i, x in enumerate(types)} | {f"{p}_hit_t{i}": told & (gt == x) & (t == x) for i, x in enumerate(types)}
+    return {name: F.coalesce(c, F.lit(False)).cast("int") for name, c in out.items()}
+
+
+def scores_of_totals(types: tuple[str, ...], decisions: tuple[str, ...] = DECISIONS, prefixes: tuple[str, ...] = ("web", "gated")) -> dict[str, Column]:
+    """The paired scores from columns of totals, named as paired_totals names them."""
+    n, out = F.col("rows"), {}
+
+    def f1(p: str, kind: str, labels: tuple[str, ...]) -> Column:
+        each = []
+        for i in range(len(labels)):
+            precision, recall = (ratio(F.col(f"{p}_hit_{kind}{i}"), F.col(c)) for c in (f"{p}_{kind}{i}", f"gold_{kind}{i}"))
+            each.append(ratio(2 * precision * recall, precision + recall))
+        return sum(each, F.lit(0.0)) / len(labels)
+
+    for p in prefixes:
+        out |= {
+            f"{p}_decision_accuracy": ratio(F.col(f"{p}_right"), n), f"{p}_decision_macro_f1": f1(p, "d", decisions),
+            f"{p}_violation_type_macro_f1": f1(p, "t", types), f"{p}_hierarchical_exact_match": ratio(F.col(f"{p}_exact"), n),
+        }
+    if "gated" in prefixes:
+        out = {"entry_gate_pass": ratio(F.col("gate"), n)} | out | {"gate_loss": out["web_decision_accuracy"] - out["gated_decision_accuracy"]}
+    return out
+
+
+def resampled_totals(totals: DataFrame, draws: DataFrame, columns: list[str], *, by: str, order: list[str], block: int = 1024) -> DataFrame:
+    """by, replicate and columns: the totals of each replicate, as a product of its weights with the rows' totals, block of rows by block of rows.
+
+    totals has a row for each (by, order); draws (stream, replicate, idx, times) weigh the rows of the stream named like their `by`, by their place from 0. A task holds one
+    block: `block` rows of totals, and a weight for each of them and each replicate; only a row of sums for each replicate leaves it.
+    """
+    names = ["_by", "_replicate", *columns]
+    placed = numbered(totals.select(by, *order, *columns), [by, *order], "_place")
+    starts = placed.groupBy(by).agg(F.min("_place").alias("_start"))
+    place = (F.col("_place") - F.col("_start")).cast("long")
+    rows = placed.join(starts, by).select(F.col(by).cast("string").alias("_by"), F.floor(place / block).alias("_block"), (place % block).cast("int").alias("_row"), *columns)
+    weights = draws.select(F.col("stream").alias("_by"), F.floor(F.col("idx") / block).alias("_block"), F.col("replicate").cast("int").alias("_replicate"), (F.col("idx") % block).cast("int").alias("_row"), F.col("times").cast("int").alias("_times"))
+
+    def product(left: pa.Table, right: pa.Table) -> pa.Table:
+        kinds = [pa.string(), pa.int32(), *[pa.int64()] * len(columns)]
+        if not left.num_rows or not right.num_rows:
+            return pa.table([pa.array([], k) for k in kinds], names=names)
+        held = np.zeros((block, len(columns)), np.int64)
+        held[left["_row"].to_numpy()] = np.stack([left[c].to_numpy() for c in columns], axis=1)
+        replicates, at = np.unique(right["_replicate"].to_numpy(), return_inverse=True)
+        weight = np.zeros((len(replicates), block))
+        np.add.at(weight, (at, right["_row"].to_numpy()), right["_times"].to_numpy())
+        sums = np.rint(weight @ held.astype(np.float64)).astype(np.int64)  # exact below 2^53
+        return pa.table([pa.array([left["_by"][0].as_py()] * len(replicates)), pa.array(replicates, pa.int32()), *(pa.array(c) for c in sums.T)], names=names)
+
+    schema = ", ".join(["_by string", "_replicate int", *(f"{c} long" for c in columns)])
+    parts = rows.groupBy("_by", "_block").cogroup(weights.groupBy("_by", "_block")).applyInArrow(product, schema)
+    return parts.groupBy(F.col("_by").alias(by), F.col("_replicate").alias("replicate")).agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def paired_bootstrap(
+    rows: DataFrame, draws: DataFrame, types: tuple[str, ...], *, by: str = "model", order: str = "ordinal", decisions: tuple[str, ...] = DECISIONS, qs=(0.025, 0.975), prefixes: tuple[str, ...] = ("web", "gated"), block: int = 1024
+) -> DataFrame:
+    """by, metric, point, ci_low, ci_high: web and gated scores from the same draws (stream, replicate, idx, times). Percentiles are those of one value a replicate."""
+    kept = written(rows.groupBy(by, order).agg(*[F.sum(c).alias(n) for n, c in paired_totals(types, decisions, prefixes).items()]), "totals")
+    columns, scores = list(paired_totals(types, decisions, prefixes)), scores_of_totals(types, decisions, prefixes)
+    reps = resampled_totals(kept, draws, columns, by=by, order=[order], block=block).select(by, "replicate", *[c.alias(n) for n, c in scores.items()])
+    long = reps.unpivot([by, "replicate"], list(scores), "metric", "value")
     ci = long.groupBy(by, "metric").agg(percentile_nearest(F.col("value"), qs[0]).alias("ci_low"), percentile_nearest(F.col("value"), qs[1]).alias("ci_high"))
-    point = rows.groupBy(by).agg(*paired_scores(types, decisions)).unpivot([by], list(PAIRED_METRICS), "metric", "point")
-    return point.join(ci, [by, "metric"])
+    whole = kept.groupBy(F.col(by).cast("string").alias(by)).agg(*[F.sum(c).alias(c) for c in columns])
+    return whole.select(by, *[c.alias(n) for n, c in scores.items()]).unpivot([by], list(scores), "metric", "point").join(ci, [by, "metric"])
+
+
+def stream_draws(streams: DataFrame, replicates: int, *, salt: str) -> DataFrame:
+    """stream, replicate, idx, times: for each stream (stream, size) as many draws as it has rows, by MD5 of `salt:stream:number`; made on the executors."""
+    n = F.explode(F.sequence(F.lit(0), F.lit(replicates - 1)))
+    each = streams.select("stream", "size", n.alias("replicate")).where("size > 0").repartition("stream", "replicate")
+    each = each.select("stream", "size", "replicate", F.explode(F.expr("sequence(0L, size - 1)")).alias("_n"))
+    number = (F.col("replicate") * F.col("size") + F.col("_n")).cast("string")
+    drawn = F.conv(F.substring(F.md5(F.concat(F.lit(salt + ":"), "stream", F.lit(":"), number)), 1, 12), 16, 10).cast("bigint") % F.col("size")
+    return each.select("stream", "replicate", drawn.cast("long").alias("idx")).groupBy("stream", "replicate", "idx").agg(F.count("*").alias("times"))
 
 
 def model_seeds(rows: DataFrame, base: int, by: str = "model") -> dict[str, int]:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tallyloom.operators.ranking import top_k_flags
 from tallyloom.operators.scoring import apply_gate, id_differences, micro_averages, report, score_cases, with_default_predictions
-from tallyloom.operators.statistics import DECISIONS, cluster_bootstrap, decision_scores, exact_percentiles, hash_draws, macro_f1, metric_rows, paired_scores, percentile_nearest, within_tolerance
+from tallyloom.operators.statistics import DECISIONS, cluster_bootstrap, decision_scores, exact_percentiles, hash_draws, macro_f1, metric_rows, paired_bootstrap, paired_scores, percentile_nearest, stream_draws, within_tolerance
 from tallyloom.plans.registry import query, table
 
 #: Cases are documents, messages are the clauses of a text; the answer replaces e by 3 in every third document, and every seventh has none.
@@ -199,6 +199,63 @@ def q11(spark, d):
     return ci.select("metric", F.round("ci_low", 9).alias("ci_low"), F.round("ci_high", 9).alias("ci_high"))
 
 
+def judged_documents(spark, d):
+    """Labelled documents as cases of two models, which take a text for long at different sizes; the second repeats the first's type only every third time."""
+    j = table(spark, d, "documents").join(table(spark, d, "labels"), "doc_id")
+    decision = lambda n: F.when(F.col("n_chars") > n, DECISIONS[1]).otherwise(DECISIONS[0])
+    rows = j.select(
+        F.col("doc_id").alias("ordinal"), (F.col("toxic") == 0).alias("gate_pass"), F.get(F.array(*map(F.lit, DECISIONS)), F.col("quality")).alias("gold_decision"), F.col("lang").alias("gold_type"),
+        F.explode(F.array(*[F.struct(F.lit(m).alias("model"), decision(n).alias("decision"), F.when(F.col("doc_id") % k == 0, F.col("lang")).otherwise("other").alias("kind")) for m, n, k in (("m900", 900, 2), ("m1500", 1500, 3))])).alias("a"),
+    )
+    rows = rows.select("a.model", "ordinal", "gate_pass", "gold_decision", "gold_type", F.col("a.decision").alias("web_pred_decision"), F.col("a.kind").alias("web_pred_type"))
+    decision, kind = apply_gate(F.col("web_pred_decision"), F.col("web_pred_type"), F.col("gate_pass"))
+    return rows.withColumns({"gated_pred_decision": decision, "gated_pred_type": kind})
+
+
+def _weighted(condition):
+    return f"sum(CASE WHEN {condition} THEN times ELSE 0 END)"
+
+
+def _weighted_f1(labels, gold, pred):
+    ratio = lambda a, b: f"coalesce({a} / nullif({b}, 0), 0.0)"
+    each = []
+    for x in labels:
+        hit, told, right = (_weighted(c) for c in (f"{gold} = '{x}' AND {pred} = '{x}'", f"{pred} = '{x}'", f"{gold} = '{x}'"))
+        p, r = ratio(hit, told), ratio(hit, right)
+        each.append(ratio(f"(2 * {p} * {r})", f"({p} + {r})"))
+    return f"({' + '.join(each)}) / {len(labels)}"
+
+
+def _weighted_scores(p):
+    return f"""{_weighted(f'gold_d = {p}_d')} / sum(times) AS {p}_decision_accuracy, {_weighted_f1(DECISIONS, 'gold_d', f'{p}_d')} AS {p}_decision_macro_f1,
+  {_weighted_f1(TYPES, 'gold_v', f'{p}_v')} AS {p}_violation_type_macro_f1, {_weighted(f'gold_d = {p}_d AND gold_t = {p}_t')} / sum(times) AS {p}_hierarchical_exact_match"""
+
+
+REPLICATES = 400
+
+
+@query("q68_paired_bootstrap_blocks", f"""
+WITH base AS (SELECT m.model, doc_id, toxic = 0 AS gate, ['VIOLATION', 'NON_VIOLATION', 'INSUFFICIENT_EVIDENCE'][quality + 1] AS gold_d, lang AS gold_t,
+    CASE WHEN n_chars > m.n THEN 'NON_VIOLATION' ELSE 'VIOLATION' END AS web_d, CASE WHEN doc_id % m.k = 0 THEN lang ELSE 'other' END AS web_t
+  FROM documents JOIN labels USING (doc_id), (VALUES ('m900', 900, 2), ('m1500', 1500, 3)) m(model, n, k)),
+gated AS (SELECT *, CASE WHEN gate THEN web_d ELSE '__BOTTOM__' END AS gated_d, CASE WHEN gate THEN web_t ELSE '__BOTTOM__' END AS gated_t, row_number() OVER (PARTITION BY model ORDER BY doc_id) - 1 AS idx FROM base),
+typed AS (SELECT *, CASE WHEN gold_d = 'VIOLATION' THEN gold_t END AS gold_v, CASE WHEN gold_d = 'VIOLATION' THEN CASE WHEN web_d = 'VIOLATION' THEN web_t ELSE '__BOTTOM__' END END AS web_v,
+  CASE WHEN gold_d = 'VIOLATION' THEN CASE WHEN gated_d = 'VIOLATION' THEN gated_t ELSE '__BOTTOM__' END END AS gated_v FROM gated),
+sizes AS (SELECT model, count(*) AS n FROM base GROUP BY model),
+draws AS (SELECT model, r AS replicate, ('0x' || substr(md5('q68:' || model || ':' || (r * n + i)), 1, 12))::BIGINT % n AS idx, count(*) AS times FROM sizes, range({REPLICATES}) a(r), range((SELECT max(n) FROM sizes)) b(i) WHERE i < n GROUP BY ALL),
+scored AS (
+  SELECT model, replicate, {_weighted('gate')} / sum(times) AS entry_gate_pass, {_weighted_scores('web')}, {_weighted_scores('gated')} FROM typed JOIN draws USING (model, idx) GROUP BY model, replicate
+  UNION ALL SELECT model, -1, {_weighted('gate')} / sum(times), {_weighted_scores('web')}, {_weighted_scores('gated')} FROM (SELECT *, 1 AS times FROM typed) GROUP BY model),
+long AS (UNPIVOT (SELECT *, web_decision_accuracy - gated_decision_accuracy AS gate_loss FROM scored) ON COLUMNS(* EXCLUDE (model, replicate)) INTO NAME metric VALUE value),
+lists AS (SELECT model, metric, max(value) FILTER (replicate = -1) AS point, list_sort(list(value) FILTER (replicate >= 0)) AS v FROM long GROUP BY ALL)
+SELECT model, metric, round(point, 9) AS point, round(v[CAST(round_even((len(v) - 1) * 0.025, 0) AS INT) + 1], 9) AS ci_low, round(v[CAST(round_even((len(v) - 1) * 0.975, 0) AS INT) + 1], 9) AS ci_high FROM lists""")
+def q68(spark, d):
+    rows = judged_documents(spark, d)
+    draws = stream_draws(rows.groupBy(F.col("model").alias("stream")).agg(F.count("*").alias("size")), REPLICATES, salt="q68")
+    got = paired_bootstrap(rows, draws, TYPES)
+    return got.select("model", "metric", *[F.round(c, 9).alias(c) for c in ("point", "ci_low", "ci_high")])
+
+
 @query("q13_topk_rank", """
 WITH r AS (SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey) AS rank FROM orders)
 SELECT o_custkey, min(rank) AS lowest_rank, arg_min(o_orderkey, rank) AS top1_order, bool_or(o_orderstatus = 'F' AND rank = 1) AS top1_hit, bool_or(o_orderstatus = 'F') AS topk_hit, count(*) AS k
