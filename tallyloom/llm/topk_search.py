@@ -1,13 +1,14 @@
 """Exact top-k inner products by a Voronoi kNN join.
 
 1. Pivots are a bounded sample, about as many as the root of the number of rows; rows and queries
-go to their nearest pivot. 2. A group's rows are cut into rings of distance to the pivot (units), and
-units are put together to cells of about chunk_rows rows; a unit with more rows is several cells.
+go to their nearest pivot. 2. A group's rows are cut into rings of distance to the pivot (units), of about as many rows
+as the root of their number, and units are put together to cells of about that size; a unit with more rows is several cells.
 3. A query is solved in its own cell, which gives a lower bound of its k-th score. 4. Bounds
 from summaries: no score in a unit with pivot p, radius r and greatest norm m exceeds
 min(q.p + |q| r, |q| m). For the queries of group i, whose pivot is o, radius R and greatest norm M,
 that is at most o.p + R |p| + M r, so units below the least bound of all of a group's queries are left
-out for all of them; what remains is tested query by query. 5. A query goes to the cells of
+out for all of them, in the tasks that hold them; what remains is tested query by query. The driver holds pivots, and a few numbers for each unit
+and group; there are at most MOST_UNITS units besides one a pivot, whatever the number of rows. 5. A query goes to the cells of
 its remaining units, and a cell's rows to as many blocks of queries as it got, to none if it got
 none. Blocks are solved locally.
 """
@@ -26,12 +27,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegralType
 from pyspark.sql.window import Window
 
-from tallyloom.llm.common import Written
+from tallyloom.llm.common import Written, scratch
 from tallyloom.llm.vectors import finite_rows, to_binary
 
 #: Sums below it are exact in float64, with a place number added.
 EXACT = 2.0**52
 PLACES = 1 << 16
+#: Bounds of the units' number, and of the rows of a cell.
+MOST_UNITS, LEAST_CELL, MOST_CELL = 1 << 16, 32, 1 << 15
 
 
 def packed_rows(ints: np.ndarray) -> pa.Array:
@@ -100,25 +103,32 @@ def best_rows(q: np.ndarray, q_ids: np.ndarray, d: np.ndarray, d_ids: np.ndarray
 
 @dataclass
 class Units:
-    """Summaries of the units of one dimension, and where their rows are."""
+    """Pivots of one dimension, summaries of its units, and where their rows are."""
 
-    pivot: np.ndarray  # a row a unit
+    pivots: np.ndarray
+    pivot: np.ndarray  # the unit's pivot by number, -1 where it has none
     radius: np.ndarray
     norm: np.ndarray
-    bounded: np.ndarray  # False where the unit has no pivot
     cell: np.ndarray  # the first of its cells
     parts: np.ndarray  # and their number
 
     def bounds(self, q: np.ndarray, at: np.ndarray) -> np.ndarray:
         """Greatest scores that queries can have in the units `at`, rounding included."""
-        size = np.sqrt((q * q).sum(axis=1))[:, None]
-        top = np.minimum(q @ self.pivot[at].T + size * self.radius[at], size * self.norm[at])
-        return np.where(self.bounded[at], top + np.abs(top) * 1e-9 + size * self.norm[at] * 1e-9 + 1e-6, np.inf)
+        size, pivot = np.sqrt((q * q).sum(axis=1))[:, None], self.pivot[at]
+        if not len(self.pivots):
+            return np.full((len(q), len(at)), np.inf)
+        top = np.minimum((q @ self.pivots.T)[:, pivot] + size * self.radius[at], size * self.norm[at])
+        return np.where(pivot >= 0, top + np.abs(top) * 1e-9 + size * self.norm[at] * 1e-9 + 1e-6, np.inf)
 
     def group_bounds(self, origin: np.ndarray, reach: float, norm: float) -> np.ndarray:
         """Greatest scores of any query of one group in each unit."""
-        top = self.pivot @ origin + reach * np.sqrt((self.pivot**2).sum(axis=1)) + norm * self.radius
-        return np.where(self.bounded, top + np.abs(top) * 1e-9 + norm * self.norm * 1e-9 + 1e-6, np.inf)
+        top = (self.pivots @ origin + reach * np.sqrt((self.pivots**2).sum(axis=1)))[self.pivot] + norm * self.radius
+        return np.where(self.pivot >= 0, top + np.abs(top) * 1e-9 + norm * self.norm * 1e-9 + 1e-6, np.inf)
+
+    def open_to(self, group: int, reach: float, norm: float, least: float | None) -> np.ndarray:
+        """Units that some query of the group may need."""
+        every = np.arange(len(self.radius))
+        return every if group < 0 or least is None else every[self.group_bounds(self.pivots[group], reach, norm) >= least]
 
 
 def _cells(units: list, chunk_rows: int) -> tuple[list[int], list[int]]:
@@ -137,7 +147,7 @@ def _cells(units: list, chunk_rows: int) -> tuple[list[int], list[int]]:
 
 
 def top_k(
-    df: DataFrame, queries, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0, max_pivots: int = 2048, chunk_rows: int = 4096, query_rows: int = 4096, seed: int = 5, sent: list | None = None
+    df: DataFrame, queries, *, key: str = "vec_id", vector: str = "embedding", k: int = 20, scale: float = 64.0, max_pivots: int = 2048, chunk_rows: int | None = None, query_rows: int = 4096, seed: int = 5, sent: list | None = None
 ) -> DataFrame:
     """query_id, rank (from 1), vec_id, score for each row that fulfils `queries` (a Column over `_id`).
 
@@ -146,13 +156,21 @@ def top_k(
     id; rows that repeat an id and its vector count as one. Vectors that are null or hold null or
     non-finite components, and rows with a null id, take no part; ids are whole numbers; empty tables give no rows;
     scores past a long wrap. Pivots are sqrt(rows), at most max_pivots, rows with the smallest hashes; they decide only the
-    speed. sent, if given, gets one tuple: rows, queries, cells, copies of queries, copies of rows.
+    speed, as does chunk_rows, the rows of a cell (the root of their number, within LEAST_CELL and MOST_CELL, if not given).
+    sent, if given, gets one tuple: rows, queries, cells, copies of queries, copies of rows.
     """
+    with scratch(df.sparkSession, "topk"):
+        return Written(_top_k(df, queries, key, vector, k, scale, max_pivots, chunk_rows, query_rows, seed, sent), "topk", outside=True).df
+
+
+def _top_k(df: DataFrame, queries, key: str, vector: str, k: int, scale: float, max_pivots: int, chunk_rows: int | None, query_rows: int, seed: int, sent: list | None) -> DataFrame:
     spark = df.sparkSession
     rows = Written(quantised(df, key=key, vector=vector, scale=scale).distinct(), "vectors").df
     n_rows = rows.count()
     if not n_rows:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
+    chunk_rows = chunk_rows or min(MOST_CELL, max(LEAST_CELL, math.isqrt(n_rows)))
+    unit_rows = max(chunk_rows, -(-n_rows // MOST_UNITS))
     sample = rows.orderBy(F.xxhash64("_id", F.lit(seed)), "_id", "_v").limit(min(max_pivots, math.isqrt(n_rows) + 1)).collect()
     pivots: dict[int, np.ndarray] = {}
     for dim in {r._dim for r in sample}:
@@ -175,7 +193,7 @@ def top_k(
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(group), pa.array(reach), pa.array(norm)], names=["_id", "_dim", "_v", "_group", "_reach", "_norm"])
 
     grouped = Written(rows.mapInArrow(near, "_id long, _dim int, _v binary, _group int, _reach double, _norm double"), "groups").df
-    sizes = {(r._dim, r._group): (r.r, -(-r.n // chunk_rows)) for r in grouped.groupBy("_dim", "_group").agg(F.count("*").alias("n"), F.max("_reach").alias("r")).collect()}  # a row a pivot, or a dimension
+    sizes = {(r._dim, r._group): (r.r, -(-r.n // unit_rows)) for r in grouped.groupBy("_dim", "_group").agg(F.count("*").alias("n"), F.max("_reach").alias("r")).collect()}  # a row a pivot, or a dimension
     wide = [F.struct(F.lit(d).alias("_dim"), F.lit(g).alias("_group"), F.lit(r).alias("_r"), F.lit(n).alias("_n")) for (d, g), (r, n) in sizes.items() if n > 1 and r > 0]  # groups of several rings
     ring = F.lit(0)
     if wide:
@@ -189,10 +207,9 @@ def top_k(
     units, place = {}, {}
     for dim in {r._dim for r in summary}:
         own = [i for i, r in enumerate(summary) if r._dim == dim]
-        none = np.zeros(dim)
         units[dim] = Units(
-            np.stack([pivots[dim][summary[i]._group] if summary[i]._group >= 0 else none for i in own]), np.array([summary[i].r for i in own]), np.array([summary[i].m for i in own]),
-            np.array([summary[i]._group >= 0 for i in own]), np.array([first[i] for i in own]), np.array([parts[i] for i in own]),
+            pivots.get(dim, np.zeros((0, dim))), np.array([summary[i]._group for i in own]), np.array([summary[i].r for i in own]), np.array([summary[i].m for i in own]),
+            np.array([first[i] for i in own]), np.array([parts[i] for i in own]),
         )
     for i, r in enumerate(summary):
         place[(r._dim, r._group, r._ring)] = (first[i], parts[i])
@@ -228,19 +245,18 @@ def top_k(
     bounded = celled.join(asked, "_cell", "left_semi").groupBy("_cell").applyInArrow(own_cell, "_id long, _dim int, _v binary, _group int, _reach double, _norm double, _least long")
     bounded = Written(bounded, "queries").df
     sides = bounded.groupBy("_dim", "_group").agg(F.count("*").alias("n"), F.max("_reach").alias("r"), F.max("_norm").alias("m"), F.when(F.count("*") == F.count("_least"), F.min("_least")).alias("least")).collect()  # a row a pivot, or a dimension
-    open_: dict[tuple[int, int], np.ndarray] = {}
-    for r in sides:
-        every = np.arange(len(units[r._dim].radius))
-        if r._group >= 0 and r.least is not None:
-            every = every[units[r._dim].group_bounds(pivots[r._dim][r._group], r.r, r.m) >= r.least]
-        open_[(r._dim, r._group)] = every
+    asking = {(r._dim, r._group): (r.r, r.m, r.least) for r in sides}
+    known = spark.sparkContext.broadcast((units, asking))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        (units, asking), open_ = known.value, {}
         for batch in batches:
             dims, groups = batch.column(1).to_numpy(), batch.column(3).to_numpy()
             least = np.where(batch.column(6).is_valid().to_numpy(zero_copy_only=False), pc.fill_null(batch.column(6), 0).to_numpy(), -np.inf)
             for dim, group in {*zip(dims.tolist(), groups.tolist(), strict=True)}:
                 u, at = units[dim], np.flatnonzero((dims == dim) & (groups == group))
+                if (dim, group) not in open_:
+                    open_ = {(dim, group): u.open_to(group, *asking[(dim, group)])}  # one group at a time
                 some = open_[(dim, group)]
                 for start in range(0, len(at), 256):
                     part = at[start : start + 256]

@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from tallyloom.llm import topk_search
 from tallyloom.llm.topk_search import top_k
 
 
@@ -47,6 +48,27 @@ def test_clustered_vectors_are_sent_to_few_cells(spark):
     assert asked == 120 and query_copies < asked * cells / 3 and data_copies < n * asked / 4 / 3
 
 
+@pytest.mark.parametrize("n", [300, 3000])
+def test_every_size_has_cells_and_leaves_some_out(spark, n):
+    """Cells come from the number of rows, small tables included; the driver's state is a few numbers for each of some 2 sqrt(n) units."""
+    rng = np.random.default_rng(9)
+    middle = rng.normal(size=(12, 12)) * 6
+    rows = [(i, [float(x) for x in middle[i % 12] + rng.normal(size=12) * 0.3]) for i in range(n)]
+    sent = []
+    assert found(spark, rows, k=5, sent=sent) == brute(rows, 5)
+    _, asked, cells, query_copies, data_copies = sent[0]
+    assert cells >= 8 and query_copies < asked * cells * 0.7 and data_copies < n * 2
+
+
+def test_units_and_cells():
+    first, parts = topk_search._cells([10, 5, 90, 3, 40], 40)
+    assert (first, parts) == ([0, 0, 1, 4, 5], [1, 1, 3, 1, 1])
+    units = topk_search.Units(np.array([[3.0, 0.0], [0.0, 2.0]]), np.array([0, 1, 0, -1]), np.array([0.5, 0.1, 9.0, 0.0]), np.array([3.5, 2.1, 12.0, 4.0]), np.arange(4), np.ones(4, int))
+    q = np.array([[1.0, 0.0], [0.0, -1.0]])
+    assert np.allclose(units.bounds(q, np.arange(4))[:, :3], [[3.5, 0.1, 12.0], [0.5, -1.9, 9.0]]) and np.isinf(units.bounds(q, np.array([3]))).all()
+    assert units.open_to(0, 0.0, 1.0, 100.0).tolist() == [3] and units.open_to(0, 0.0, 1.0, None).tolist() == [0, 1, 2, 3] and units.open_to(-1, 0.0, 1.0, 5.0).tolist() == [0, 1, 2, 3]
+
+
 def test_ids_must_be_numbers(spark):
     df = spark.createDataFrame([("a", [1.0])], "vec_id string, embedding array<double>")
     with pytest.raises(TypeError):
