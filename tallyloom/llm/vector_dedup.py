@@ -8,10 +8,10 @@ of a leader make its ball; all nodes of a ball are linked with each other, so th
 of copies is one ball and its pairs are counted, not listed. 3. NN-descent over leaders: lists
 start from sorted random projections; a local join compares the neighbours of each leader, new
 ones with all; a list keeps the best few and every neighbour near enough to matter, so it is
-enlarged when saturated. 4. An audit compares the lists of sampled leaders with brute force over
-all leaders; its sample grows until enough of them have near partners. If recall is short, more
-projections, longer lists and more rounds follow, then the exact comparison of all leaders, which
-also is where a sample ends that finds too few partners. 5. Kept edges of leaders are
+enlarged when saturated. 4. An audit after each round measures recall on known near pairs: a bounded sample of leaders, each
+with a planted partner within the linking angle that takes part in the descent like any leader, and the brute-force
+partners of a second bounded sample. Descent ends when recall is reached; else more projections, longer lists and more rounds
+follow, and at last the query fails. All pairs are compared only on request. 5. Kept edges of leaders are
 checked in double precision: by their angle and the balls' radii either all members of two balls
 are linked, or none, or the members are compared in blocks. 6. Components of linked balls.
 """
@@ -20,6 +20,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import warnings
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, replace
 
@@ -37,26 +38,37 @@ from tallyloom.llm.vectors import finite_rows, from_binary, to_binary
 
 @dataclass(frozen=True)
 class Settings:
-    """sample_leaders: bound of the sample that is collected and broadcast; audit_rows: the audit's first sample.
+    """sample_leaders: bound of the sample that is collected and broadcast. chunk, tables: leaders that a first list is chosen from, and orders of them;
+    if not given, they come from the number of leaders (see sized).
 
-    audit_near: so many sampled leaders with a near partner decide on recall. exact_leaders: of so many leaders
-    or fewer, all pairs are compared as soon as an audit fails.
+    planted, audit_rows: leaders that get a planted partner, and leaders that are compared with all. With 300 planted pairs and none missed,
+    recall is 0.99 or more with 95 % confidence. audit_recall ends the descent; after `audits` attempts a recall of least_recall is enough, with a warning.
+    exact: all pairs of leaders are compared instead, whatever it costs.
     """
 
     cosine: float = 0.9
     neighbours: int = 8
-    tables: int = 4
-    chunk: int = 512
+    tables: int | None = None
+    chunk: int | None = None
     rounds: int = 4
     sample_leaders: int = 256
+    planted: int = 300
     audit_rows: int = 256
     audit_recall: float = 0.99
-    audits: int = 3
-    audit_near: int = 300
-    exact_leaders: int = 65_536
+    least_recall: float = 0.9
+    audits: int = 4
+    exact: bool = False
     block: int = 1024
     seed: int = 3
 
+    def sized(self, n: int) -> Settings:
+        """chunk grows with the root of the leaders' number, so that small tables have several chunks too. Two vectors at the linking angle fall into one chunk where all of log2(n / chunk)
+        random planes leave them on one side; there are so many tables that 0.9 of such pairs meet in one, 64 at most: descent and the audit do the rest."""
+        chunk = self.chunk or min(512, max(16, 4 * math.isqrt(n)))
+        meet = (1 - self.angle / math.pi) ** max(0.0, math.log2(max(n, 1) / chunk))
+        tables = self.tables or min(64, max(3, math.ceil(math.log(0.1) / math.log1p(-min(meet, 0.999)))))
+        return replace(self, chunk=chunk, tables=tables)
+
     @property
     def angle(self) -> float:
         return math.acos(self.cosine)
@@ -64,7 +76,7 @@ class Settings:
 
 #: Angles are compared with this slack, so that rounding never makes a bound lie.
 SLACK = 1e-7
-#: Sampled leaders that are broadcast at a time, in numbers of 8 bytes, and leaders that they meet at a time.
+#: Leaders that are broadcast at a time, in numbers of 8 bytes, and leaders that they meet at a time.
 GROUP, MEET = 1 << 20, 256
 
 
@@ -297,32 +309,45 @@ def _near_pairs(asked: list, leaders: DataFrame, s: Settings) -> DataFrame:
     return leaders.select("i", "radius", "_unit").mapInArrow(true, "i long, j long")
 
 
-def _audit(lists: DataFrame, leaders: DataFrame, n: int, dim: int, s: Settings, seed: int, enough: float) -> tuple[float, DataFrame | None]:
-    """Recall of near pairs in the lists of sampled leaders, the worse of that over pairs and that over leaders.
-
-    The sample grows until `enough` of its leaders have a near partner. Once it holds all leaders, its pairs
-    (i, j, near) are the exact answer and come back too.
-    """
-    at = F.pmod(F.xxhash64("i", F.lit(seed)), F.lit(1 << 30)) / F.lit(1 << 30)
-    low, rows = 0.0, s.audit_rows
+def _all_pairs(leaders: DataFrame, n: int, dim: int, s: Settings) -> DataFrame:
+    """i, j, near: all near pairs, by as many passes over the leaders as they have bounded blocks."""
+    at = F.pmod(F.xxhash64("i", F.lit(s.seed)), F.lit(1 << 30)) / F.lit(1 << 30)
     parts: list[DataFrame] = []
-    total = found = seen = 0
-    share = 0.0
-    while low < 1 and n:
-        high = min(1.0, low + rows / n)
-        asked = leaders.where((at >= low) & (at < high)).select("i", "radius", "_unit").collect()  # some `rows`
+    passes = -(-n // max(GROUP // dim, 1))
+    for p in range(passes):
+        asked = leaders.where((at >= p / passes) & (at < (p + 1) / passes)).select("i", "radius", "_unit").collect()  # one block
         if asked:
-            parts.append(Written(_near_pairs(asked, leaders, s), "audit").df)
-            if enough < math.inf:
-                both = parts[-1].join(lists.where("near").select("i", "j", F.lit(1).alias("_in")), ["i", "j"], "left")
-                got = both.groupBy("i").agg(F.count("*").alias("n"), F.count("_in").alias("k")).agg(F.sum("n"), F.sum("k"), F.count("*"), F.sum(F.col("k") / F.col("n"))).first()
-                total, found, seen, share = (x + (y or 0) for x, y in zip((total, found, seen, share), got, strict=True))
-                if seen >= enough:
-                    return min(found / total, share / seen), None
-            if len(parts) == 32:
-                parts = [Written(_union(parts), "audit").df]
-        low, rows = high, min(4 * rows, max(GROUP // dim, 1))
-    return 1.0, _union(parts).withColumn("near", F.lit(True)) if parts else lists.select("i", "j", "near")
+            parts.append(Written(_near_pairs(asked, leaders, s), "all-pairs").df)
+    return _union(parts).withColumn("near", F.lit(True))
+
+
+def _planted(leaders: DataFrame, s: Settings) -> DataFrame:
+    """i (below 0), j, radius, v: for some leaders j a partner at a random place between half the linking angle and the whole of it."""
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            j, u = batch.column(0).to_numpy(), from_binary(batch.column(1), "<f8")
+            drawn = [np.random.default_rng((s.seed, int(x))) for x in j]
+            side = np.stack([r.normal(size=u.shape[1]) for r in drawn])
+            side -= (side * u).sum(axis=1, keepdims=True) * u
+            size = np.sqrt((side * side).sum(axis=1, keepdims=True))
+            theta = s.angle * np.array([0.5 + 0.5 * r.random() for r in drawn])[:, None]
+            at = np.flatnonzero(size[:, 0] > 1e-9)  # there is no other direction in one dimension
+            if len(at):
+                v = (np.cos(theta) * u + np.sin(theta) * side / np.maximum(size, 1e-9))[at]
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - j[at]), pa.array(j[at]), pa.array(np.zeros(len(at))), _coarse(v)], names=["i", "j", "radius", "v"])
+
+    some = leaders.orderBy(F.xxhash64("i", F.lit(s.seed)), "i").limit(s.planted).select("i", "_unit")
+    return Written(some.mapInArrow(make, "i long, j long, radius double, v binary"), "planted").df
+
+
+def _recall(lists: DataFrame, known: DataFrame) -> float:
+    """Share of known near pairs (i, j) in the lists, the lesser of that over pairs and the mean over their i; 1 if none is known."""
+    both = known.join(lists.where("near").select("i", "j", F.lit(1).alias("_in")), ["i", "j"], "left")
+    total, found, seen, share = both.groupBy("i").agg(F.count("*").alias("n"), F.count("_in").alias("k")).agg(F.sum("n"), F.sum("k"), F.count("*"), F.sum(F.col("k") / F.col("n"))).first()
+    return min(found / total, share / seen) if seen else 1.0
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -332,31 +357,44 @@ def _union(parts: list[DataFrame]) -> DataFrame:
     return out
 
 
-def neighbour_lists(leaders: DataFrame, dim: int, s: Settings) -> DataFrame:
-    """i, j, near: NN-descent until its audit is content, else the exact near pairs of all leaders."""
+def neighbour_lists(leaders: DataFrame, dim: int, s: Settings, report: dict | None = None) -> DataFrame:
+    """i, j, near: NN-descent until its audit is content. report, if given, gets how it went."""
     n = leaders.count()
-    lists = None
+    told = report if report is not None else {}
+    if s.exact:
+        told.update(answer="all pairs", recall=1.0, leaders=n)
+        return _all_pairs(leaders, n, dim, s)
+    s = s.sized(n)
+    planted = _planted(leaders, s)
+    asked = leaders.orderBy(F.xxhash64("i", F.lit(s.seed + 1)), "i").limit(s.audit_rows).select("i", "radius", "_unit").collect()
+    known = planted.select("i", "j")
+    if asked:
+        known = Written(known.unionAll(_near_pairs(asked, leaders, s)), "known").df
+    every = Written(leaders.select("i", "radius", "v").unionAll(planted.select("i", "radius", "v")), "taking-part").df
+    lists, recall = None, 0.0
     for attempt in range(s.audits):
         now = replace(s, tables=s.tables << attempt, neighbours=s.neighbours << attempt)
-        first = _first_lists(leaders, dim, now, s.seed + attempt)
+        first = _first_lists(every, dim, now, s.seed + attempt)
         both = first.unionAll(first.select(F.col("j").alias("i"), F.col("i").alias("j"), "cos", "near")).withColumn("new", F.lit(True))
         if lists is not None:
             both = both.unionByName(lists.withColumn("new", F.lit(False)))
         lists = Written(_best(both, now), "lists").df
-        for _ in range(s.rounds):
-            more = _local_join(lists, leaders, dim, now).withColumn("new", F.lit(True))
-            lists = Written(_best(lists.withColumn("new", F.lit(False)).unionByName(more), now), "lists").df
+        for done in range(s.rounds + 1):
+            recall = _recall(lists, known)
             size, n_new, near_new = lists.agg(F.count("*"), F.count_if("new"), F.count_if(F.col("new") & F.col("near"))).first()
-            if n_new <= 0.02 * size and not near_new:
+            told.update(answer="lists", recall=recall, leaders=n, attempts=attempt + 1, rounds=done, tables=now.tables, chunk=now.chunk)
+            settled = n_new <= 0.02 * size and not near_new
+            if recall >= s.audit_recall and done or settled or done == s.rounds:
                 break
-        recall, exact = _audit(lists, leaders, n, dim, s, s.seed + attempt, s.audit_near)
-        if exact is not None:
-            return exact
+            more = _local_join(lists, every, dim, now).withColumn("new", F.lit(True))
+            lists = Written(_best(lists.withColumn("new", F.lit(False)).unionByName(more), now), "lists").df
         if recall >= s.audit_recall:
-            return lists.select("i", "j", "near")
-        if n <= s.exact_leaders:
             break
-    return _audit(lists, leaders, n, dim, s, s.seed, math.inf)[1]
+    if recall < s.least_recall:
+        raise RuntimeError(f"NN-descent found {recall:.3f} of the known near pairs after {s.audits} attempts; more tables, neighbours or audits, or exact=True, are needed")
+    if recall < s.audit_recall:
+        warnings.warn(f"NN-descent found {recall:.3f} of the known near pairs, less than {s.audit_recall}", stacklevel=2)
+    return lists.where((F.col("i") >= 0) & (F.col("j") >= 0)).select("i", "j", "near")
 
 
 def _member_links(pairs: DataFrame, members: DataFrame, s: Settings) -> DataFrame:
@@ -384,7 +422,7 @@ def _member_links(pairs: DataFrame, members: DataFrame, s: Settings) -> DataFram
     return _grouped(of_a.unionByName(of_b), ("a", "b", "x", "y"), solve, "_node binary, n long, a binary, b binary")
 
 
-def _linked(nodes: DataFrame, dim: int, s: Settings) -> DataFrame:
+def _linked(nodes: DataFrame, dim: int, s: Settings, report: dict | None = None) -> DataFrame:
     """_node, n_links, component_id for the nodes (_node, m, least, _unit) of one dimension."""
     members = Written(balls(nodes, s), "balls").df
     own = F.col("_node") == F.col("leader")
@@ -401,7 +439,7 @@ def _linked(nodes: DataFrame, dim: int, s: Settings) -> DataFrame:
 
     kind = nodes.schema["least"].dataType.simpleString()
     leaders = Written(table.mapInArrow(with_coarse, f"leader binary, weight long, least {kind}, _unit binary, radius double, v binary").withColumn("i", F.monotonically_increasing_id()), "leaders").df
-    lists = neighbour_lists(leaders, dim, s)
+    lists = neighbour_lists(leaders, dim, s, report)
 
     side = lambda n: leaders.select(F.col("i").alias(n), F.col("leader").alias(f"leader_{n}"), F.col("radius").alias(f"r_{n}"), F.col("_unit").alias(f"u_{n}"), F.col("weight").alias(f"w_{n}"))
     near = lists.where("near").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).distinct().join(side("i"), "i").join(side("j"), "j")
@@ -430,25 +468,28 @@ def _linked(nodes: DataFrame, dim: int, s: Settings) -> DataFrame:
     return members.select("_node", "leader").join(by_ball, "leader").join(to_node, "_node", "left").select("_node", (F.col("_base") + F.coalesce("n", F.lit(0))).cast("long").alias("n_links"), "component_id")
 
 
-def near_duplicate_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings()) -> DataFrame:
+def near_duplicate_vectors(df: DataFrame, *, key: str = "vec_id", vector: str = "embedding", settings: Settings = Settings(), report: dict | None = None) -> DataFrame:
     """key, n_links, component_id, kept for every row of df.
 
     Two vectors of one dimension are linked if their cosine in double precision is at least
     settings.cosine. Null or zero vectors, and those with null or non-finite components, have no
     links and are their own component. Rows that repeat a key and its vector count as one vector
-    and each get a row. Empty tables give no rows; other columns are not read.
+    and each get a row. A row with a null key is a vector like any other; a component's id is its least key that isn't null, null
+    if it has none, and then its rows are kept. Cosines equal to the bound are links. Empty tables give no rows; other columns are
+    not read. Of links between different texts that descent finds, none is dropped; the share it finds is audited (see Settings), and
+    report, if given, gets for each dimension what answered and the recall.
     """
     with scratch(df.sparkSession, "near-vectors"):
-        return Written(_answers(df, key, vector, settings), "vectors", outside=True).df
+        return Written(_answers(df, key, vector, settings, report), "vectors", outside=True).df
 
 
-def _answers(df: DataFrame, key: str, vector: str, settings: Settings) -> DataFrame:
+def _answers(df: DataFrame, key: str, vector: str, settings: Settings, report: dict | None = None) -> DataFrame:
     rows = Written(_units(df, key, vector), "units").df
     held = rows.where("_node IS NOT NULL").groupBy("_id", "_node", "_dim").agg(F.first("_unit").alias("_unit"))
     nodes = Written(held.groupBy("_node", "_dim").agg(F.count("*").alias("m"), F.min("_id").alias("least"), F.first("_unit").alias("_unit")), "nodes").df
     found = None
     for dim in sorted(r[0] for r in nodes.select("_dim").distinct().collect()):  # as a rule one
-        part = _linked(nodes.where(F.col("_dim") == dim).select("_node", "m", "least", "_unit"), dim, settings)
+        part = _linked(nodes.where(F.col("_dim") == dim).select("_node", "m", "least", "_unit"), dim, settings, report.setdefault(dim, {}) if report is not None else None)
         found = part if found is None else found.unionAll(part)
     if found is None:
         found = rows.select("_node", F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id")).where("false")
