@@ -9,13 +9,14 @@ the template's own marks nor marks such as ``</s>`` or ``[INST]`` can come from
 text; the escape is reversed by :func:`read_back`. The loss mask is a list of spans
 (0-based start, length, in code points of ``formatted``), one for each assistant text.
 
-Everything is built-in expressions: collect, sort, transform, aggregate, join.
+Everything is built-in: windows for neighbours' roles and running lengths, then collect, sort, transform and join, linear in a conversation's turns.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 #: The escape: text character, its written form. The first one must stay first.
 ESCAPES = (("&", "&amp;"), ("<", "&lt;"), ("[", "&#91;"))
@@ -48,41 +49,23 @@ def format_chats(turns: DataFrame, *, loss_role: str = "assistant") -> DataFrame
     with a null conv_id form one conversation. No rows give no rows. A conversation is one
     value and so must fit into one row (2 GB).
     """
-    listed = turns.select(
-        "conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text")
-    ).groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text"))).alias("turns"))
-    role_at = lambda i: F.get(F.col("turns"), i)["role"]
-    starts = lambda x, i: (i == 0) | (role_at(i - 1) != x["role"])
-    ends = lambda x, i: (i == F.size("turns") - 1) | (role_at(i + 1) != x["role"])
-    pieces = listed.withColumn(
-        "pieces",
-        F.transform(
-            "turns",
-            lambda x, i: F.struct(
-                F.when(starts(x, i), F.concat(F.lit("<|"), escape(x["role"], ROLE_ESCAPES), F.lit("|>\n"))).otherwise(F.lit(TURN_MARK)).alias("head"),
-                escape(x["text"]).alias("body"),
-                F.when(ends(x, i), F.lit(END_MARK)).otherwise(F.lit("")).alias("tail"),
-                (x["role"] == loss_role).alias("loss"),
-            ),
-        ),
-    )
-    span = "struct<start:bigint,len:bigint>"
-    placed = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{span}>").alias("spans")),
-        lambda acc, p: F.struct(
-            (acc["at"] + F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])).cast("bigint").alias("at"),
-            F.when(
-                p["loss"],
-                F.array_append(acc["spans"], F.struct((acc["at"] + F.length(p["head"])).cast("bigint").alias("start"), F.length(p["body"]).cast("bigint").alias("len"))),
-            ).otherwise(acc["spans"]).alias("spans"),
-        ),
-        lambda acc: acc["spans"],
-    )
-    return pieces.select(
+    rows = turns.select("conv_id", "turn", F.coalesce(F.col("role"), F.lit("")).alias("role"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")  # dealt as the list of a conversation needs it
+    near = rows.select("*", F.lag("role").over(order).alias("before"), F.lead("role").over(order).alias("after"), F.row_number().over(order).alias("pos"))
+    starts, ends = (F.coalesce(F.col(c) != F.col("role"), F.lit(True)) for c in ("before", "after"))
+    pieces = near.select(
+        "conv_id", "turn", "role", "text", "pos",
+        F.when(starts, F.concat(F.lit("<|"), escape(F.col("role"), ROLE_ESCAPES), F.lit("|>\n"))).otherwise(F.lit(TURN_MARK)).alias("head"),
+        escape(F.col("text")).alias("body"), F.when(ends, F.lit(END_MARK)).otherwise(F.lit("")).alias("tail"), (F.col("role") == loss_role).alias("loss"),
+    )
+    chars = lambda c: F.length(c).cast("bigint")
+    upto = F.sum(chars("head") + chars("body") + chars("tail")).over(order.rowsBetween(Window.unboundedPreceding, 0))
+    placed = pieces.select("conv_id", "pos", F.concat("head", "body", "tail").alias("piece"), (upto - chars("tail") - chars("body")).alias("start"), chars("body").alias("len"), "loss")
+    listed = placed.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("pos", "piece", "start", "len", "loss"))).alias("turns"))
+    return listed.select(
         "conv_id",
-        F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        placed.alias("loss_spans"),
+        F.array_join(F.transform("turns", lambda t: t["piece"]), "").alias("formatted"),
+        F.transform(F.filter("turns", lambda t: t["loss"]), lambda t: F.struct(t["start"].alias("start"), t["len"].alias("len"))).alias("loss_spans"),
     )
 
 

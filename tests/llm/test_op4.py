@@ -33,5 +33,19 @@ def test_one_long_conversation(spark):
     assert len(r.turns) == 3000 and hashlib.sha256("".join(r.loss_texts).encode()).hexdigest() == hashlib.sha256("".join(f"t{i}" for i in range(3000) if i % 3).encode()).hexdigest()
 
 
+def test_one_very_long_conversation_takes_time_in_proportion(spark):
+    df = spark.range(60_000).selectExpr("7L conv_id", "id turn", "IF(id % 3 = 0, 'user', 'assistant') role", "concat('t<', id) text")
+    r = format_chats(df).first()
+    assert len(r.loss_spans) == 40_000
+    for i, s in ((1, r.loss_spans[0]), (59_999, r.loss_spans[-1])):
+        assert r.formatted[s.start : s.start + s.len] == f"t&lt;{i}"
+
+
+def test_a_text_of_several_megabytes(spark):
+    text = "<é[" * 1_000_000
+    df = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", text)], "conv_id long, turn long, role string, text string")
+    assert read_back(format_chats(df)).first().loss_texts == [text]
+
+
 def test_empty(spark):
     assert format_chats(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0

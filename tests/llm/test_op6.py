@@ -28,3 +28,21 @@ def test_against_brute_force(spark):
     for q in (0.1, 0.5, 0.95, 1.0):
         assert length_quantile(length_report(whole), q).first()[0] == next(x for i, x in enumerate(every) if (i + 1) / len(every) >= q and (i + 1 == len(every) or every[i + 1] > x))
     assert length_report(length_histogram(df.where("false"))).count() == 0
+
+
+def test_clashing_names_and_a_very_long_text(spark):
+    rows = [(1, "x", "alpha beta", "a"), (1, None, "alpha", "b"), (2, "x", "alpha " * 200_000, "a"), (2, "x", None, "a")]
+    df = spark.createDataFrame(rows, "length int, _text string, body string, n_docs string")
+    plain = Tokenizer.from_file(tokenizer_path())
+    n = [len(plain.encode(r[2] or "", add_special_tokens=False).ids) for r in rows]
+    for by in (("length",), ("_text",), ("n_docs", "length"), ("_text", "n_docs", "length")):
+        hist = length_histogram(df, text="body", by=by)
+        assert hist.columns[: len(by)] == list(by) and len(set(hist.columns)) == len(by) + 2
+        at = [df.columns.index(c) for c in by]
+        want = {}
+        for r, size in zip(rows, n):
+            key = (*[r[i] for i in at], size)
+            want[key] = want.get(key, 0) + 1
+        assert {tuple(r)[:-1]: r[-1] for r in hist.collect()} == want
+        report = length_report(hist, by=by)
+        assert len(set(report.columns)) == len(by) + 8 and report.count() == len(want)
