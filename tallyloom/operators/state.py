@@ -107,3 +107,22 @@ def gaps(rows: DataFrame, by: str, position: str) -> DataFrame:
 def changes(rows: DataFrame, by: str, order: str, value: str) -> DataFrame:
     """Rows with the value before them in their group."""
     return rows.withColumn("before", F.lag(value).over(Window.partitionBy(by).orderBy(order)))
+
+
+def call_rollup(calls: DataFrame, by: str, call: str) -> DataFrame:
+    """by, successful, failed and all calls, attempts, resolved_models (sorted), token_usage (sums of whole numbers by name) of calls, each a VARIANT.
+
+    Counts are aggregated before any shuffle; a run's models and usage names are few.
+    """
+    c = F.col(call)
+    attempts = F.coalesce(F.try_variant_get(c, "$.attempts", "array<variant>"), F.array().cast("array<variant>"))
+    objects = F.filter(attempts, lambda a: F.try_variant_get(a, "$", "map<string,variant>").isNotNull())
+    name = lambda v: F.nullif(F.try_variant_get(v, "$.response_model", "string"), F.lit(""))
+    each = calls.select(by, (F.coalesce(F.try_variant_get(c, "$.status", "string"), F.lit("")) == "PASS").alias("_ok"), objects.alias("_a"), F.array_compact(F.concat(F.array(name(c)), F.transform(objects, name))).alias("_m"))
+    counts = each.groupBy(by).agg(F.count_if("_ok").alias("successful_model_call_count"), F.count_if(~F.col("_ok")).alias("failed_model_call_count"), F.count("*").alias("model_call_audit_count"), F.sum(F.size("_a")).alias("provider_attempt_count"))
+    models = each.select(by, F.explode("_m").alias("_m")).distinct().groupBy(by).agg(F.array_sort(F.collect_list("_m")).alias("resolved_models"))
+    usage = each.select(by, F.explode("_a").alias("_a")).select(by, F.explode(F.map_entries(F.try_variant_get("_a", "$.usage", "map<string,variant>"))).alias("_u"))
+    whole = usage.where(F.schema_of_variant("_u.value") == "BIGINT").groupBy(by, F.col("_u.key").alias("_k")).agg(F.sum(F.try_variant_get("_u.value", "$", "long")).alias("_v"))
+    used = whole.groupBy(by).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("_k", "_v")))).alias("token_usage"))
+    out = counts.join(models, by, "left").join(used, by, "left")
+    return out.withColumn("resolved_models", F.coalesce("resolved_models", F.array().cast("array<string>"))).withColumn("token_usage", F.coalesce("token_usage", F.create_map().cast("map<string,bigint>")))
