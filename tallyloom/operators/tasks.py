@@ -49,6 +49,12 @@ def reranked(responses: DataFrame, limit: int = 5) -> DataFrame:
     return responses.withColumn("candidates", F.transform(first, lambda c, i: F.struct((i + 1).alias("rank"), c["value"].alias("value"), F.coalesce(c["confidence"], F.lit(0.5)).alias("confidence"))))
 
 
+def _fine_items(field: str, keys: tuple[str, ...]) -> Column:
+    """For each item of a list of the response whether it is an object of these keys (sorted) alone."""
+    names = lambda x: F.array_sort(F.map_keys(F.try_variant_get(x, "$", "map<string,variant>")))
+    return F.transform(F.try_variant_get(F.try_parse_json("raw"), f"$.{field}", "array<variant>"), lambda x: F.coalesce(names(x) == F.array(*[F.lit(k) for k in keys]), F.lit(False)))
+
+
 def response_codes(tasks: DataFrame, responses: DataFrame) -> DataFrame:
     """sample_id, codes: the strict rules of responses (sample_id, raw JSON text) against tasks (sample_id, platform, messages).
 
@@ -56,6 +62,12 @@ def response_codes(tasks: DataFrame, responses: DataFrame) -> DataFrame:
     """
     j = tasks.select("sample_id", F.col("platform").alias("task_platform"), F.transform("messages", lambda m: m["message_id"]).alias("ids")).join(responses.select("sample_id", "raw"), "sample_id")
     j = j.withColumn("keys", F.json_object_keys("raw")).withColumn("r", F.from_json("raw", RESPONSE))
+    odd = {}
+    for name, field, keys in (("RECONSTRUCTED_MESSAGE_SCHEMA_INVALID", "reconstructed_messages", ("message_id", "text")), ("ENTRY_CANDIDATE_SCHEMA_INVALID", "entry_candidates", ("confidence", "rank", "value"))):
+        j = j.withColumn(f"_{field}", _fine_items(field, keys))
+        odd[name] = F.exists(f"_{field}", lambda ok: ~ok)
+        kept = F.transform(F.filter(F.arrays_zip(F.col(f"r.{field}").alias("x"), F.col(f"_{field}").alias("ok")), lambda z: F.coalesce(z["ok"], F.lit(True))), lambda z: z["x"])
+        j = j.withColumn("r", F.col("r").withField(field, kept))  # items of other keys are told, and left out of the other rules
     cand = j.select("sample_id", F.explode("r.entry_candidates").alias("c")).select("sample_id", "c.value", is_reserved(F.coalesce("c.value", F.lit(""))).alias("ok"))
     cand = cand.groupBy("sample_id").agg(F.collect_set(F.when(F.col("ok"), F.col("value"))).alias("safe"), F.bool_and("ok").alias("all_safe"))
     text = j.select("sample_id", F.explode("r.reconstructed_messages").alias("m")).join(cand, "sample_id", "left")
@@ -69,12 +81,12 @@ def response_codes(tasks: DataFrame, responses: DataFrame) -> DataFrame:
         "RECONSTRUCTED_MESSAGES_INVALID": m.isNull(), "RECONSTRUCTED_MESSAGE_IDS_INVALID": m.isNotNull() & ~F.transform(m, lambda x: x["message_id"]).eqNullSafe(F.col("ids")),
         "RECONSTRUCTED_MESSAGE_TEXT_INVALID": F.exists(m, lambda x: x["text"].isNull()), "RECONSTRUCTED_MESSAGE_SAFETY_INVALID": F.col("unsafe"),
         "INTENT_LABEL_INVALID": ~F.coalesce(F.col("r.intent_label").isin(*INTENTS), F.lit(False)), "PLATFORM_INVALID": ~F.col("r.platform").eqNullSafe(F.col("task_platform")),
-        "ENTRY_CANDIDATES_INVALID": c.isNull() | (F.size(c) > 5), "ENTRY_CANDIDATE_RANK_INVALID": F.exists(c, lambda x: x["rank"].isNull()),
+        "ENTRY_CANDIDATES_INVALID": c.isNull() | (F.size("_entry_candidates") > 5), "ENTRY_CANDIDATE_RANK_INVALID": F.exists(c, lambda x: x["rank"].isNull()),
         "ENTRY_CANDIDATE_CONFIDENCE_INVALID": F.exists(c, lambda x: ~F.coalesce((x["confidence"] >= 0) & (x["confidence"] <= 1), F.lit(False))), "ENTRY_CANDIDATE_SAFETY_INVALID": ~F.col("all_safe"),
-        "ENTRY_CANDIDATE_RANKS_NOT_CONTIGUOUS": F.exists(F.transform(ranks, lambda x, i: ~x.eqNullSafe(i + 1)), lambda x: x), "ENTRY_CANDIDATE_CONFIDENCE_NOT_MONOTONIC": ~falling,
-        "ABSTAIN_INVALID": F.col("r.abstain").isNull(), "NON_ABSTAIN_REQUIRES_CANDIDATE": ~F.col("r.abstain") & (F.coalesce(F.size(c), F.lit(0)) <= 0),
+        "ENTRY_CANDIDATE_RANKS_NOT_CONTIGUOUS": F.exists(F.transform(ranks, lambda x, i: ~x.eqNullSafe(i + 1)), lambda x: x) | odd["ENTRY_CANDIDATE_SCHEMA_INVALID"], "ENTRY_CANDIDATE_CONFIDENCE_NOT_MONOTONIC": ~falling,
+        "ABSTAIN_INVALID": F.col("r.abstain").isNull(), "NON_ABSTAIN_REQUIRES_CANDIDATE": ~F.col("r.abstain") & (F.coalesce(F.size("_entry_candidates"), F.lit(0)) <= 0),
         "UNCERTAINTIES_INVALID": F.col("r.uncertainties").isNull() | F.exists("r.uncertainties", lambda x: F.trim(F.coalesce(x, F.lit(""))) == ""),
-    }
+    } | odd
     keys_bad = ~F.coalesce(F.array_sort("keys").eqNullSafe(F.array_sort(F.array(*[F.lit(k) for k in RESPONSE_KEYS]))), F.lit(False))
     listed = F.array_sort(F.array_compact(F.array(*[F.when(F.coalesce(t, F.lit(False)), F.lit(k)) for k, t in tests.items()])))
     return full.select("sample_id", F.when(keys_bad, F.array(F.lit("SEMANTIC_KEYS_INVALID"))).otherwise(listed).alias("codes"))
