@@ -63,10 +63,10 @@ class Settings:
 
     def sized(self, n: int) -> Settings:
         """chunk grows with the root of the leaders' number, so that small tables have several chunks too. Two vectors at the linking angle fall into one chunk where all of log2(n / chunk)
-        random planes leave them on one side; there are so many tables that 0.9 of such pairs meet in one, 64 at most: descent and the audit do the rest."""
+        random planes leave them on one side; there are so many tables that 0.99 of such pairs meet in one, 128 at most: descent and the audit do the rest."""
         chunk = self.chunk or min(512, max(16, 4 * math.isqrt(n)))
         meet = (1 - self.angle / math.pi) ** max(0.0, math.log2(max(n, 1) / chunk))
-        tables = self.tables or min(64, max(3, math.ceil(math.log(0.1) / math.log1p(-min(meet, 0.999)))))
+        tables = self.tables or min(128, max(3, math.ceil(math.log(0.01) / math.log1p(-min(meet, 0.999)))))
         return replace(self, chunk=chunk, tables=tables)
 
     @property
