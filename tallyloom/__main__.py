@@ -52,7 +52,7 @@ def check_runs(spark: SparkSession, a: argparse.Namespace) -> int:
         made = run_checks.smoke_checks(files, lines)
     else:
         with open(a.schema, encoding="utf-8") as f:
-            made = run_checks.text_batch_checks(files, lines, json.load(f))
+            made = run_checks.text_batch_checks(files, lines, json.load(f), **({"protocol": a.protocol} if a.protocol else {}))
     made = run_checks.written(made, "checks")
     write_jsonl(run_checks.findings(made), f"{a.out}/findings", order=["run_id", "ref", "code"])
     write_jsonl(run_checks.verdicts(made), f"{a.out}/verdicts", order=["run_id"], single=True)
@@ -83,7 +83,7 @@ def parser() -> argparse.ArgumentParser:
     need = {"required": True}
     command("score", score, gold=need, predictions=need, top_k={"type": int, "default": 5}, allow_missing={"action": "store_true"})
     command("bootstrap", bootstrap, cases=need, replicates={"type": int, "default": 2000}, seed={"type": int, "default": 20260727})
-    command("check-runs", check_runs, files=need, lines=need, kind={"choices": ("text", "smoke"), "default": "text"}, schema={"help": "of predictions, for text batches"})
+    command("check-runs", check_runs, files=need, lines=need, kind={"choices": ("text", "smoke"), "default": "text"}, schema={"help": "of predictions, for text batches"}, protocol={"help": "name of the request protocol of text batches"})
     command("schema", schema, schema=need, records=need, formats={"action": "store_true"})
     return top
 

@@ -9,6 +9,7 @@ record's id. A record that isn't there is checked for that alone, as is a file w
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -25,7 +26,7 @@ CHECK = "struct<code:string,ok:boolean,detail:string>"
 RUN = ["run_id"]
 FILE = "struct<sha256:string,doc:variant>"
 #: Names and values that records must carry. Fixed values.
-TEXT_CONFIG, TEXT_PROTOCOL = "task1-text-batch-config/v0.1", "riskchainbench_task1_text_batch_v0.1"
+TEXT_CONFIG = "task1-text-batch-config/v0.1"
 TRANSPORT, ROUTE, UNSCORED, SETTING = "libinfer-neo", "PASS_MULTIMODAL_ROUTE", "PROTOCOL_VALID_UNSCORED_NO_HUMAN_GOLD", "TAXONOMY_AWARE"
 MUTATING = ("fill", "check", "click", "direct_submit", "reload")
 JUDGMENT_KEYS = ("answer", "counterevidence", "evidence", "evidence_sufficiency", "intent", "risk_reason")
@@ -83,9 +84,9 @@ def written_as(v: Column, path: str) -> Column:
     return F.nullif(F.to_json(part(v, path)), F.lit("null"))
 
 
-def has(v: Column, path: str, json: str) -> Column:
+def has(v: Column, path: str, text: str | Column) -> Column:
     """Whether the value at the path is written so, as strings with quotes."""
-    return F.coalesce(F.to_json(part(v, path)) == json, F.lit(False))
+    return F.coalesce(F.to_json(part(v, path)) == text, F.lit(False))
 
 
 def items_of(v: Column, path: str) -> Column:
@@ -204,8 +205,11 @@ def selected_tasks(tasks: DataFrame, runs: DataFrame) -> DataFrame:
     return tasks.join(chosen, ["run_id", "source_id"]).where(F.col("variants").isNull() | F.array_contains("variants", F.col("variant"))).drop("variants", "variant")
 
 
-def text_batch_checks(files: DataFrame, lines: DataFrame, prediction_schema: dict) -> DataFrame:
-    """run_id, ref, code, ok, detail of runs of text batches: configuration, digests, selection, aggregates, and each task's state, prediction, input audit and call."""
+def text_batch_checks(files: DataFrame, lines: DataFrame, prediction_schema: dict, *, protocol: str = "task1_text_batch_v0.1") -> DataFrame:
+    """run_id, ref, code, ok, detail of runs of text batches: configuration, digests, selection, aggregates, and each task's state, prediction, input audit and call.
+
+    protocol: the name of the request protocol that calls must carry.
+    """
     all_ = Runs(files, lines)
     texts = all_.texts.where(F.col("path").isin("config.json", "summary.json"))
     own = texts.groupBy("run_id").agg(
@@ -286,7 +290,7 @@ def text_batch_checks(files: DataFrame, lines: DataFrame, prediction_schema: dic
         *[Check(f"INPUT_{f.upper()}", has(audit, f"$.{f}", "false"), given=both & audited) for f in ("gold_present", "resolver_present", "web_evidence_present")],
         *file_checks("TASK_IMAGE", F.col("image"), text_of(audit, "$.image.sha256"), F.coalesce(text_of(audit, "$.image.path"), F.lit("")), both & audited & ~nothing(audit, "$.image")),
         Check("MODEL_CALL_NOT_PASS", has(call, "$.status", '"PASS"'), given=both & called), Check("REQUESTED_MODEL_CHANGED", written_as(call, "$.requested_model").eqNullSafe(written_as(F.col("config"), "$.requested_model")), given=both & called),
-        Check("RESOLVED_MODEL_CHANGED", F.array_contains(allowed, F.coalesce(written_as(call, "$.response_model"), F.lit("null"))), given=both & called), Check("REQUEST_PROTOCOL_CHANGED", has(call, "$.request_protocol", f'"{TEXT_PROTOCOL}"'), given=both & called),
+        Check("RESOLVED_MODEL_CHANGED", F.array_contains(allowed, F.coalesce(written_as(call, "$.response_model"), F.lit("null"))), given=both & called), Check("REQUEST_PROTOCOL_CHANGED", has(call, "$.request_protocol", json.dumps(protocol)), given=both & called),
         Check("MODEL_CALL_UNEXPECTED_MULTIMODAL_INPUT", has(call, "$.multimodal_input", "false"), given=both & called), Check("MODEL_CALL_UNEXPECTED_IMAGE", has(call, "$.image_count", "0"), given=both & called),
         Check("GENERATION_POLICY_INVALID", F.size(codes) == 0, F.array_join(codes, ","), both & called),
         Check("MODEL_ATTEMPTS_EMPTY", F.size(attempts) > 0, given=both & called), Check("MODEL_FINAL_ATTEMPT_NOT_PASS", (F.size(attempts) > 0) & has(F.try_element_at(attempts, F.lit(-1)), "$.status", '"PASS"'), given=both & called),

@@ -108,7 +108,7 @@ def order_runs(orders):
     prediction = js(sample_id=F.col("sample_id"), platform=platform, entry_candidates=entry)
     attempts = F.slice(F.array(*[F.struct(text(s).alias("status"), text("0" * 64).alias("request_sha256")) for s in ("PASS", "FAIL")]), 1, (key % 3).cast("int"))
     options = F.when(key % 23 == 0, F.parse_json(text('{"reasoning_effort":"minimal","temperature":1}'))).otherwise(F.parse_json(text('{"reasoning_effort":"minimal","temperature":0}')))
-    call = js(status="PASS", requested_model="m1", response_model=F.when(F.col("o_orderpriority") == "1-URGENT", "m2").otherwise("m1"), request_protocol="riskchainbench_task1_text_batch_v0.1", multimodal_input=False, image_count=0, temperature_policy="explicit_zero", reasoning_effort_policy="explicit_minimal", model_request_options=options, attempts=attempts)
+    call = js(status="PASS", requested_model="m1", response_model=F.when(F.col("o_orderpriority") == "1-URGENT", "m2").otherwise("m1"), request_protocol="task1_text_batch_v0.1", multimodal_input=False, image_count=0, temperature_policy="explicit_zero", reasoning_effort_policy="explicit_minimal", model_request_options=options, attempts=attempts)
     audit = js(status="PASS", gold_present=F.col("o_custkey") % 13 == 0, resolver_present=False, web_evidence_present=False)
     tasks = tasks.join(runs.select("run_id", F.when(F.col("_n") == 7, "x").otherwise(F.col("print")).alias("print")), "run_id")
     state = js(status=F.when(F.col("o_orderstatus") == "P", "RUNNING").otherwise("PASS"), config_fingerprint=F.col("print"), prediction_sha256=F.sha2(prediction, 256), model_call_sha256=F.when(key % 29 == 0, "x").otherwise(F.sha2(call, 256)), attempt_path=F.when(key % 31 == 0, "tasks/other").otherwise(F.concat(root, text("/attempts/1"))))

@@ -45,7 +45,7 @@ def text_run(change=lambda stage, x: None):
     for task in chosen:
         root = f"tasks/{task['sample_id']}"
         prediction = {"sample_id": task["sample_id"], "platform": "qq", "entry_candidates": [{"rank": 1, "value": "a.example.com"}], "reconstructed_messages": [{"message_id": "m1"}]}
-        call = {"status": "PASS", "requested_model": "m1", "response_model": "m1", "request_protocol": "riskchainbench_task1_text_batch_v0.1", "multimodal_input": False, "image_count": 0, **copy.deepcopy(POLICY), "attempts": [{"status": "FAIL", "request_sha256": sha("q")}, {"status": "PASS", "request_sha256": sha("q"), "response_content": "r", "response_sha256": sha("r")}]}
+        call = {"status": "PASS", "requested_model": "m1", "response_model": "m1", "request_protocol": "task1_text_batch_v0.1", "multimodal_input": False, "image_count": 0, **copy.deepcopy(POLICY), "attempts": [{"status": "FAIL", "request_sha256": sha("q")}, {"status": "PASS", "request_sha256": sha("q"), "response_content": "r", "response_sha256": sha("r")}]}
         audit = {"status": "PASS", "forbidden_key_findings": [], "gold_present": False, "resolver_present": False, "web_evidence_present": False, "image": {}}
         for stage, value in (("prediction", prediction), ("call", call), ("audit", audit)):
             if task is chosen[0]:
